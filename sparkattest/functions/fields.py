@@ -13,7 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .text import contains_any, extract, title_kind
+from .text import contains_any, extract, let, title_kind
+
+
+# The same dates, with a first look at the initial that spares most word starts the full pattern.
+DATE_SEARCH = C.DATE_IN_TEXT.replace(r"\b(?:", r"\b(?=[0-9jfmasond])(?:", 1)
 
 
 def cert_id(text: Column) -> Column:
@@ -33,9 +37,10 @@ def looks_organizational(name: Column) -> Column:
     )
 
 
-def name_before_verb(text: Column) -> Column:
-    name = extract(text, C.NAME_BEFORE_VERB, 1)
-    return F.when(~looks_organizational(name), F.trim(name))
+def name_before_verb(text: Column, low: Column) -> Column:
+    """Every variant of the verb contains 'completed', so other texts are not searched."""
+    name = F.when(low.contains("completed"), extract(text, C.NAME_BEFORE_VERB, 1))
+    return let(name, lambda n: F.when(~looks_organizational(n), F.trim(n)))
 
 
 def bare_name(lines: Column, org_guard: bool = True) -> Column:
@@ -72,45 +77,48 @@ def clean_issuer(value: Column) -> Column:
 
 def generic_issuer(value: Column) -> Column:
     """True for boilerplate that cannot be the name of an organization."""
-    name = F.trim(F.coalesce(value, F.lit("")))
-    low = F.lower(name)
-    return (
-        low.isin(C.GENERIC_ISSUERS + C.BARE_ORG_NOUNS)
-        | ~F.length(name).between(3, 60)
-        | low.rlike(r"^the[ \t]+[a-z][a-z \t]*\z")
-        | ~name.rlike("[A-Z]")
-    )
 
+    def generic(name: Column) -> Column:
+        low = F.lower(name)
+        return (
+            ~F.length(name).between(3, 60)
+            | low.isin(C.GENERIC_ISSUERS + C.BARE_ORG_NOUNS)
+            | (low.startswith("the") & low.rlike(r"^the[ \t]+[a-z][a-z \t]*\z"))
+            | ~name.rlike("[A-Z]")
+        )
 
-def organization_line(line: Column) -> Column:
-    """The line as a plausible organization heading, '' otherwise."""
-    head = F.regexp_replace(F.trim(line), r"""[ .:;,()"']+$""", "")
-    ok = (
-        F.length(head).between(3, 40)
-        & (F.size(F.split(head, r"\s+")) <= 4)
-        & ~contains_any(F.lower(head), C.ORG_LINE_REJECT)
-        & ~head.rlike(C.DATE_IN_TEXT)
-        & ~generic_issuer(head)
-    )
-    return F.when(ok, head).otherwise("")
+    return let(F.trim(F.coalesce(value, F.lit(""))), generic)
 
 
-def _usable(issuer: Column) -> Column:
-    return F.when(~generic_issuer(issuer), issuer)
+def holds_date(text: Column) -> Column:
+    """A date in the text; every layout has a four-digit year, which is searched first."""
+    return text.rlike(r"(?:19|20)\d{2}") & text.rlike(DATE_SEARCH)
 
 
-def issuer_from_label(text: Column) -> Column:
-    return _usable(clean_issuer(extract(text, C.ISSUER_LABEL, 1)))
+def organization_line(line: Column) -> Column:
+    """The line as a plausible organization heading, '' otherwise."""
 
+    def heading(head: Column) -> Column:
+        ok = (
+            F.length(head).between(3, 40)
+            & (F.size(F.split(head, r"\s+")) <= 4)
+            & ~contains_any(F.lower(head), C.ORG_LINE_REJECT)
+            & ~holds_date(head)
+            & ~generic_issuer(head)
+        )
+        return F.when(ok, head).otherwise("")
 
-def issuer_from_marker(text: Column) -> Column:
-    return _usable(clean_issuer(extract(text, C.ISSUER_MARKER, 1)))
+    return let(F.regexp_replace(F.trim(line), r"""[ .:;,()"']+$""", ""), heading)
+
+
+def usable_issuer(issuer: Column) -> Column:
+    return F.when(~generic_issuer(issuer), issuer)
 
 
 def issuer_from_keyword_line(lines: Column) -> Column:
     named = F.filter(
         lines,
-        lambda x: contains_any(F.lower(x), C.ORG_WORDS) & (F.length(F.trim(x)) > 4) & ~x.contains(","),
+        lambda x: (F.length(F.trim(x)) > 4) & ~x.contains(",") & let(F.lower(x), lambda low: contains_any(low, C.ORG_WORDS)),
     )
     names = F.filter(F.transform(named, lambda x: clean_issuer(F.trim(x))), lambda x: ~generic_issuer(x))
     return F.try_element_at(names, F.lit(1))
@@ -131,10 +139,10 @@ def issuer_from_title_neighbour(lines: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(lines, around), lambda x: x != ""), F.lit(1))
 
 
-def issuer(text: Column, lines: Column) -> Column:
+def issuer(label_issuer: Column, marker_issuer: Column, lines: Column) -> Column:
     """Labeled field, then issuing phrase, then keyword line, then title neighbour."""
     return F.coalesce(
-        issuer_from_label(text), issuer_from_marker(text),
+        usable_issuer(label_issuer), usable_issuer(marker_issuer),
         issuer_from_keyword_line(lines), issuer_from_title_neighbour(lines), F.lit(""),
     )
 
@@ -146,13 +154,13 @@ def certificate_title(lines: Column) -> Column:
     return F.left(F.trim(F.coalesce(first("certificate"), first("certification"))), F.lit(100))
 
 
-def certificate_like(lines: Column) -> Column:
-    return F.exists(lines, lambda x: title_kind(x) != "")
+def date_hit(text: Column) -> Column:
+    """The first date of the text as it is written."""
+    return F.when(text.rlike(r"(?:19|20)\d{2}"), extract(text, DATE_SEARCH, 0))
 
 
-def date_iso(text: Column) -> Column:
-    """The first date in the text as YYYY-MM-DD; the calendar is not checked."""
-    hit = extract(text, C.DATE_IN_TEXT, 0)
+def date_iso(hit: Column) -> Column:
+    """A written date as YYYY-MM-DD; the calendar is not checked."""
 
     def whole(part: str) -> str:
         return rf"(?i)^(?:{part})$"
@@ -178,9 +186,13 @@ def date_iso(text: Column) -> Column:
     )
 
 
-def marks(text: Column) -> tuple[Column, Column]:
-    """(obtained, total) of the first 'marks x out of y' wording."""
-    hit = extract(text, C.MARKS_IN_TEXT, 0)
+def marks_hit(text: Column) -> Column:
+    """The first 'marks x out of y' wording."""
+    return extract(text, C.MARKS_IN_TEXT, 0)
+
+
+def marks(hit: Column) -> tuple[Column, Column]:
+    """(obtained, total) of a marks wording."""
     return (
         F.regexp_extract(hit, C.MARKS_IN_TEXT, 1).try_cast("double"),
         F.regexp_extract(hit, C.MARKS_IN_TEXT, 2).try_cast("double"),
@@ -208,32 +220,39 @@ def course_keyword(low: Column) -> Column:
     return F.coalesce(*[F.when(low.contains(w), F.lit(label)) for w, label in shown.items()])
 
 
-def course_above_title(lines: Column, name: Column, organization: Column) -> Column:
+def first_title_line(lines: Column) -> Column:
+    """One-based position of the first title line, 0 without one."""
+    titled = F.transform(lines, lambda x: title_kind(x) != "")
+    return F.coalesce(F.array_position(titled, F.lit(True)), F.lit(0)).cast("int")
+
+
+def course_above_title(lines: Column, title_at: Column, name: Column, organization: Column) -> Column:
     """Title-cased block directly above the first title line, read upwards."""
-    kinds = F.transform(lines, title_kind)
-    title_at = F.coalesce(
-        F.array_position(F.transform(kinds, lambda k: k != ""), F.lit(True)), F.lit(0)
-    ).cast("int")
     above = F.when(title_at > 1, F.reverse(F.slice(lines, F.lit(1), title_at - 1)))
     low_name, low_org = F.lower(F.trim(F.coalesce(name, F.lit("")))), F.lower(F.trim(F.coalesce(organization, F.lit(""))))
 
-    def step(acc: Column, line: Column) -> Column:
-        text = F.regexp_replace(F.trim(line), r"""^[.,;:"'()]+|[.,;:"'()]+$""", "")
-        low = F.lower(text)
-        first = F.left(text, F.lit(1))
-        stop = (
-            (F.length(text) > 120) | text.rlike(C.DATE_IN_TEXT) | low.isin(C.COURSE_STOP_LINES)
+    def stops(text: Column, line: Column) -> Column:
+        low, first = F.lower(text), F.left(text, F.lit(1))
+        return (
+            (F.length(text) > 120) | (first != F.upper(first)) | ~first.rlike(r"\p{L}")
+            | low.isin(C.COURSE_STOP_LINES)
             | ((low_name != "") & (low == low_name)) | ((low_org != "") & (low == low_org))
-            | (title_kind(text) != "") | line.rlike(C.LABELED_LINE)
-            | (first != F.upper(first)) | ~first.rlike(r"\p{L}") | text.rlike(r"[.!?]$")
-        )
-        skip = acc["done"] | (text == "")
-        return F.struct(
-            (acc["done"] | (~skip & stop)).alias("done"),
-            F.when(skip | stop, acc["text"])
-            .otherwise(F.trim(F.concat_ws(" ", text, acc["text"]))).alias("text"),
+            | (title_kind(text) != "") | text.rlike(r"[.!?]$") | line.rlike(C.LABELED_LINE) | holds_date(text)
         )
 
+    def step(acc: Column, line: Column) -> Column:
+        def extend(text: Column) -> Column:
+            skip = acc["done"] | (text == "")
+            return let(
+                ~skip & stops(text, line),
+                lambda stop: F.struct(
+                    (acc["done"] | stop).alias("done"),
+                    F.when(skip | stop, acc["text"]).otherwise(F.trim(F.concat_ws(" ", text, acc["text"]))).alias("text"),
+                ),
+            )
+
+        return let(F.regexp_replace(F.trim(line), r"""^[.,;:"'()]+|[.,;:"'()]+$""", ""), extend)
+
     start = F.struct(F.lit(False).alias("done"), F.lit("").alias("text"))
     found = F.aggregate(above, start, step, lambda acc: acc["text"])
     return F.when(F.length(found).between(3, 120), found)
@@ -254,7 +273,7 @@ def course_longest_line(lines: Column, name: Column, organization: Column) -> Co
             F.length(s["text"]).between(3, 120)
             & ((low_org == "") | (low != low_org)) & ((low_name == "") | (low != low_name))
             & (title_kind(s["text"]) == "") & ~s["raw"].rlike(C.LABELED_LINE)
-            & ~s["text"].rlike(C.DATE_IN_TEXT) & ~(org_heading & (low_org != ""))
+            & ~holds_date(s["text"]) & ~(org_heading & (low_org != ""))
         )
 
     texts = F.transform(F.filter(stripped, keep), lambda s: s["text"])
@@ -262,36 +281,40 @@ def course_longest_line(lines: Column, name: Column, organization: Column) -> Co
     return F.left(F.try_element_at(F.filter(texts, lambda x: F.length(x) == longest), F.lit(1)), F.lit(100))
 
 
-def _code_kind(label: str) -> str:
-    if any(k in label for k in ("certificate", "certification", "credential")):
-        return "certificate_id"
-    if any(k in label for k in ("reference", "serial")):
-        return "reference_number"
-    return "issuer_verification_code"
-
-
-def verification_codes(text: Column, low: Column) -> Column:
+def verification_codes(text: Column) -> Column:
     """Labeled credential identifiers as array<struct<label, code, kind>>.
 
-    One scan per label that occurs at all; a code named by several labels keeps
-    the first label in list order.
+    The code is the first token after its label. Labels are found in one scan; a
+    label that ends with another label wins over it, as it does in list order. A
+    code named by several labels keeps the first label in list order.
     """
-    none = F.array().cast("array<struct<label:string,code:string,kind:string>>")
-
-    def of(label: str) -> Column:
-        pattern = rf"(?i){re.escape(label)}(?=[\s\S]*?({C.CODE_TOKEN}))"
-        codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        return F.when(
-            low.contains(label),
-            F.transform(
-                codes,
-                lambda code: F.struct(F.lit(label).alias("label"), code.alias("code"), F.lit(_code_kind(label)).alias("kind")),
-            ),
-        ).otherwise(none)
-
-    found = reduce(lambda a, b: F.concat(a, b), [of(label) for label in C.CODE_LABELS])
-    by_code = F.transform(found, lambda s: s["code"])
-    return F.filter(found, lambda s, i: F.array_position(by_code, s["code"]) == i + 1)
+    labels = "|".join(re.escape(label) for label in C.CODE_LABELS)
+    pattern = F.lit(rf"(?i)(?=[euvcrs])({labels})(?=[\s\S]*?({C.CODE_TOKEN}))")
+    order = F.array(*[F.lit(label) for label in C.CODE_LABELS])
+    pairs = F.arrays_zip(
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), F.lower).alias("label"),
+        F.regexp_extract_all(text, pattern, F.lit(2)).alias("code"),
+    )
+
+    def described(pair: Column, at: Column) -> Column:
+        label = pair["label"]
+        kind = (
+            F.when(label.rlike("certificate|certification|credential"), "certificate_id")
+            .when(label.rlike("reference|serial"), "reference_number").otherwise("issuer_verification_code")
+        )
+        return F.struct(
+            F.array_position(order, label).alias("rank"), at.alias("at"), label.alias("label"),
+            pair["code"].alias("code"), kind.alias("kind"),
+        )
+
+    found = F.array_sort(F.transform(pairs, described))
+
+    def first_per_code(items: Column) -> Column:
+        codes = F.transform(items, lambda s: s["code"])
+        kept = F.filter(items, lambda s, i: F.array_position(codes, s["code"]) == i + 1)
+        return F.transform(kept, lambda s: F.struct(s["label"].alias("label"), s["code"].alias("code"), s["kind"].alias("kind")))
+
+    return let(found, first_per_code)
 
 
 def presence_flags(low: Column) -> dict[str, Column]:

@@ -29,11 +29,13 @@ def role_snippets(text: Column, low: Column, role: str, limit: int = C.SNIPPETS_
 
 def statements(text: Column, low: Column) -> Column:
     """All snippets as array<struct<role, phrase>> in role order."""
-    per_role = [
-        F.transform(role_snippets(text, low, role), lambda s, r=role: F.struct(F.lit(r).alias("role"), s.alias("phrase")))
-        for role in C.ROLE_PHRASES
-    ]
-    return reduce(lambda a, b: F.concat(a, b), per_role)
+
+    def of(role: str) -> Column:
+        return F.transform(
+            role_snippets(text, low, role), lambda s: F.struct(F.lit(role).alias("role"), s.alias("phrase"))
+        )
+
+    return reduce(lambda a, b: F.concat(a, b), [of(role) for role in C.ROLE_PHRASES])
 
 
 def credential_level(low: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -51,16 +52,27 @@ def split_lines(text: Column) -> Column:
     return F.split(text, LINE_BREAK)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over a value computed once.
+
+    Inside a lambda each mention of an expression is evaluated again; binding it
+    through a one-element array avoids that.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def title_kind(line: Column) -> Column:
     """'certificate', 'certification' or '' for one line of text."""
-    low = F.lower(F.trim(line))
-    fits = (low != "") & (F.length(low) <= 60)
-    return (
-        F.when(~fits, "")
-        .when(low.startswith("certificate") | low.endswith("certificate"), "certificate")
-        .when(low.startswith("certification") | low.endswith("certification"), "certification")
-        .otherwise("")
-    )
+
+    def kind(low: Column) -> Column:
+        return (
+            F.when((low == "") | (F.length(low) > 60), "")
+            .when(low.startswith("certificate") | low.endswith("certificate"), "certificate")
+            .when(low.startswith("certification") | low.endswith("certification"), "certification")
+            .otherwise("")
+        )
+
+    return let(F.lower(F.trim(line)), kind)
 
 
 def suspicious_keyword_count(text: Column) -> Column:
@@ -125,18 +137,23 @@ def mask_identifier(col: Column) -> Column:
 
 
 def mask_json_values(json: Column, keys: list[str] | None = None) -> Column:
-    """Mask string and number values stored under sensitive keys, at any depth.
+    """Mask the scalars (and flat arrays, as text) stored under sensitive keys at any depth.
 
-    Works on JSON text with one rewrite per key: the scalar's first four and last
-    three characters survive when it is longer than seven characters, every
-    character is starred when it is at most four long.
+    Finds every `"key": value` fragment and replaces it with its masked form; text
+    without a sensitive key is returned as it is.
     """
-    out = json
-    for key in keys or C.SENSITIVE_KEYS:
-        head = rf'("{re.escape(key)}"\s*:\s*"?)'
-        out = F.regexp_replace(out, head + r'([^"\\,{}\[\]\s]{4})[^"\\,{}\[\]]+([^"\\,{}\[\]]{3})(?=["\s,}])', "$1$2****$3")
-        out = F.regexp_replace(out, head + r'[^"\\,{}\[\]*\s]{1,4}(?=["\s,}])', "$1****")
-    return out
+    names = "|".join(re.escape(k) for k in (keys or C.SENSITIVE_KEYS))
+    head = rf'"(?:{names})"\s*:\s*'
+    value = r'("(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|-?[0-9][0-9.eE+-]*|true|false)'
+    found = F.array_distinct(F.regexp_extract_all(json, F.lit(head + value), F.lit(0)))
+
+    def masked(fragment: Column) -> Column:
+        raw = F.regexp_extract(fragment, rf"^{head}([\s\S]*)$", 1)
+        inner = F.regexp_replace(raw, r'^"([\s\S]*)"$', "$1")
+        label = F.regexp_extract(fragment, rf"^({head})", 1)
+        return F.concat(label, F.lit('"'), F.replace(mask_identifier(inner), F.lit('"'), F.lit("'")), F.lit('"'))
+
+    return F.aggregate(found, json, lambda acc, m: F.replace(acc, m, masked(m)))
 
 
 def safe_text(col: Column, limit: int = 500) -> Column:

@@ -69,7 +69,7 @@ def document_events(df: DataFrame, key: str = "document_id") -> DataFrame:
     their columns exist; a degraded document gets the failure event instead.
     """
     has = set(df.columns)
-    n_text = F.length(F.coalesce("text", F.lit("")))
+    n_text = F.col("extracted_text_length")
 
     def num(col: Column) -> Column:
         return col.cast("string")

@@ -17,10 +17,18 @@ def field_statuses(
     df: DataFrame, *, as_of: dt.date, known_issuer: Column | None = None,
     max_year: int = C.MAX_ISSUE_YEAR,
 ) -> DataFrame:
-    """Add ok / missing / warning per identity field and structure completeness."""
+    """Add ok / missing / warning per identity field, wording and structure completeness."""
     day = S.parse_date(F.col("issue_date"))
     known = S.issuer_known(F.col("organization")) if known_issuer is None else known_issuer
-    with_day = df.withColumns({"_day": day, "_known": known})
+    text = F.coalesce(F.col("text"), F.lit(""))
+    wording = df.withColumns({"_day": day, "_known": known, "_low": F.lower(text)})
+    with_day = wording.withColumns(
+        {
+            "keyword_count": T.count_contained(F.col("_low"), C.SUSPICIOUS_KEYWORDS),
+            "url_marker": T.contains_any(F.col("_low"), C.URL_MARKERS),
+            "labeled_id": F.left(F.trim(T.extract(text, C.LABELED_ID, 1)), F.lit(40)),
+        }
+    ).drop("_low")
     cert = F.trim(F.col("cert_id"))
     return with_day.withColumns(
         {
@@ -45,8 +53,7 @@ def consistency_rules() -> list[Rule]:
     total, obtained = F.col("marks_total").try_cast("double"), F.col("marks_obtained").try_cast("double")
     pct = S.marks_percent(total, obtained)
     has_cert, has_issuer = T.present(cert), T.present(F.col("organization"))
-    labeled = F.left(F.trim(T.extract(F.col("text"), C.LABELED_ID, 1)), F.lit(40))
-    keywords = T.suspicious_keyword_count(F.coalesce(F.col("text"), F.lit("")))
+    labeled, keywords = F.col("labeled_id"), F.col("keyword_count")
     structure = F.col("structure_completeness")
     bad_grade = T.present(grade) & (total > 0) & obtained.isNotNull() & ~S.grade_consistent(grade, pct)
     return [
@@ -74,7 +81,7 @@ def consistency_rules() -> list[Rule]:
         Rule("suspicious_wording", "Suspicious wording", "high", keywords > 0,
              F.concat(keywords.cast("string"), F.lit(" suspicious phrase(s)."))),
         Rule("suspicious_url", "Suspicious URL", "high",
-             T.suspicious_url_present(F.coalesce(F.col("text"), F.lit(""))),
+             F.col("url_marker"),
              F.lit("The text contains an external link.")),
         Rule("low_structure", "Missing expected structure", "medium", structure < 0.4,
              F.concat(F.lit("Only few expected fields are present: "), percent_text(structure))),

@@ -49,8 +49,8 @@ def prior_duplicates(
 
     A document is a duplicate when an earlier document of the same owner (by `seq`,
     without error rows) carries the same file, certificate-id or identity
-    fingerprint, in that priority; the earliest one is named. With `history` only
-    those stored documents count as earlier.
+    fingerprint, in that priority; the earliest one is named. With `history` the
+    documents of `df` are looked up in that table instead of in `df` itself.
 
     The earliest document per fingerprint is a partial aggregate, so no group is
     ever collected and no pairs are built; singletons are dropped before the join.
@@ -63,14 +63,11 @@ def prior_duplicates(
         firsts = rows.groupBy(*on).agg(F.min("_seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
         firsts = firsts.filter(F.col("n") > 1)
     else:
-        stored = _fingerprint_rows(valid, owner, seq).groupBy(*on).agg(F.min("_seq").alias("first_seq"))
         wanted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-        firsts = stored.join(wanted, on)
+        stored = _fingerprint_rows(valid, owner, seq).join(wanted, on)
+        firsts = stored.groupBy(*on).agg(F.min("_seq").alias("first_seq"), F.max("n").alias("n"))
     matched = lookup_join(rows, firsts, on, "n", hot_rows=hot_rows)
-    earlier = matched.filter(
-        F.col("first_seq").isNotNull()
-        & (F.lit(True) if history is not None else F.col("first_seq") < F.col("_seq"))
-    )
+    earlier = matched.filter(F.col("first_seq") < F.col("_seq"))
     best = earlier.groupBy("_seq").agg(F.min(F.struct("rank", "kind", "first_seq")).alias("b"))
     ids = valid.select(F.col(seq).alias("first_seq"), F.col("_doc").alias("duplicate_of"))
     named = best.select("_seq", F.col("b.kind").alias("duplicate_type"), F.col("b.first_seq").alias("first_seq"))

@@ -31,34 +31,37 @@ def extract_fields(
         *keep, raw.alias("_text"), F.lower(raw).alias("_low"), T.split_lines(raw).alias("_lines")
     )
     body, low, lines = F.col("_text"), F.col("_low"), F.col("_lines")
-    obtained, total = X.marks(body)
+    # Each stage reads values of the stage before it, so no search runs twice.
+    hits = base.select(
+        "*",
+        X.cert_id(body).alias("cert_id"), X.name_after_phrase(body).alias("_name"),
+        T.extract(body, C.ISSUER_LABEL, 1).alias("_label"), T.extract(body, C.ISSUER_MARKER, 1).alias("_marker"),
+        X.date_hit(body).alias("_date"), X.marks_hit(body).alias("_marks"),
+        X.grade(body, strict_grade).alias("grade"), X.first_title_line(lines).alias("_title_at"),
+        *[flag.alias(name) for name, flag in X.presence_flags(low).items()],
+        X.certificate_title(lines).alias("certificate_title"),
+        X.verification_codes(body).alias("verification_codes"),
+    )
+    obtained, total = X.marks(F.col("_marks"))
     bare = X.bare_name(lines, org_guard)
     if not allow_bare_name:
-        bare = F.when(X.certificate_like(lines), bare)
-    first = base.select(
-        *keep, "_text", "_low", "_lines",
-        X.cert_id(body).alias("cert_id"),
-        X.name_after_phrase(body).alias("_name1"),
-        X.issuer(body, lines).alias("organization"),
-        X.date_iso(body).alias("issue_date"),
+        bare = F.when(F.col("_title_at") > 0, bare)
+    parsed = hits.select(
+        "*",
+        X.clean_issuer(F.col("_label")).alias("_label_issuer"), X.clean_issuer(F.col("_marker")).alias("_marker_issuer"),
+        X.date_iso(F.col("_date")).alias("issue_date"),
         total.alias("marks_total"), obtained.alias("marks_obtained"),
-        X.grade(body, strict_grade).alias("grade"),
-        *[flag.alias(name) for name, flag in X.presence_flags(low).items()],
-        X.certificate_title(lines).alias("certificate_title"),
-        X.verification_codes(body, low).alias("verification_codes"),
+        F.coalesce("_name", X.name_before_verb(body, low), bare).alias("candidate_name"),
     )
-    named = first.withColumn(
-        "candidate_name", F.coalesce("_name1", X.name_before_verb(body), bare)
+    named = parsed.withColumn(
+        "organization", X.issuer(F.col("_label_issuer"), F.col("_marker_issuer"), lines)
     )
+    who = (F.col("candidate_name"), F.col("organization"))
     course = F.coalesce(
-        X.course_above_title(lines, F.col("candidate_name"), F.col("organization")),
-        X.course_phrase(body),
-        X.course_keyword(low),
+        X.course_above_title(lines, F.col("_title_at"), *who), X.course_phrase(body), X.course_keyword(low)
     )
     if allow_bare_name:
-        course = F.coalesce(
-            course, X.course_longest_line(lines, F.col("candidate_name"), F.col("organization"))
-        )
+        course = F.coalesce(course, X.course_longest_line(lines, *who))
     return named.withColumn("course", course).select(
         *keep, *[c for c in FIELD_COLUMNS if c != "has_verification_code"],
         (F.size("verification_codes") > 0).alias("has_verification_code"),

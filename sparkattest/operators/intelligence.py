@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..functions.scores import confidence_level
+from ..functions.semantics import credential_statement_present
 from .consistency import consistency
 from .findings import Rule, any_key, as_array, severity_count, yes
 
 
 def with_types(df: DataFrame, text: str = "text", issuer: str = "organization") -> DataFrame:
-    """Add six type flag columns, the flag map and the primary type."""
+    """Add six type flag columns, the flag map, the primary type and the credential statement."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     low_issuer = F.lower(F.coalesce(F.col(issuer), F.lit("")))
-    flags = T.type_flag_columns(low, low_issuer)
-    with_flags = df.withColumns({f"type_{name}": flags[name] for name in C.TYPE_PRECEDENCE})
+    flags = T.type_flag_columns(F.col("_low"), F.col("_low_issuer"))
+    lowered = df.withColumns({"_low": low, "_low_issuer": low_issuer})
+    with_flags = lowered.withColumns(
+        {
+            **{f"type_{name}": flags[name] for name in C.TYPE_PRECEDENCE},
+            "credential_statement": credential_statement_present(F.col("_low")),
+        }
+    ).drop("_low", "_low_issuer")
     stored = {name: F.col(f"type_{name}") for name in C.TYPE_PRECEDENCE}
     pairs = [x for name, col in stored.items() for x in (F.lit(name), col)]
     return with_flags.withColumns(
@@ -175,7 +182,6 @@ def with_review(df: DataFrame) -> DataFrame:
 
     Uses `is_duplicate` when the table has it.
     """
-    low = F.coalesce(F.col("text"), F.lit(""))
     duplicate = F.col("is_duplicate") if "is_duplicate" in df.columns else F.lit(False)
     staged = df.withColumns(
         {
@@ -185,8 +191,7 @@ def with_review(df: DataFrame) -> DataFrame:
                 severity_count(F.col("risk_signals"), "medium"),
             ),
             "ood_status": ood_status(
-                F.col("extraction_completeness"), T.suspicious_keyword_count(low),
-                T.suspicious_url_present(low).cast("int"),
+                F.col("extraction_completeness"), F.col("keyword_count"), F.col("url_marker").cast("int"),
             ),
         }
     )

@@ -35,7 +35,7 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_
 TEXTS = """
 SELECT t.*,
        CASE WHEN document_id % 43 = 0 THEN '' ELSE concat_ws(chr(10),
-         title,
+         CASE WHEN document_id % 12 = 7 AND course <> '' THEN concat_ws(chr(10), candidate_name, course, 'Field Report', title) ELSE title END,
          CASE WHEN candidate_name = '' THEN 'To whom it may concern'
               WHEN document_id % 29 = 0 THEN candidate_name || ' has successfully completed all tasks'
               WHEN document_id % 7 = 0 THEN 'Awarded to ' || candidate_name
@@ -175,11 +175,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer files than the session has cores.
+
+    Large inputs come in many files and keep their own partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a lazy DataFrame over the Parquet inputs."""
-    body = ctes(name)
-    for base in ("orders", "customer", "nation"):
-        body = body.replace(f"FROM {base} ", f"FROM parquet.`{sf_dir}/{base}.parquet` ").replace(
-            f"JOIN {base} ", f"JOIN parquet.`{sf_dir}/{base}.parquet` "
-        )
-    return spark.sql(f"{body}\nSELECT * FROM {name}")
+    orders = table(spark, sf_dir, "orders").drop("o_comment")
+    base = {
+        "orders": spread(orders) if name in ("texts_v", "raw_v") else orders,
+        "customer": table(spark, sf_dir, "customer"), "nation": table(spark, sf_dir, "nation"),
+    }
+    # Braces of JSON literals are doubled; the only real placeholders are the base tables.
+    body = ctes(name).replace("{", "{{").replace("}", "}}")
+    for key in base:
+        body = body.replace(f"FROM {key} ", f"FROM {{{key}}} ").replace(f"JOIN {key} ", f"JOIN {{{key}}} ")
+    return spark.sql(f"{body}\nSELECT * FROM {name}", **base)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import identity_fingerprint
+from ..functions.text import cert_id_fingerprint, identity_fingerprint
 from ..operators.anomaly import with_anomaly
 from ..operators.duplicates import prior_duplicates
 from ..operators.evidence import degraded_defaults, fuse, with_evidence_items, with_masses
@@ -16,6 +16,7 @@ from ..operators.extraction import extract_fields, with_extraction_quality
 from ..operators.features import build_features
 from ..operators.intelligence import intelligence, with_review
 from ..operators.issuers import assess_issuer, code_state, registry_lookup
+from ..session import cut_lineage
 
 
 def analyze(
@@ -49,28 +50,31 @@ def verify_documents(
 ) -> DataFrame:
     """Scored documents (text, prediction, risk_score, confidence) to decisions.
 
-    Only the duplicate lookup and an oversized registry shuffle. `with_items` also
-    keeps the evidence array; the decision itself needs only the two masses.
+    Extraction and rules run once over the texts and are written without them; only
+    the duplicate lookup and an oversized registry shuffle. `with_items` also keeps
+    the evidence array; the decision itself needs only the two masses.
     """
     analyzed = analyze(docs, as_of=as_of, known_issuer=known_issuer, extracted=extracted, max_year=max_year)
     if "file_fingerprint" not in analyzed.columns:
         analyzed = analyzed.withColumn("file_fingerprint", F.sha2(F.col("text"), 256))
     printed = analyzed.withColumns(
         {
-            "cert_id_fingerprint": F.regexp_replace(F.upper("cert_id"), "[^A-Z0-9-]", ""),
+            "cert_id_fingerprint": cert_id_fingerprint(F.col("cert_id")),
             "identity_fingerprint": identity_fingerprint(
                 F.col("candidate_name"), F.col("organization"), F.col("course"), F.col("issue_date")
             ),
         }
     )
-    keys = printed.select(
+    # The texts are read once: from here on a table without them serves every branch.
+    compact = cut_lineage(printed.drop("text"))
+    keys = compact.select(
         seq, owner, "prediction", *[f"{k}_fingerprint" for k in ("file", "cert_id", "identity")],
         F.col(seq).alias("_doc"),
     )
     duplicates = prior_duplicates(keys, seq=seq, owner=owner, doc_id="_doc").select(
         seq, "duplicate_of", "duplicate_type", "is_duplicate"
     )
-    reviewed = with_review(printed.join(duplicates, seq, "left"))
+    reviewed = with_review(compact.join(duplicates, seq, "left"))
     checked = with_anomaly(with_issuer_checks(reviewed, registry))
     evidence = with_evidence_items(checked) if with_items else checked
     return degraded_defaults(fuse(with_masses(evidence)))

@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.audit import prepare_events
@@ -71,12 +72,13 @@ def start_duplicate_check(
         except Exception as exc:  # the history folder does not exist before the first batch
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
-        pool = known.unionByName(batch)
-        checked = prior_duplicates(pool, seq=seq, owner=owner, doc_id=doc_id)
-        fresh = checked.join(batch.select(seq), seq, "left_semi").withColumn("batch_id", F.lit(batch_id))
+        checked = prior_duplicates(
+            batch, seq=seq, owner=owner, doc_id=doc_id, history=known.unionByName(batch)
+        )
+        fresh = checked.withColumn("batch_id", F.lit(batch_id))
         fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(history_path)
 
-    history_schema = docs.schema.add("batch_id", "long")
+    history_schema = ST.StructType([*docs.schema.fields, ST.StructField("batch_id", ST.LongType())])
     return docs.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
