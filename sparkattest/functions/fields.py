@@ -6,9 +6,6 @@ higher-order functions over the array of lines of one document.
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +13,8 @@ from .. import constants as C
 from .text import contains_any, extract, let, title_kind
 
 
-# The same dates, with a first look at the initial that spares most word starts the full pattern.
-DATE_SEARCH = C.DATE_IN_TEXT.replace(r"\b(?:", r"\b(?=[0-9jfmasond])(?:", 1)
+# The same dates, with a look ahead that spares ordinary words the full pattern.
+DATE_SEARCH = C.DATE_IN_TEXT.replace(r"\b(?:", r"\b(?=\d|[jfmasond][a-z]{2,8}[.,]?\s+\d)(?:", 1)
 
 
 def cert_id(text: Column) -> Column:
@@ -147,9 +144,12 @@ def issuer(label_issuer: Column, marker_issuer: Column, lines: Column) -> Column
     )
 
 
-def certificate_title(lines: Column) -> Column:
+def certificate_title(lines: Column, kinds: Column) -> Column:
+    """The first 'certificate' line, else the first 'certification' line."""
+
     def first(kind: str) -> Column:
-        return F.try_element_at(F.filter(lines, lambda x: title_kind(x) == kind), F.lit(1))
+        at = F.array_position(kinds, F.lit(kind)).cast("int")
+        return F.when(at > 0, F.get(lines, at - 1))
 
     return F.left(F.trim(F.coalesce(first("certificate"), first("certification"))), F.lit(100))
 
@@ -220,10 +220,10 @@ def course_keyword(low: Column) -> Column:
     return F.coalesce(*[F.when(low.contains(w), F.lit(label)) for w, label in shown.items()])
 
 
-def first_title_line(lines: Column) -> Column:
+def first_title_line(kinds: Column) -> Column:
     """One-based position of the first title line, 0 without one."""
-    titled = F.transform(lines, lambda x: title_kind(x) != "")
-    return F.coalesce(F.array_position(titled, F.lit(True)), F.lit(0)).cast("int")
+    ends = [F.array_position(kinds, F.lit(k)) for k in ("certificate", "certification")]
+    return F.coalesce(F.least(*[F.when(e > 0, e) for e in ends]), F.lit(0)).cast("int")
 
 
 def course_above_title(lines: Column, title_at: Column, name: Column, organization: Column) -> Column:
@@ -288,7 +288,11 @@ def verification_codes(text: Column) -> Column:
     label that ends with another label wins over it, as it does in list order. A
     code named by several labels keeps the first label in list order.
     """
-    labels = "|".join(re.escape(label) for label in C.CODE_LABELS)
+    rests: dict[str, list[str]] = {}
+    for label in C.CODE_LABELS:
+        word, rest = label.split(" ", 1)
+        rests.setdefault(word, []).append(rest)
+    labels = "|".join(f"{word} (?:{'|'.join(rest)})" for word, rest in rests.items())
     pattern = F.lit(rf"(?i)(?=[euvcrs])({labels})(?=[\s\S]*?({C.CODE_TOKEN}))")
     order = F.array(*[F.lit(label) for label in C.CODE_LABELS])
     pairs = F.arrays_zip(

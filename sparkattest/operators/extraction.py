@@ -29,17 +29,17 @@ def extract_fields(
     keep = [c for c in df.columns if c not in FIELD_COLUMNS]
     base = df.select(
         *keep, raw.alias("_text"), F.lower(raw).alias("_low"), T.split_lines(raw).alias("_lines")
-    )
-    body, low, lines = F.col("_text"), F.col("_low"), F.col("_lines")
+    ).withColumn("_kinds", F.transform("_lines", T.title_kind))
+    body, low, lines, kinds = F.col("_text"), F.col("_low"), F.col("_lines"), F.col("_kinds")
     # Each stage reads values of the stage before it, so no search runs twice.
     hits = base.select(
         "*",
         X.cert_id(body).alias("cert_id"), X.name_after_phrase(body).alias("_name"),
         T.extract(body, C.ISSUER_LABEL, 1).alias("_label"), T.extract(body, C.ISSUER_MARKER, 1).alias("_marker"),
         X.date_hit(body).alias("_date"), X.marks_hit(body).alias("_marks"),
-        X.grade(body, strict_grade).alias("grade"), X.first_title_line(lines).alias("_title_at"),
+        X.grade(body, strict_grade).alias("grade"), X.first_title_line(kinds).alias("_title_at"),
         *[flag.alias(name) for name, flag in X.presence_flags(low).items()],
-        X.certificate_title(lines).alias("certificate_title"),
+        X.certificate_title(lines, kinds).alias("certificate_title"),
         X.verification_codes(body).alias("verification_codes"),
     )
     obtained, total = X.marks(F.col("_marks"))

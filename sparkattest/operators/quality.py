@@ -159,6 +159,24 @@ def column_order_mismatches(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position string, actual string, expected string")
 
 
+def alignment_table(df: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per contract feature: in the schema, numeric, at the expected position, null rate."""
+    issues = [(r["issue"], r["column_name"]) for r in schema_alignment(df).collect()]
+    got = [c for c in df.columns if c in C.FEATURE_COLUMNS]
+    want = [c for c in expected.columns if c in C.FEATURE_COLUMNS and c in got]
+    rows = [
+        (
+            c, int(("missing_column", c) not in issues),
+            int(c in got and ("dtype_issue", c) not in issues),
+            int(c in got and got.index(c) == want.index(c)),
+        )
+        for c in C.FEATURE_COLUMNS
+    ]
+    # One row per contract feature.
+    shape = df.sparkSession.createDataFrame(rows, "feature string, in_schema int, numeric_type int, same_position int")
+    return shape.join(null_rates(df), "feature", "left")
+
+
 # Certificate types the training table accepts without a warning.
 TRAINING_TYPES = ["academic", "non_academic", "unknown"]
 

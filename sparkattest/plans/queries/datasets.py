@@ -13,6 +13,7 @@ from ...operators.families import connected_families
 from ...operators.history import snapshot_features
 from ...operators.models import usable_rows
 from ...operators.splits import assign_splits, labeled_records, stratified_split, template_splits
+from ...session import cut_lineage
 from ...sources.writers import split_write_back
 from ..candidates import collect_reviewed
 from ..derived import ctes, derived, table
@@ -187,11 +188,13 @@ def cross_split_counts(spark, sf):
 
 @query(
     "leakage_gate",
-    RV + """, l AS (SELECT 'file_fingerprint' AS column_name FROM reviewed_v WHERE document_id % 5 = 0) SELECT 'file_fingerprint' AS column_name, CAST(0 AS BIGINT) AS cross_split_values, 1 AS ok""",
+    RV + """, s AS (SELECT file_fingerprint, CASE WHEN left(sha1(file_fingerprint), 1) IN ('0', '1', '2') THEN 'test' ELSE 'train' END AS split FROM reviewed_v WHERE trim(file_fingerprint) <> ''),
+g AS (SELECT file_fingerprint, count(DISTINCT split) AS n FROM s GROUP BY file_fingerprint)
+SELECT 'file_fingerprint' AS column_name, count(*) FILTER (WHERE n > 1) AS cross_split_values, CAST(count(*) FILTER (WHERE n > 1) = 0 AS INT) AS ok FROM g""",
 )
 def leakage_gate(spark, sf):
     """A split by hash of one key passes the gate for that key."""
-    side = F.when(F.crc32("file_fingerprint") % 5 == 0, "test").otherwise("train")
+    side = F.when(F.left(F.sha1("file_fingerprint"), F.lit(1)).isin("0", "1", "2"), "test").otherwise("train")
     rows = reviewed(spark, sf).select("document_id", "file_fingerprint", side.alias("split"))
     return L.check_split_leakage(rows).withColumn("ok", F.col("ok").cast("int"))
 
@@ -363,19 +366,24 @@ def training_schema_checks(spark, sf):
     return K.schema_checks(rows)
 
 
+_NULL_RATE = {"course_present": "document_id % 10 = 0", "text_duplicate_similarity": "true"}
+
+
 @query(
     "schema_alignment",
-    "SELECT * FROM (VALUES ('missing_column', 'seal_present'), ('extra_column', 'document_id'), ('dtype_issue', 'qr_present')) t(issue, column_name)",
+    ctes("raw_v") + " " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {int(c != 'seal_present')} AS in_schema, {int(c not in ('seal_present', 'qr_present'))} AS numeric_type, "
+        f"{int(c not in ('seal_present', 'cert_id_format_valid', 'cert_id_checksum_valid'))} AS same_position, "
+        + ("max(CAST(NULL AS DOUBLE))" if c == "seal_present" else f"round(avg(CAST({_NULL_RATE.get(c, 'false')} AS INT)), 4)") + " AS null_rate FROM raw_v"
+        for c in C.FEATURE_COLUMNS
+    ),
 )
 def schema_alignment(spark, sf):
-    return K.schema_alignment(messy_features(spark, sf).drop("seal_present"))
-
-
-@query("column_order", "SELECT * FROM (VALUES ('0', 'cert_id_checksum_valid', 'cert_id_format_valid'), ('1', 'cert_id_format_valid', 'cert_id_checksum_valid')) t(position, actual, expected)")
-def column_order(spark, sf):
+    """A table with a dropped column, a text column and two swapped columns against the contract."""
     full = training_features_df(spark, sf)
-    swapped = full.select("cert_id_checksum_valid", "cert_id_format_valid", *C.FEATURE_COLUMNS[2:])
-    return K.column_order_mismatches(swapped, full)
+    order = ["cert_id_checksum_valid", "cert_id_format_valid", *[c for c in C.FEATURE_COLUMNS[2:] if c != "seal_present"]]
+    messy = messy_features(spark, sf).select("document_id", *order)
+    return K.alignment_table(messy, full)
 
 
 @query(
@@ -407,7 +415,7 @@ def usable_training_rows(spark, sf):
             "features_available": F.col("document_id") % 6 != 0,
         }
     )
-    return usable_rows(rows).select("document_id", "label", "suspicious_keyword_count")
+    return usable_rows(cut_lineage(rows)).select("document_id", "label", "suspicious_keyword_count")
 
 
 def with_snapshots(spark, sf):

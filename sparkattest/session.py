@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture doubles the time to build large expressions from Python.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
