@@ -57,7 +57,7 @@ def prior_duplicates(
     """
     on = ["_owner", "rank", "value"]
     pool = df if history is None else history
-    valid = pool.filter(F.col("prediction") != "error").withColumnRenamed(doc_id, "_doc")
+    valid = pool.filter(F.col("prediction") != "error").withColumn("_doc", F.col(doc_id))
     rows = _fingerprint_rows(valid if history is None else df, owner, seq)
     if history is None:
         firsts = rows.groupBy(*on).agg(F.min("_seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
