@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -111,8 +111,8 @@ def keep_first(df: DataFrame, keys: list[str], *, seq: str, skip_blank: bool = T
     """
     filled = reduce(lambda a, b: a | b, [T.present(F.col(k)) for k in keys])
     keyed = df.select(F.col(seq), *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_k{i}") for i, k in enumerate(keys)], filled.alias("_filled"))
-    single = F.when(F.col("_filled"), F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(seq)))
-    grouped = keyed.withColumn("_own", single if skip_blank else F.lit(0).cast("long"))
+    single = F.when(F.col("_filled"), "").otherwise(F.col(seq).cast("string"))
+    grouped = keyed.withColumn("_own", single if skip_blank else F.lit(""))
     winners = grouped.groupBy(*[f"_k{i}" for i in range(len(keys))], "_own").agg(F.min(seq).alias(seq))
     return df.join(winners.select(seq), seq, "left_semi")
 
@@ -125,10 +125,8 @@ def dedupe_reviewed(df: DataFrame, *, seq: str, skip_blank: bool = True) -> Data
 
 
 def removed_count(before: DataFrame, after: DataFrame) -> DataFrame:
-    a = before.agg(F.count(F.lit(1)).alias("rows_before"))
-    b = after.agg(F.count(F.lit(1)).alias("rows_after"))
-    return a.join(b).withColumn("removed", F.col("rows_before") - F.col("rows_after"))
-
+    left = after.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return before.agg(F.count(F.lit(1)).alias("rows_before")).withColumn("rows_after", left).withColumn(
+        "removed", F.col("rows_before") - F.col("rows_after")
+    )
 
-def shared_value(col: Column) -> Column:
-    return F.when(T.present(col), F.trim(col.cast("string")))

@@ -10,6 +10,7 @@ from ..functions.scores import completeness_bucket, risk_band
 from ..functions.text import present
 from .history import evidence_snapshot, stored_completeness, stored_primary_type
 from .intelligence import lookup
+from .skew import lookup_join
 
 TRUTH = {"confirmed_genuine": "genuine", "confirmed_suspicious": "suspicious"}
 DECISIVE_ASSESSMENT = {"LIKELY_GENUINE": "genuine", "LIKELY_SUSPICIOUS": "suspicious"}
@@ -33,10 +34,13 @@ def validate_submissions(submissions: DataFrame, verifications: DataFrame, revie
     """
     known = verifications.select("verification_id", F.col("prediction").alias("_prediction"))
     done = reviewed.select("verification_id").distinct().withColumn("_done", F.lit(True))
-    first = submissions.groupBy("verification_id").agg(F.min("submission_id").alias("_first"))
-    joined = submissions.join(known, "verification_id", "left").join(done, "verification_id", "left").join(
-        first, "verification_id", "left"
+    # Everything known about a verification is joined per id first; the submissions then
+    # look it up, also when one id holds a large share of them.
+    per_id = submissions.groupBy("verification_id").agg(
+        F.min("submission_id").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
+    facts = per_id.join(known, "verification_id", "left").join(done, "verification_id", "left")
+    joined = lookup_join(submissions, facts, ["verification_id"], "_n")
     reason = (
         F.when(~F.coalesce(F.col("reviewer_label").isin(C.REVIEWER_LABELS), F.lit(False)), "invalid_label")
         .when(F.length("reviewer_note") > MAX_NOTE_CHARS, "note_too_long")
@@ -44,7 +48,7 @@ def validate_submissions(submissions: DataFrame, verifications: DataFrame, revie
         .when(F.col("_prediction") == "error", "failed_verification")
         .when(F.col("_done") | (F.col("submission_id") > F.col("_first")), "already_reviewed")
     )
-    return joined.withColumn("reject_reason", reason).drop("_prediction", "_done", "_first")
+    return joined.withColumn("reject_reason", reason).drop("_prediction", "_done", "_first", "_n")
 
 
 def snapshot_reviews(accepted: DataFrame, verifications: DataFrame) -> DataFrame:
@@ -75,9 +79,9 @@ def feedback_summary(feedback: DataFrame, verifications: DataFrame) -> DataFrame
         F.count_if(label.isin(C.DECISIVE_LABELS)).alias("decisive_reviews"),
         F.count_if(is_disagreement(label, F.col("original_prediction"))).alias("disagreement_count"),
     )
-    good = verifications.agg(F.count_if(F.col("prediction") != "error").alias("_ok"))
+    good = verifications.agg(F.count_if(F.col("prediction") != "error").alias("_ok")).scalar()
     return (
-        counts.join(good)
+        counts.withColumn("_ok", good)
         .withColumns(
             {
                 "not_reviewed": F.greatest(F.col("_ok") - F.col("total_reviewed"), F.lit(0)),

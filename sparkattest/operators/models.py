@@ -28,8 +28,8 @@ def usable_rows(df: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Add balanced weights n / (2 * n_class); two rows are broadcast."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    weights = counts.join(F.broadcast(total)).select(label, (F.col("_total") / (2.0 * F.col("_n"))).alias("weight"))
+    total = counts.agg(F.sum("_n").alias("n")).scalar()
+    weights = counts.select(label, (total / (2.0 * F.col("_n"))).alias("weight"))
     return df.join(F.broadcast(weights), label)
 
 
@@ -84,8 +84,10 @@ def evaluate(scored: DataFrame, model: str, label: str = "label") -> DataFrame:
     """One metric row of a scored table, with ranking metrics."""
     rows = scored.withColumn("_predicted", (F.col("prediction") == "suspicious").cast("int"))
     block = class_metrics(rows, label, "_predicted").drop("group_value")
-    auc = ranking_metrics(rows, "risk_score", label).select("roc_auc", "pr_auc")
-    return block.join(auc).withColumn("model", F.lit(model))
+    ranking = ranking_metrics(rows, "risk_score", label)
+    return block.withColumns(
+        {"roc_auc": ranking.select("roc_auc").scalar(), "pr_auc": ranking.select("pr_auc").scalar(), "model": F.lit(model)}
+    )
 
 
 def benchmark(

@@ -225,13 +225,13 @@ def unexpected_values(df: DataFrame, column: str, allowed: list) -> DataFrame:
 
 def readiness(df: DataFrame) -> DataFrame:
     """Dry-run summary: would this table pass training."""
-    errors = schema_checks(df).filter("severity = 'error'").agg(F.sum("violations").alias("schema_errors"))
-    issues = schema_alignment(df).filter("issue <> 'extra_column'").agg(F.count(F.lit(1)).alias("alignment_errors"))
+    errors = schema_checks(df).filter("severity = 'error'").agg(F.sum("violations").alias("n")).scalar()
+    issues = schema_alignment(df).filter("issue <> 'extra_column'").agg(F.count(F.lit(1)).alias("n")).scalar()
     label = F.col("label") if "label" in df.columns else F.lit(None).cast("int")
     counts = df.agg(
         F.count(F.lit(1)).alias("row_count"), F.count_if(label == 0).alias("genuine_count"),
         F.count_if(label == 1).alias("suspicious_count"),
     )
-    return counts.join(errors).join(issues).withColumn(
+    return counts.withColumns({"schema_errors": errors, "alignment_errors": issues}).withColumn(
         "would_pass_training", (F.col("schema_errors") == 0) & (F.col("alignment_errors") == 0)
     )
