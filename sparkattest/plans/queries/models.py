@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...operators import models as M
 from ...operators import scoring as S
 from ...operators.splits import stratified_split
+from ...session import cut_lineage
 from ..derived import ctes, derived, table
 from . import query
 from .documents import training_features_df
@@ -90,7 +91,7 @@ def balanced_class_weights(spark, sf):
 @query("logistic_regression_scores")
 def logistic_regression_scores(spark, sf):
     """Test-split scores of a balanced logistic regression on the feature table."""
-    rows = stratified_split(training_features_df(spark, sf), "document_id")
+    rows = cut_lineage(stratified_split(training_features_df(spark, sf), "document_id"))
     model = M.fit(rows.filter("split = 'train'"), "logistic_regression")
     return M.score(model, rows.filter("split = 'test'"), version="logistic_regression").select(
         "document_id", "label", "prediction", "risk_score", "confidence", "model_version"
@@ -100,7 +101,7 @@ def logistic_regression_scores(spark, sf):
 @query("forest_importances")
 def forest_importances(spark, sf):
     """Importances of a small balanced forest over all training rows."""
-    return M.importances(M.fit(training_features_df(spark, sf), "forest", trees=20), spark)
+    return M.importances(M.fit(cut_lineage(training_features_df(spark, sf)), "forest", trees=20), spark)
 
 
 @query("candidate_benchmark")
