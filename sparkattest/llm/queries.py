@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, piece_codec
+from . import chat, piece_codec, prefix_join, window_dedup
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,19 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = prefix_join.linked_documents(table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 @query
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
