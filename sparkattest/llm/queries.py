@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, piece_codec, prefix_join, window_dedup
+from . import chat, piece_codec, prefix_join, robust_outliers, spaced_seeds, window_dedup
+from ._tables import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -27,6 +28,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = robust_outliers.with_statistics(table(spark, sf_dir, "documents")).drop("text", "n_chars")
+    judged = robust_outliers.judge(stored(counted))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("distance", 6).alias("distance"),
+    )
+
+
 @query
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
@@ -40,6 +51,12 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spaced_seeds.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "at")
+
+
 @query
 def op7_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = prefix_join.linked_documents(table(spark, sf_dir, "documents"))
