@@ -29,7 +29,7 @@ from ._tables import fresh, stored
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST, SHARE, STEPS, BINS = 200, 0.75, 4, 64
-CUTOFF, MEDIAN = 60.0, 4.3515
+CUTOFF, MEDIAN = 100.0, 4.3515
 RIDGE = (0.05, 0.005, 0.15, 1.0, 1.0)
 P = len(RIDGE)
 LOW_BITS = 24
