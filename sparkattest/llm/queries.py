@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, piece_codec, prefix_join, robust_outliers, spaced_seeds, window_dedup
+from . import chat, piece_codec, prefix_join, robust_outliers, spaced_seeds, toxicity, window_dedup
 from ._tables import stored
 
 QUERIES: dict = {}
@@ -51,6 +51,26 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOXIC_AT = 0.3
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from the labelled rows whose crc32(doc_id as text) mod 4 is not 2."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    labels = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score",
+        (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spaced_seeds.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
