@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._tables import fresh, stored, tasks
-from ._words import Words, binary_column, from_planes, planes, slices
+from ._words import Words, binary_column, from_planes, mix, planes, slices
 
 SIZE = 20
 NO_ID = -(2**63)
@@ -122,24 +122,39 @@ def _window_entries(size: int, buckets: int):
     return run
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, positions) of the windows that start earlier elsewhere, from all entries of a task."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            entry = _unpacked(row)
-            if row["bucket"] == MARKED:
-                yield from _by_document(entry[0], entry[1])
-            else:
-                held.setdefault(row["bucket"], []).append(entry)
-    for parts in held.values():
-        ids, positions, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, later = first_of_each(hashes, ids, positions)
-        yield from _by_document(ids[later], positions[later])
-
-
-def _by_document(ids: np.ndarray, positions: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(ids):
+def _marks(tasks_after: int):
+    def dealt(ids: np.ndarray, positions: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Marks packed for the task that gathers their document."""
+        if len(ids):
+            to = (mix(ids.view(np.uint64)) % np.uint64(tasks_after)).astype(np.int32)
+            order = np.lexsort((positions, ids, to))
+            edges = np.searchsorted(to[order], np.arange(tasks_after + 1))
+            parts = [(int(k), order[edges[k] : edges[k + 1]]) for k in np.flatnonzero(np.diff(edges))]
+            yield _rows([_packed(k, ids[own], positions[own], None) for k, own in parts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that start earlier elsewhere, from all entries of a task."""
+        held: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                entry = _unpacked(row)
+                if row["bucket"] == MARKED:
+                    yield from dealt(entry[0], entry[1])
+                else:
+                    held.setdefault(row["bucket"], []).append(entry)
+        for parts in held.values():
+            ids, positions, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, later = first_of_each(hashes, ids, positions)
+            yield from dealt(ids[later], positions[later])
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, starts): one row per document that has marks."""
+    held = [_unpacked(row)[:2] for batch in batches for row in batch.to_pylist()]
+    if held:
+        ids, positions = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((positions, ids))
         ids, positions = ids[order], positions[order]
         head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
@@ -148,22 +163,23 @@ def _by_document(ids: np.ndarray, positions: np.ndarray) -> Iterator[pa.RecordBa
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, starts): word positions where a window starts that also starts earlier; several rows per document."""
+    """(id, starts): per document the word positions where a window starts that also starts earlier."""
     n = tasks(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     entries = narrow.mapInArrow(_window_entries(size, n), ENTRIES_DDL)
     by_task = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("ids", "positions"), F.lit(n)))
-    return entries.repartitionById(n, by_task.cast("int")).mapInArrow(_marks, "id long, starts binary")
+    marks = entries.repartitionById(n, by_task.cast("int")).mapInArrow(_marks(n), ENTRIES_DDL)
+    return marks.repartitionById(n, F.col("bucket")).mapInArrow(_gathered, "id long, starts binary")
 
 
-def _removed(starts: list[bytes] | None, size: int, n_words: int) -> np.ndarray:
+def _removed(starts: bytes | None, size: int, n_words: int) -> np.ndarray:
     """Merged intervals [start, end) of words covered by the marked windows."""
-    if not starts:
+    at = from_planes(np.frombuffer(starts or b"", np.uint8), len(starts or b"") // 4, 4).astype(np.int64)
+    at = np.unique(at[at < n_words])
+    if not len(at):
         return np.zeros((0, 2), np.int64)
-    at = np.unique(np.concatenate([from_planes(np.frombuffer(s, np.uint8), len(s) // 4, 4) for s in starts])).astype(np.int64)
-    at = at[at < n_words]
     gap = np.flatnonzero(np.diff(at) > size)
-    return np.c_[at[np.r_[0, gap + 1]], np.minimum(at[np.r_[gap, len(at) - 1]] + size, n_words)] if len(at) else np.zeros((0, 2), np.int64)
+    return np.c_[at[np.r_[0, gap + 1]], np.minimum(at[np.r_[gap, len(at) - 1]] + size, n_words)]
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,7 +189,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", te
     unchanged. Adds n_words, n_removed and removed_spans (start and end word of each maximal
     run); names that are taken get underscores.
     """
-    marks = stored(repeated_windows(docs, size, doc_id, text).groupBy("id").agg(F.collect_list("starts").alias("starts")))
+    marks = stored(repeated_windows(docs, size, doc_id, text))
     key, starts = fresh(docs, "mark_id"), fresh(docs, "mark_starts")
     own = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
     joined = docs.join(marks.select(F.col("id").alias(key), F.col("starts").alias(starts)), own == F.col(key), "left").drop(key)
