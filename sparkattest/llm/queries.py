@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, piece_codec, prefix_join, robust_outliers, spaced_seeds, toxicity, window_dedup
+from . import chat, html_layout, piece_codec, prefix_join, robust_outliers, spaced_seeds, toxicity, window_dedup
 from ._tables import stored
 
 QUERIES: dict = {}
@@ -51,6 +51,12 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_layout.extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text")
+
+
 TOXIC_AT = 0.3
 
 
