@@ -209,10 +209,6 @@ def linked_documents(
     pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
     first_pairs = stored(linear.select(*pair(F.col("g"), F.col("o.g"))).union(in_group.select(*pair(F.col("o"), F.col("id")))).distinct())
 
-    # whole sets only of documents that can have a partner
-    wanted = postings.select("g").distinct().join(membership.select("id", "g"), "g").select("id")
-    wanted = wanted.union(membership.filter("members > 1").select("id")).distinct()
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in slices(batch.column(1)):
@@ -221,9 +217,13 @@ def linked_documents(
                 sets = [tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), binary_column(sets)], names=["id", "tokens"])
 
-    partners = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi")
-    sets = stored(partners.mapInArrow(whole, "id long, tokens binary").dropDuplicates(["id"]))
-    links = stored(_verified(first_pairs, sets, percent))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Whole sets of the documents in the pairs alone."""
+        wanted = pairs.select("u").union(pairs.select("v")).distinct()
+        partners = texts.join(wanted, texts["doc_id"] == wanted["u"], "left_semi").dropDuplicates(["doc_id"])
+        return stored(partners.mapInArrow(whole, "id long, tokens binary"))
+
+    links = stored(_verified(first_pairs, sets_of(first_pairs), percent))
     roots = stored(components(links))
 
     # every remaining pair between different components
@@ -244,7 +244,7 @@ def linked_documents(
     other = placed.select(F.col("g").alias("b"), F.col("id").alias("j"), F.col("root").alias("rj"))
     expanded = group_pairs.union(split_groups).join(one, "a").join(other, "b").filter("ri <> rj and not (a = b and i > j)")
     rest = stored(expanded.select(*pair(F.col("i"), F.col("j"))).distinct().join(first_pairs, ["u", "v"], "left_anti"))
-    more = _verified(rest, sets, percent)
+    more = _verified(rest, sets_of(rest), percent)
     roots = stored(components(links.union(more)))
 
     labels = classes.join(roots, "id", "left").select(*same_set, F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
