@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_layout, piece_codec, prefix_join, robust_outliers, spaced_seeds, toxicity, window_dedup
+from . import chat, html_layout, piece_codec, prefix_join, robust_outliers, spaced_seeds, suffix_dedup, toxicity, window_dedup
 from ._tables import stored
 
 QUERIES: dict = {}
@@ -89,6 +89,14 @@ def op7_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
