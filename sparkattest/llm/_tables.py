@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,19 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_folder
 
 
+def release(spark: SparkSession) -> None:
+    """Ask for garbage collection, so that Spark deletes the shuffle files of plans no longer held."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write the rows to the folder that driver and executors share and read them back.
 
-    This cuts the lineage at files that outlive any executor. The driver's JVM is asked
-    to collect garbage, which lets Spark delete the shuffle files of the stages before.
+    This cuts the lineage at files that outlive any executor.
     """
     spark = df.sparkSession
+    release(spark)
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -127,7 +127,7 @@ class Pieces:
                 got = known.get(key)
                 if got is None:
                     got = known[key] = self._stretch(key)
-                    if check:
+                    if check and w:  # a lone space has no text that the library would read as one
                         new.append(w)
                 ids.append(got)
             out.append(b"".join(ids))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_layout, piece_codec, prefix_join, robust_outliers, spaced_seeds, suffix_dedup, toxicity, window_dedup
+from . import chat, html_layout, katz, piece_codec, prefix_join, robust_outliers, spaced_seeds, suffix_dedup, toxicity, window_dedup
 from ._tables import stored
 
 QUERIES: dict = {}
@@ -83,6 +83,18 @@ def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "matched", "at")
 
 
+@query
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    model = katz.fit(docs, ~held_out)
+    scored = katz.score(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
 @query
 def op7_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = prefix_join.linked_documents(table(spark, sf_dir, "documents"))

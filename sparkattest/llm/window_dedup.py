@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import fresh, stored, tasks
+from ._tables import fresh, release, stored, tasks
 from ._words import Words, binary_column, from_planes, mix, planes, slices
 
 SIZE = 20
@@ -190,6 +190,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", te
     run); names that are taken get underscores.
     """
     marks = stored(repeated_windows(docs, size, doc_id, text))
+    release(docs.sparkSession)
     key, starts = fresh(docs, "mark_id"), fresh(docs, "mark_starts")
     own = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
     joined = docs.join(marks.select(F.col("id").alias(key), F.col("starts").alias(starts)), own == F.col(key), "left").drop(key)
