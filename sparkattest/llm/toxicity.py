@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from ._tables import fresh
 from ._words import _BYTE_VALUES, Words, rolling, slices
 
-MAX_ROWS = 4000
+MAX_ROWS = 2000
 SEGMENT, ROWS, WIDTH = 2, 1 << 18, 8
 SHORTEST, LONGEST = 3, 7
 EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.05, 1e-4
@@ -110,7 +110,7 @@ class _Examples:
             rows, many = subwords(words.data, words.starts[index[new]], words.ends[index[new]])
             lists.append(rows)
             counts.append(many)
-            words_of.append(number[inverse])
+            words_of.append(number[inverse].astype(np.int32))
             row, start, end = segments(words.first[:-1], words.counts)
             segs.append(np.c_[row + base_row, start + base_word, end + base_word])
             base_word += len(h)
@@ -125,7 +125,7 @@ class _Examples:
         self.doc_start = np.flatnonzero(np.r_[True, self.doc[1:] != self.doc[:-1]])
 
     def logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        word = _sums(weights[self.rows], self.starts, self.ends) / np.maximum(self.ends - self.starts, 1)
+        word = np.add.reduceat(weights[self.rows], self.starts) / (self.ends - self.starts)
         return SEGMENT * _sums(word[self.words], self.first, self.last) / self.size + bias
 
 
