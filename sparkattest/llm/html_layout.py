@@ -241,13 +241,16 @@ class Page:
 
     def render(self, node: Node, out: Lines, pre: bool = False, depth: int = 0) -> None:
         number = 0
+        closed = node.tag == "details" and node.get("open") is None
         for kid in node.kids:
+            if closed and (isinstance(kid, str) or kid.tag != "summary"):
+                continue
             if isinstance(kid, str):
                 if node.tag not in ("table", "tbody", "thead", "tfoot", "tr") or kid.strip():
                     out.add(kid, pre)
                 continue
             tag = kid.tag
-            if node.tag == "details" and tag != "summary" and node.get("open") is None or not self.seen(kid):
+            if not self.seen(kid):
                 continue
             if tag == "br":
                 out.line_break()
@@ -271,8 +274,6 @@ class Page:
                 out.block(gap)
             else:
                 self.render(kid, out, pre or tag == "textarea", depth)
-        if node.tag == "details" and node.get("open") is None:
-            return
 
     @staticmethod
     def number(parent: Node, item: Node, before: int) -> int:
