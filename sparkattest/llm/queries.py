@@ -64,7 +64,7 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
     """Learned from the labelled rows whose crc32(doc_id as text) mod 4 is not 2."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     labels = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    return toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(docs.select("doc_id", "text"), labels)
 
 
 @query

@@ -230,14 +230,25 @@ def _calibrated(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> t
     return float(beta[0] / scale), float(beta[1] - beta[0] * centre / scale)
 
 
-def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", max_rows: int = MAX_ROWS) -> Model:
-    """Learn from at most `max_rows` texts of each label, chosen by a hash of their doc_id."""
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.lower(text).alias("text"), F.col(label).cast("int").alias("y"))
-    ids = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+def fit(
+    docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "label",
+    max_rows: int = MAX_ROWS,
+) -> Model:
+    """Learn from at most `max_rows` texts of each label, chosen by a hash of their doc_id.
+
+    labels holds doc_id and label, by default the documents themselves. Only ids are shuffled for the
+    choice; the chosen ones, at most 2 * max_rows, are broadcast to the texts.
+    """
+    marked = (docs if labels is None else labels).filter(F.col(label).isin(0, 1))
+    ids = marked.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    if labels is not None:
+        ids = ids.join(docs.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
+    ids = ids.filter("doc_id is not null")
     counts = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [ids.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 * max_rows ids
-    got = rows.drop("y").join(sample, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toArrow()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(text).alias("text"))
+    chosen = rows.join(F.broadcast(picked[0].union(picked[1])), "doc_id").dropDuplicates(["doc_id"])
+    got = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toArrow()
     y = got["y"].to_numpy().astype(np.int64)
     per = tuple(counts.get(k, 0) / max(int((y == k).sum()), 1) for k in (0, 1))
     model = train(got["text"].combine_chunks(), y, per) if len(y) else Model(np.zeros(ROWS, np.float32), 0.0, 1.0, 0.0, 0.0)
