@@ -187,10 +187,10 @@ def decision_report_query(spark, sf):
     return decision_report(decided(spark, sf), ["organization"])
 
 
-@query(
-    "evidence_items",
-    Q.decision_sql() + """ SELECT document_id, 'ML' AS category, 'risk_score' AS signal, CASE WHEN ml_high OR risk_score >= 0.3 THEN 'WARNING' ELSE 'PASS' END AS status,
+_ITEMS = """ SELECT document_id, 'ML' AS category, 'risk_score' AS signal, CASE WHEN ml_high OR risk_score >= 0.3 THEN 'WARNING' ELSE 'PASS' END AS status,
        CASE WHEN ml_high THEN 'high' WHEN risk_score >= 0.3 THEN 'medium' ELSE 'low' END AS severity, CAST(round(CAST(confidence AS DECIMAL(10, 4)), 3) AS DOUBLE) AS confidence FROM mass_v
+UNION ALL SELECT document_id, 'ML', 'feature_analysis', CASE WHEN risk_score >= 0.3 THEN 'WARNING' ELSE 'PASS' END, CASE WHEN risk_score >= 0.3 THEN 'medium' ELSE 'low' END, 0.6 FROM mass_v
+UNION ALL SELECT document_id, 'VISUAL', 'layout', 'PASS', 'low', 0.6 FROM mass_v
 UNION ALL SELECT document_id, 'EXTRACTION', 'text_source', CASE WHEN ocr_failed OR NOT text_present THEN 'WARNING' ELSE 'PASS' END, CASE WHEN ocr_failed OR NOT text_present THEN 'medium' ELSE 'low' END,
        CASE WHEN ocr_failed OR NOT text_present THEN 0.6 ELSE CAST(round(CAST(extraction_confidence AS DECIMAL(10, 4)), 3) AS DOUBLE) END FROM mass_v
 UNION ALL SELECT document_id, 'EXTRACTION', 'field_completeness', CASE WHEN structure_completeness >= 0.6 THEN 'PASS' ELSE 'WARNING' END, CASE WHEN structure_completeness >= 0.6 THEN 'low' ELSE 'medium' END, CASE WHEN structure_completeness >= 0.6 THEN 0.7 ELSE 0.5 END FROM mass_v
@@ -209,44 +209,38 @@ UNION ALL SELECT document_id, 'ISSUER', 'issuer_verification', CASE issuer_verif
 UNION ALL SELECT document_id, 'VERIFICATION_CODE', 'credential_identifier', CASE WHEN n_codes > 0 THEN 'PASS' ELSE 'UNKNOWN' END, 'low', CASE WHEN n_codes > 0 THEN 0.6 ELSE 0.3 END FROM mass_v
 UNION ALL SELECT document_id, 'VERIFICATION_CODE', 'external_confirmation', 'WARNING', 'medium', 0.5 FROM mass_v WHERE n_codes > 0
 UNION ALL SELECT document_id, 'ANOMALY', 'anomaly_score', 'WARNING', CASE WHEN anomaly_level = 'high' THEN 'medium' ELSE 'low' END, CASE WHEN anomaly_level = 'high' THEN 0.5 ELSE 0.4 END FROM mass_v WHERE anomaly_level <> 'low'
-UNION ALL SELECT document_id, 'DUPLICATE', 'duplicate', 'FAIL', CASE WHEN duplicate_type = 'cert_id' THEN 'high' ELSE 'medium' END, CASE WHEN duplicate_type = 'cert_id' THEN 0.9 ELSE 0.7 END FROM mass_v WHERE duplicate_of IS NOT NULL""",
-)
+UNION ALL SELECT document_id, 'DUPLICATE', 'duplicate', 'FAIL', CASE WHEN duplicate_type = 'cert_id' THEN 'high' ELSE 'medium' END, CASE WHEN duplicate_type = 'cert_id' THEN 0.9 ELSE 0.7 END FROM mass_v WHERE duplicate_of IS NOT NULL"""
+
+
+@query("evidence_items", Q.decision_sql() + _ITEMS)
 def evidence_items(spark, sf):
     items = E.evidence_table(decided(spark, sf, with_items=True).select("document_id", "evidence"))
     return items.select("document_id", "category", "signal", "status", "severity", "confidence")
 
 
-_CATEGORY_SQL = """, tagged AS (SELECT document_id, 'CONSISTENCY' AS category, CASE WHEN date_status = 'warning' OR certificate_id_status = 'warning' OR NOT marks_ok THEN 'FAIL'
-       WHEN recipient_status = 'missing' OR course_status = 'missing' OR issuer_status <> 'ok' OR date_status = 'missing' OR certificate_id_status = 'missing' OR structure_completeness < 0.6 THEN 'WARNING' ELSE 'PASS' END AS category_status FROM mass_v
-UNION ALL SELECT document_id, 'EXTRACTION', CASE WHEN ocr_failed OR NOT text_present OR structure_completeness < 0.6 THEN 'WARNING' ELSE 'PASS' END FROM mass_v
-UNION ALL SELECT document_id, 'VERIFICATION_CODE', CASE WHEN n_codes > 0 THEN 'WARNING' ELSE 'UNKNOWN' END FROM mass_v
-UNION ALL SELECT document_id, 'TAMPERING', 'UNKNOWN' FROM mass_v)"""
+_ITEM_TABLE = Q.decision_sql() + ", items_v AS (" + _ITEMS + ")"
+_WORST = """ SELECT document_id, category, CASE min(CASE status WHEN 'FAIL' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'UNKNOWN' THEN 3 ELSE 4 END)
+  WHEN 1 THEN 'FAIL' WHEN 2 THEN 'WARNING' WHEN 3 THEN 'UNKNOWN' ELSE 'PASS' END AS category_status FROM items_v GROUP BY document_id, category"""
 
 
-@query("category_statuses", Q.decision_sql() + _CATEGORY_SQL + " SELECT * FROM tagged")
+@query("category_statuses", _ITEM_TABLE + _WORST)
 def category_statuses(spark, sf):
     rows = decided(spark, sf, with_items=True).select("document_id", "evidence")
-    long = E.category_status(E.evidence_table(rows))
-    return long.filter(F.col("category").isin("CONSISTENCY", "EXTRACTION", "VERIFICATION_CODE", "TAMPERING"))
+    return E.category_status(E.evidence_table(rows))
 
 
-@query("category_status_maps", Q.decision_sql() + _CATEGORY_SQL + " SELECT document_id, max(category_status) FILTER (WHERE category = 'CONSISTENCY') AS consistency, max(category_status) FILTER (WHERE category = 'EXTRACTION') AS extraction, max(category_status) FILTER (WHERE category = 'VERIFICATION_CODE') AS codes FROM tagged GROUP BY document_id")
+@query("category_status_maps", _ITEM_TABLE + _WORST)
 def category_status_maps(spark, sf):
-    rows = decided(spark, sf, with_items=True).select("document_id", E.category_status_map().alias("m"))
-    return rows.select(
-        "document_id", F.col("m")["CONSISTENCY"].alias("consistency"), F.col("m")["EXTRACTION"].alias("extraction"),
-        F.col("m")["VERIFICATION_CODE"].alias("codes"),
-    )
+    rows = decided(spark, sf, with_items=True)
+    return rows.select("document_id", F.explode(E.category_status_map()).alias("category", "category_status"))
 
 
-@query("evidence_status_histogram", Q.decision_sql() + """ SELECT document_id, fail_items AS n_fail,
-  CAST(prediction <> 'suspicious' AND risk_score < 0.3 AS INT) + CAST(NOT (ocr_failed OR NOT text_present) AS INT) + 2 * CAST(structure_completeness >= 0.6 AS INT) + CAST(primary_type <> 'unknown' AS INT)
-   + CAST(""" + Q._ROLES + """ AS INT) + CAST(recipient_status = 'ok' AS INT) + CAST(issuer_status = 'ok' AS INT) + CAST(date_status = 'ok' AS INT) + CAST(course_status = 'ok' AS INT)
-   + CAST(certificate_id_status = 'ok' AS INT) + CAST(marks_ok AS INT) + CAST(n_codes > 0 AS INT) AS n_pass,
-  2 + CAST(issuer_verification = 'ISSUER_UNKNOWN' AS INT) + CAST(n_codes = 0 AS INT) AS n_unknown FROM mass_v""")
+@query("evidence_status_histogram", _ITEM_TABLE + " SELECT document_id, " + ", ".join(
+    f"count(*) FILTER (WHERE status = '{s.upper()}') AS n_{s}" for s in ("fail", "warning", "unknown", "pass")
+) + ", count(*) AS n_items FROM items_v GROUP BY document_id")
 def evidence_status_histogram(spark, sf):
     rows = decided(spark, sf, with_items=True).select("document_id", "evidence")
-    return E.status_histogram(E.evidence_table(rows)).select("document_id", "n_fail", "n_pass", "n_unknown")
+    return E.status_histogram(E.evidence_table(rows))
 
 
 @query("degraded_decisions", Q.decision_sql() + """ SELECT document_id, CASE WHEN document_id % 9 = 0 THEN 'REQUIRES_VERIFICATION' ELSE decision END AS decision,

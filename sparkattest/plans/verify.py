@@ -31,7 +31,10 @@ def analyze(
     return intelligence(with_extraction_quality(fields), as_of=as_of, known_issuer=known_issuer, max_year=max_year)
 
 
-def with_issuer_checks(df: DataFrame, registry: DataFrame | None) -> DataFrame:
+def with_issuer_checks(
+    df: DataFrame, registry: DataFrame | None, *, domains: str | None = None, response: str | None = None,
+    external_enabled: bool = False,
+) -> DataFrame:
     """Registry lookup, issuer reconciliation and identifier state."""
     if registry is None:
         known = df.withColumns(
@@ -39,17 +42,23 @@ def with_issuer_checks(df: DataFrame, registry: DataFrame | None) -> DataFrame:
         )
     else:
         known = registry_lookup(df, registry)
-    assessed = assess_issuer(known)
-    return assessed.withColumn("code_state", code_state(F.col("verification_codes"), F.col("issuer_verification")))
+    assessed = assess_issuer(known, domains=domains, response=response)
+    state = code_state(F.col("verification_codes"), F.col("issuer_verification"), external_enabled)
+    return assessed.withColumn("code_state", state)
 
 
 def verify_documents(
     docs: DataFrame, *, as_of: dt.date, seq: str = "document_id", owner: str = "owner",
     known_issuer: Column | None = None, registry: DataFrame | None = None, extracted: bool = False,
-    with_items: bool = False, max_year: int = C.MAX_ISSUE_YEAR,
+    with_items: bool = False, max_year: int = C.MAX_ISSUE_YEAR, domains: str | None = None, response: str | None = None,
+    external_enabled: bool = False,
 ) -> DataFrame:
     """Scored documents (text, prediction, risk_score, confidence) to decisions.
 
+    Provider results are columns of the documents: qr_status, tampering_status, forensic_anomalies,
+    visual_anomalies; `domains` names the printed domains and `response` the classified issuer answer.
+    A provider without a column counts as one that found nothing.
+
     Extraction and rules run once over the texts and are written without them; only
     the duplicate lookup and an oversized registry shuffle. `with_items` also keeps
     the evidence array; the decision itself needs only the two masses.
@@ -65,6 +74,7 @@ def verify_documents(
             ),
         }
     )
+    printed = build_features(printed, mode="runtime", as_of=as_of, known_issuer=known_issuer, max_year=max_year)
     # The texts are read once: from here on a table without them serves every branch.
     compact = cut_lineage(printed.drop("text"))
     keys = compact.select(
@@ -75,7 +85,9 @@ def verify_documents(
         seq, "duplicate_of", "duplicate_type", "is_duplicate"
     )
     reviewed = with_review(compact.join(duplicates, seq, "left"))
-    checked = with_anomaly(with_issuer_checks(reviewed, registry))
+    checked = with_anomaly(
+        with_issuer_checks(reviewed, registry, domains=domains, response=response, external_enabled=external_enabled)
+    )
     evidence = with_evidence_items(checked) if with_items else checked
     return degraded_defaults(fuse(with_masses(evidence)))
 
