@@ -11,7 +11,7 @@
    components are verified, so no link is lost.
 4. Components come from star rounds on the verified links and the class members.
 
-Sets hold 58-bit hashes. A document with fewer words than a shingle is one shingle; without
+Shingles are told apart by 58-bit hashes, in a pair by 40 bits. A document with fewer words than a shingle is one shingle; without
 words, or null, it has none and is linked to nothing. Rows with equal doc_id count as one
 document (of the larger of their classes); a null doc_id is smaller than any other. Other
 columns are ignored here.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._graph import components
-from ._tables import fresh, stored, tasks
+from ._tables import discard, fresh, stored, tasks
 from ._words import Words, binary_column, mix, rolling, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -129,37 +129,60 @@ def _passes(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Col
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * rest >= percent * (n1 + n2))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+TOKEN_BYTES = 5
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rank) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the threshold.
 
-    The set of u streams in front of the sets of its partners; a u with many partners is
-    repeated for every `MEMBERS_PER_TASK` of them.
+    A text that occurs in a pair goes once through its shingles and sends its set, 40 bits a token, to
+    its pairs: in front as u, behind as v. A u with many partners is repeated for every
+    `MEMBERS_PER_TASK` of them.
     """
-    counted = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("k"))
-    parts = counted.select("u", F.explode(F.sequence(F.lit(0), F.floor(F.col("k") / MEMBERS_PER_TASK).cast("int"))).alias("part"), "k")
-    heads = parts.join(sets, parts["u"] == sets["id"]).select("u", "part", F.lit(0).alias("side"), F.col("u").alias("v"), "tokens")
-    salted = pairs.join(counted, "u").select(
-        "u", F.pmod(F.xxhash64("v"), F.floor(F.col("k") / MEMBERS_PER_TASK) + 1).cast("int").alias("part"), "v"
+    counted = pairs.groupBy("u").agg(F.floor(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("k"))
+    heads = counted.select(F.col("u").alias("id"), "u", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("part"), F.lit(0).alias("side"))
+    tails = pairs.join(counted, "u").select(
+        F.col("v").alias("id"), "u", F.pmod(F.xxhash64("v"), F.col("k") + 1).cast("int").alias("part"), F.lit(1).alias("side")
     )
-    tails = salted.join(sets, salted["v"] == sets["id"]).select("u", "part", F.lit(1).alias("side"), "v", "tokens")
+    ways = heads.union(tails).groupBy("id").agg(F.collect_list(F.struct("u", "part", "side")).alias("ways"))
+    bodies = texts.join(ways, texts["doc_id"] == ways["id"]).select("id", "text", "ways")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ways = batch.column(0).to_pylist(), batch.column(2)
+            for row, data, offsets in slices(batch.column(1)):
+                rows, tokens = shingle_sets(data, offsets, size, rank.value)
+                small = np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
+                at = np.searchsorted(rows, np.arange(len(offsets)))
+                out: list[tuple] = []
+                for k, own in enumerate(ways.slice(row, len(offsets) - 1).to_pylist()):
+                    blob = small[at[k] : at[k + 1]].tobytes()
+                    out += [(w["u"], w["part"], w["side"], ids[row + k], blob) for w in own]
+                columns = list(zip(*out, strict=True))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["u", "part", "side", "v", "tokens"]
+                )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, own = None, None
         for batch in batches:
             us, vs = [], []
-            for u, side, v, tokens in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
-                found = np.frombuffer(tokens, "<u8")
+            for u, side, v, blob in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                found = np.zeros((len(blob) // TOKEN_BYTES, 8), np.uint8)
+                found[:, :TOKEN_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, TOKEN_BYTES)
+                found = np.sort(found.reshape(-1).view("<u8"))
                 if side == 0:
                     head, own = u, found
                 elif head == u:
-                    place = np.minimum(np.searchsorted(own, found), len(own) - 1)
-                    common = int((own[place] == found).sum())
+                    common = len(np.intersect1d(own, found))
                     if 100 * common >= percent * (len(own) + len(found) - common):
                         us.append(u)
                         vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    together = heads.union(tails).repartition(tasks(pairs.sparkSession), "u", "part").sortWithinPartitions("u", "part", "side")
+    sent = bodies.mapInArrow(send, "u long, part int, side int, v long, tokens binary")
+    together = sent.repartition(tasks(pairs.sparkSession), "u", "part").sortWithinPartitions("u", "part", "side")
     return together.mapInArrow(run, "u long, v long")
 
 
@@ -190,6 +213,8 @@ def linked_documents(
     by_token = W.partitionBy("token")
     counted = postings.withColumn("_c", F.count(F.lit(1)).over(by_token)).filter("_c > 1").drop("_c")
     postings = stored(counted)
+    full, signed = signed, stored(signed.drop("prefix"))
+    discard(full)
 
     # a linear number of candidate pairs first
     by_size = W.partitionBy("token").orderBy("n", "g")
@@ -209,21 +234,7 @@ def linked_documents(
     pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
     first_pairs = stored(linear.select(*pair(F.col("g"), F.col("o.g"))).union(in_group.select(*pair(F.col("o"), F.col("id")))).distinct())
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, data, offsets in slices(batch.column(1)):
-                rows, tokens = shingle_sets(data, offsets, size, rank.value)
-                at = np.searchsorted(rows, np.arange(len(offsets)))
-                sets = [tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), binary_column(sets)], names=["id", "tokens"])
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Whole sets of the documents in the pairs alone."""
-        wanted = pairs.select("u").union(pairs.select("v")).distinct()
-        partners = texts.join(wanted, texts["doc_id"] == wanted["u"], "left_semi").dropDuplicates(["doc_id"])
-        return stored(partners.mapInArrow(whole, "id long, tokens binary"))
-
-    links = stored(_verified(first_pairs, sets_of(first_pairs), percent))
+    links = stored(_verified(first_pairs, texts, size, percent, rank))
     roots = stored(components(links))
 
     # every remaining pair between different components
@@ -244,7 +255,7 @@ def linked_documents(
     other = placed.select(F.col("g").alias("b"), F.col("id").alias("j"), F.col("root").alias("rj"))
     expanded = group_pairs.union(split_groups).join(one, "a").join(other, "b").filter("ri <> rj and not (a = b and i > j)")
     rest = stored(expanded.select(*pair(F.col("i"), F.col("j"))).distinct().join(first_pairs, ["u", "v"], "left_anti"))
-    more = _verified(rest, sets_of(rest), percent)
+    more = _verified(rest, texts, size, percent, rank)
     roots = stored(components(links.union(more)))
 
     labels = classes.join(roots, "id", "left").select(*same_set, F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
