@@ -136,24 +136,42 @@ def mask_identifier(col: Column) -> Column:
     )
 
 
+JSON_DEPTH = 8
+
+
+def _json_container(depth: int) -> str:
+    """A balanced JSON object or array of at most `depth` levels; braces inside strings do not count."""
+    text = r'"(?:[^"\\]|\\.)*"'
+    inner = rf'(?:[^"\[\]{{}}]|{text})*+'
+    for _ in range(depth - 1):
+        inner = rf'(?:[^"\[\]{{}}]|{text}|[\[{{]{inner}[\]}}])*+'
+    return rf"[\[{{]{inner}[\]}}]"
+
+
 def mask_json_values(json: Column, keys: list[str] | None = None) -> Column:
-    """Mask the scalars (and flat arrays, as text) stored under sensitive keys at any depth.
+    """Mask whatever lies under sensitive keys, at any depth: scalars in part, objects and arrays whole.
 
     Finds every `"key": value` fragment and replaces it with its masked form; text
-    without a sensitive key is returned as it is.
+    without a sensitive key is returned as it is. Should a sensitive key still hold an object or array
+    (broken JSON, or more than JSON_DEPTH levels), the whole text is withheld.
     """
     names = "|".join(re.escape(k) for k in (keys or C.SENSITIVE_KEYS))
     head = rf'"(?:{names})"\s*:\s*'
-    value = r'("(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|-?[0-9][0-9.eE+-]*|true|false)'
+    value = rf'("(?:[^"\\]|\\.)*"|{_json_container(JSON_DEPTH)}|-?[0-9][0-9.eE+-]*|true|false)'
     found = F.array_distinct(F.regexp_extract_all(json, F.lit(head + value), F.lit(0)))
+    container = F.lit(rf"^{head}[\[{{]")
 
     def masked(fragment: Column) -> Column:
         raw = F.regexp_extract(fragment, rf"^{head}([\s\S]*)$", 1)
         inner = F.regexp_replace(raw, r'^"([\s\S]*)"$', "$1")
         label = F.regexp_extract(fragment, rf"^({head})", 1)
-        return F.concat(label, F.lit('"'), F.replace(mask_identifier(inner), F.lit('"'), F.lit("'")), F.lit('"'))
+        scalar = F.replace(mask_identifier(inner), F.lit('"'), F.lit("'"))
+        return F.concat(label, F.lit('"'), F.when(F.regexp(fragment, container), "****").otherwise(scalar), F.lit('"'))
 
-    return F.aggregate(found, json, lambda acc, m: F.replace(acc, m, masked(m)))
+    # longest first: a fragment may lie inside another
+    ordered = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
+    out = F.aggregate(ordered, json, lambda acc, m: F.replace(acc, m, masked(m)))
+    return F.when(out.rlike(rf"{head}[\[{{]"), F.lit('{"withheld": "****"}')).otherwise(out)
 
 
 def safe_text(col: Column, limit: int = 500) -> Column:

@@ -4,32 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .. import constants as C
 from .history import distributions, stored_completeness
+from .skew import running_totals
 
 # Dimensions whose drift raises the alarm.
 ALARM_DIMENSIONS = ["prediction", "review_status", "certificate_type", "issuer"]
 
 
 def nearest_rank(df: DataFrame, value: str, share: float, groups: list[str] | None = None) -> DataFrame:
-    """Exact nearest-rank percentile: the element at floor(share * (n - 1)).
-
-    Scores have four decimals, so counting per score first leaves at most 10,001
-    rows per group for the running total however many rows there are.
-    """
+    """Exact nearest-rank percentile of the stored values: the element at floor(share * (n - 1))."""
     keys = groups or []
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.round(value, 4).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    by = W.partitionBy(*[F.col(k) for k in keys]) if keys else W.partitionBy(F.lit(1))
-    running = counted.withColumns(
-        {
-            "_upto": F.sum("_n").over(by.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)),
-            "_total": F.sum("_n").over(by),
-        }
-    )
-    position = F.floor(F.lit(share) * (F.col("_total") - 1))
-    hit = running.filter((F.col("_upto") > position) & (F.col("_upto") - F.col("_n") <= position))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    running = running_totals(counted, "_v", ["_n"], keys)
+    position = F.floor(F.lit(share) * (F.col("all__n") - 1))
+    hit = running.filter((F.col("upto__n") > position) & (F.col("upto__n") - F.col("_n") <= position))
     return hit.select(*keys, F.col("_v").alias("percentile"))
 
 

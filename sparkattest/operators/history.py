@@ -116,10 +116,11 @@ def listing(df: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def newest(df: DataFrame, limit: int = 20, *, ascending: bool = False) -> DataFrame:
     """The newest (or oldest) rows, 1 to 100, with the id as tiebreak."""
-    n = max(1, min(limit, 100))
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be between 1 and 100")
     keys = ["created_at", "verification_id"]
     order = [F.col(k).asc() if ascending else F.col(k).desc() for k in keys]
-    return df.orderBy(*order).limit(n)
+    return df.orderBy(*order).limit(limit)
 
 
 def detail(df: DataFrame) -> DataFrame:

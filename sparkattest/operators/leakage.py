@@ -125,7 +125,7 @@ def hash_groups(df: DataFrame, sha: str = "sha256", label: str = "label") -> Dat
     per_label = df.groupBy(sha, label).agg(F.count(F.lit(1)).alias("n"))
     totals = per_label.groupBy(sha).agg(F.sum("n").alias("copies")).filter(F.col("copies") > 1)
     return per_label.join(totals, sha).select(
-        F.concat(F.left(F.col(sha), F.lit(16)), F.lit("...")).alias("sha_prefix"), label, "n", "copies"
+        F.col(sha), F.concat(F.left(F.col(sha), F.lit(16)), F.lit("...")).alias("sha_prefix"), label, "n", "copies"
     )
 
 

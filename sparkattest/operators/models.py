@@ -67,7 +67,7 @@ def score(model: PipelineModel, df: DataFrame, *, threshold: float = C.HIGH_RISK
     risk = vector_to_array("probability")[1]
     scored = model.transform(df).withColumn("_p", risk)
     return scored.select(
-        *df.columns, F.round("_p", 4).alias("risk_score"),
+        *df.columns, F.col("_p").alias("risk_probability"), F.round("_p", 4).alias("risk_score"),
         F.round(F.greatest("_p", 1 - F.col("_p")), 4).alias("confidence"),
         F.when(F.col("_p") >= threshold, "suspicious").otherwise("genuine").alias("prediction"),
         F.lit(version).alias("model_version"),
@@ -84,7 +84,7 @@ def evaluate(scored: DataFrame, model: str, label: str = "label") -> DataFrame:
     """One metric row of a scored table, with ranking metrics."""
     rows = scored.withColumn("_predicted", (F.col("prediction") == "suspicious").cast("int"))
     block = class_metrics(rows, label, "_predicted").drop("group_value")
-    ranking = ranking_metrics(rows, "risk_score", label)
+    ranking = ranking_metrics(rows, "risk_probability" if "risk_probability" in rows.columns else "risk_score", label)
     return block.withColumns(
         {"roc_auc": ranking.select("roc_auc").scalar(), "pr_auc": ranking.select("pr_auc").scalar(), "model": F.lit(model)}
     )

@@ -1,4 +1,4 @@
-"""Exact classification metrics from a compact histogram of scores."""
+"""Exact classification metrics."""
 
 from __future__ import annotations
 
@@ -7,39 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import constants as C
+from .skew import running_totals
 
 # Decision thresholds of the sweep.
 THRESHOLDS = [0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60]
 
 
 def score_histogram(df: DataFrame, score: str, label: str, groups: list[str] | None = None) -> DataFrame:
-    """Positives and negatives per four-decimal score: at most 10,001 rows per group.
-
-    Scores are stored with four decimals, so nothing is lost, and every metric
-    below works on this small table instead of sorting all rows.
-    """
+    """Positives and negatives per score, as stored: nothing is rounded."""
     return df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(
-        *(groups or []), F.round(score, 4).alias("score")
+        *(groups or []), F.col(score).cast("double").alias("score")
     ).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
 
 
-def _window(groups: list[str] | None) -> W:
-    return W.partitionBy(*[F.col(g) for g in groups]) if groups else W.partitionBy(F.lit(1))
-
-
 def ranking_metrics(df: DataFrame, score: str, label: str, groups: list[str] | None = None) -> DataFrame:
     """ROC-AUC with ties counted half, and average precision. NULL for a single class."""
     keys = groups or []
-    by = _window(groups)
-    down = by.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    running = score_histogram(df, score, label, groups).withColumns(
-        {"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(by), "n": F.sum("neg").over(by)}
-    )
-    below = F.col("n") - F.col("fp") + F.col("neg") / 2.0
+    running = running_totals(score_histogram(df, score, label, groups), "score", ["pos", "neg"], keys, descending=True)
+    tp, fp = F.col("upto_pos"), F.col("upto_neg")
+    below = F.col("all_neg") - fp + F.col("neg") / 2.0
     parts = running.groupBy(*keys).agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
-        F.sum(F.col("pos") * below).alias("_wins"),
-        F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_precision"),
+        F.sum(F.col("pos") * below).alias("_wins"), F.sum(F.col("pos") * tp / (tp + fp)).alias("_precision"),
     )
     both = (F.col("positives") > 0) & (F.col("negatives") > 0)
     return parts.select(
@@ -50,22 +39,18 @@ def ranking_metrics(df: DataFrame, score: str, label: str, groups: list[str] | N
 
 
 def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """Precision, recall and F1 of the positive class at each threshold."""
-    hist = score_histogram(df, score, label)
+    """Precision, recall and F1 of the positive class at each threshold, in one pass over the raw scores."""
+    positive, negative = F.col(label) == 1, F.col(label) == 0
+    sums = [F.count_if(positive & F.col(score).isNotNull()).alias("p")]
+    for i, t in enumerate(thresholds):
+        sums += [F.count_if(positive & (F.col(score) >= t)).alias(f"tp{i}"), F.count_if(negative & (F.col(score) >= t)).alias(f"fp{i}")]
     cells = [
         F.struct(
-            F.lit(t).alias("threshold"),
-            F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), (F.col("p") - F.col(f"tp{i}")).alias("fn"),
+            F.lit(t).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), (F.col("p") - F.col(f"tp{i}")).alias("fn"),
         )
         for i, t in enumerate(thresholds)
     ]
-    sums = [F.sum("pos").alias("p")]
-    for i, t in enumerate(thresholds):
-        sums += [
-            F.sum(F.when(F.col("score") >= t, F.col("pos")).otherwise(0)).alias(f"tp{i}"),
-            F.sum(F.when(F.col("score") >= t, F.col("neg")).otherwise(0)).alias(f"fp{i}"),
-        ]
-    rows = hist.agg(*sums).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    rows = df.agg(*sums).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
     return rows.withColumns(
         {
             "precision": F.round(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), 4),

@@ -29,8 +29,12 @@ def lookup_join(
         *on, F.lit(0).alias("_salt"), F.struct(*payload).alias("_cold")
     )
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int") + 1
+    missing = F.lit(False)
+    for k in on:
+        missing = missing | F.col(k).isNull()
+    # rows without a key match nothing and are spread like those of a hot key
     tagged = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot").isNotNull() | missing, spread).otherwise(F.lit(0))
     )
     joined = tagged.join(cold, [*on, "_salt"], "left").withColumn(
         "_hit", F.coalesce("_hot", "_cold")
@@ -60,6 +64,51 @@ def bucketed_rank(
     )
 
 
+BINS = 4096
+
+
+def running_totals(
+    df: DataFrame, value: str, sums: list[str], groups: list[str], *, descending: bool = False,
+) -> DataFrame:
+    """Add `upto_<c>` and `all_<c>` for each column: totals up to and with the row's value, and of the group.
+
+    Needs one row per (group, value). Values of a group are cut into BINS equal ranges between its
+    smallest and largest; only bin totals are summed across a group, so no task sorts a whole group
+    unless its values crowd into one range.
+    """
+    limits = _keyed(df.groupBy(*groups).agg(F.min(value).alias("_low"), F.max(value).alias("_high")), groups)
+    at = F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)) * BINS)
+    binned = df.join(F.broadcast(limits) if not groups else limits, _same(groups)).select(
+        *df.columns, F.coalesce(at, F.lit(0)).cast("int").alias("_bin")
+    )
+    sign = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    by = W.partitionBy(*[F.col(g) for g in groups]) if groups else W.partitionBy(F.lit(1))
+    totals = binned.groupBy(*groups, "_bin").agg(*[F.sum(c).alias(f"_bin_{c}") for c in sums])
+    before = by.orderBy(sign("_bin")).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumns(
+        {f"_before_{c}": F.coalesce(F.sum(f"_bin_{c}").over(before), F.lit(0)) for c in sums}
+        | {f"all_{c}": F.sum(f"_bin_{c}").over(by) for c in sums}
+    )
+    inside = W.partitionBy(*groups, "_bin").orderBy(sign(value)).rowsBetween(W.unboundedPreceding, 0)
+    local = binned.withColumns({f"_local_{c}": F.sum(c).over(inside) for c in sums})
+    joined = local.join(_keyed(totals, [*groups, "_bin"]), _same([*groups, "_bin"]))
+    return joined.select(
+        *df.columns, *[(F.col(f"_before_{c}") + F.col(f"_local_{c}")).alias(f"upto_{c}") for c in sums],
+        *[F.col(f"all_{c}") for c in sums],
+    )
+
+
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+
+
+def _same(keys: list[str]) -> Column:
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return match
+
+
 def hash_order(*cols: Column, seed: int = 42) -> Column:
     """A seeded, engine-independent 32-bit order key: first eight hex digits of SHA-256."""
     text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])

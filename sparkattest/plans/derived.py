@@ -175,20 +175,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer files than the session has cores.
-
-    Large inputs come in many files and keep their own partitions.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a lazy DataFrame over the Parquet inputs."""
     orders = table(spark, sf_dir, "orders").drop("o_comment")
     base = {
-        "orders": spread(orders) if name in ("texts_v", "raw_v") else orders,
+        "orders": orders,
         "customer": table(spark, sf_dir, "customer"), "nation": table(spark, sf_dir, "nation"),
     }
     # Braces of JSON literals are doubled; the only real placeholders are the base tables.

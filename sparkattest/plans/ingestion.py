@@ -21,32 +21,31 @@ def ingest(
     docs: DataFrame, *, seq: str, as_of: dt.date, frozen: DataFrame | None = None,
     known_issuer: Column | None = None, text: str = "text",
 ) -> DataFrame:
-    """Mark duplicates and frozen-set overlap, then extract features.
+    """Mark duplicates and frozen-set overlap, and extract features.
 
     Adds sha256, duplicate_status, extraction_status, feature_extraction_status
     (success / failed / skipped), error and the 31 features. Copies and frozen
-    documents are skipped, documents without text fail.
+    documents are skipped, documents without text fail; neither carries features.
+
+    Fields are extracted on the document's own row and the text is left behind, so only
+    ids, hashes, statuses and features are shuffled.
     """
-    hashed = docs.withColumn("sha256", F.sha2(F.col(text), 256))
-    keys = hashed.select(seq, "sha256")
-    marked = mark_exact_copies(keys, seq=seq)
+    hashed = docs.withColumns({"sha256": F.sha2(F.col(text), 256), "_readable": present(F.col(text))})
+    featured = build_features(extract_fields(hashed, text), mode="runtime", as_of=as_of, known_issuer=known_issuer)
+    narrow = featured.drop(text)
+    marked = mark_exact_copies(hashed.select(seq, "sha256"), seq=seq)
     checked = reject_external(marked, frozen) if frozen is not None else marked
-    status = checked.select(seq, "duplicate_status", "duplicate_of")
-    rows = hashed.join(status, seq, "left")
+    rows = narrow.join(checked.select(seq, "duplicate_status", "duplicate_of"), seq, "left")
     skipped = F.col("duplicate_status").isin("duplicate", "external_validation")
-    readable = present(F.col(text))
-    staged = rows.withColumns(
+    status = F.when(skipped, "skipped").when(F.col("_readable"), "success").otherwise("failed")
+    done = status == "success"
+    return rows.withColumns(
         {
-            "extraction_status": F.when(skipped, "skipped").when(readable, "success").otherwise("failed"),
-            "error": F.when(~skipped & ~readable, "no text in document"),
-        }
-    ).withColumn(
-        "feature_extraction_status",
-        F.when(F.col("extraction_status") == "success", "success").otherwise("skipped"),
-    )
-    keep = [c for c in staged.columns if c not in C.FEATURE_COLUMNS]
-    fields = extract_fields(staged, text)
-    return build_features(fields, mode="runtime", as_of=as_of, known_issuer=known_issuer, keep=keep)
+            "extraction_status": status,
+            "error": F.when(~skipped & ~F.col("_readable"), "no text in document"),
+            "feature_extraction_status": F.when(done, "success").otherwise(status),
+        } | {c: F.when(done, F.col(c)) for c in C.FEATURE_COLUMNS}
+    ).drop("_readable")
 
 
 def training_rows(ingested: DataFrame) -> DataFrame:

@@ -79,11 +79,11 @@ def deduplicated_reviews(spark, sf):
 
 @query(
     "removed_reviews",
-    RV + """ SELECT count(*) AS rows_before, count(DISTINCT (coalesce(file_fingerprint, ''), coalesce(cert_id_fingerprint, ''))) AS rows_after,
-  count(*) - count(DISTINCT (coalesce(file_fingerprint, ''), coalesce(cert_id_fingerprint, ''))) AS removed FROM reviewed_v""",
+    RV + """ SELECT count(*) AS rows_before, count(DISTINCT (coalesce(file_fingerprint, ''), coalesce(cert_id_fingerprint, ''), coalesce(identity_fingerprint, ''))) AS rows_after,
+  count(*) - count(DISTINCT (coalesce(file_fingerprint, ''), coalesce(cert_id_fingerprint, ''), coalesce(identity_fingerprint, ''))) AS removed FROM reviewed_v""",
 )
 def removed_reviews(spark, sf):
-    rows = reviewed(spark, sf).drop("identity_fingerprint")
+    rows = reviewed(spark, sf)
     return removed_count(rows, dedupe_reviewed(rows, seq="document_id"))
 
 
@@ -241,7 +241,7 @@ def duplicate_report(spark, sf):
 
 @query(
     "repeated_hashes",
-    """WITH d AS (SELECT sha256(text) AS sha, lang, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents) SELECT left(sha, 16) || '...' AS sha_prefix, lang, count(*) AS n, copies FROM d WHERE copies > 1 GROUP BY sha, lang, copies""",
+    """WITH d AS (SELECT sha256(text) AS sha, lang, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents) SELECT sha AS sha256, left(sha, 16) || '...' AS sha_prefix, lang, count(*) AS n, copies FROM d WHERE copies > 1 GROUP BY sha, lang, copies""",
 )
 def repeated_hashes(spark, sf):
     docs = table(spark, sf, "documents").select(F.sha2("text", 256).alias("sha256"), "lang")

@@ -190,7 +190,7 @@ def masked_identifiers(spark, sf):
 @query(
     "masked_audit_details",
     ctes("certificates_v") + f"""
-SELECT document_id, '{{"cert_id":"' || {_mask('cert_id')} || '","outer":{{"code":"' || {_mask('num')} || '","file":"f' || num || '"}},"list":[{{"token":"' || {_mask('num2')} || '"}}]}}' AS details
+SELECT document_id, '{{"cert_id":"' || {_mask('cert_id')} || '","outer":{{"code":"' || {_mask('num')} || '","file":"f' || num || '"}},"list":[{{"token":"' || {_mask('num2')} || '"}}],"identifier":"****","more":{{"code":"****"}}}}' AS details
 FROM (SELECT document_id, coalesce(cert_id, 'none') AS cert_id, CAST(document_id AS VARCHAR) AS num, CAST(document_id * 7919 AS VARCHAR) AS num2 FROM certificates_v)""",
 )
 def masked_audit_details(spark, sf):
@@ -198,7 +198,8 @@ def masked_audit_details(spark, sf):
     number = F.col("document_id").cast("string")
     raw = F.concat(
         F.lit('{"cert_id":"'), F.coalesce("cert_id", F.lit("none")), F.lit('","outer":{"code":"'), number,
-        F.lit('","file":"f'), number, F.lit('"},"list":[{"token":'), (F.col("document_id") * 7919).cast("string"), F.lit("}]}"),
+        F.lit('","file":"f'), number, F.lit('"},"list":[{"token":'), (F.col("document_id") * 7919).cast("string"),
+        F.lit('}],"identifier":{"value":{"deep":["}'), number, F.lit('"]}},"more":{"code":[["'), number, F.lit('"],{"token":1}]}}'),
     )
     return c.select("document_id", T.mask_json_values(raw).alias("details"))
 

@@ -233,7 +233,7 @@ def ingestion_summary_query(spark, sf):
 
 @query(
     "manifest_records",
-    "WITH " + _ING + " SELECT doc_id, left(sha1('document:' || sha), 16) AS file_id, extraction_status, duplicate_status FROM st2",
+    "WITH " + _ING + " SELECT doc_id, sha1('document:' || sha) AS file_id, extraction_status, duplicate_status FROM st2",
 )
 def manifest_records_query(spark, sf):
     return ingested(spark, sf).select("doc_id", file_id(F.col("sha256")).alias("file_id"), "extraction_status", "duplicate_status")

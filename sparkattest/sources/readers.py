@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -73,11 +75,14 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str, lower: int
 
 
 def read_labeled_files(spark: SparkSession, base: str) -> DataFrame:
-    """Files under genuine/, suspicious/ and uncertain/ with their label."""
+    """Files under genuine/, suspicious/ and uncertain/ of the base folder with their label.
+
+    The label is the first folder below the base, whatever folders lie above or further down.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     tagged = files.withColumns(
         {
-            "label": F.regexp_extract("path", r"/(genuine|suspicious|uncertain)/", 1),
+            "label": F.regexp_extract("path", re.escape(re.sub(r"^[a-z]+:/*(?=/)", "", base).rstrip("/")) + r"/+(genuine|suspicious|uncertain)/", 1),
             "original_filename": F.regexp_extract("path", r"([^/]+)$", 1),
             "extension": F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)),
         }
@@ -107,7 +112,12 @@ def admit(files: DataFrame, *, filename: str = "original_filename") -> tuple[Dat
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a dataset manifest."""
+    """Records of a manifest that `write_manifest` wrote: one JSON object a line."""
+    return spark.read.schema(MANIFEST_RECORD).json(f"{path}/records")
+
+
+def read_manifest_document(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a manifest kept as one JSON document."""
     schema = ST.StructType([ST.StructField("records", ST.ArrayType(MANIFEST_RECORD))])
     return spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("records").alias("r")).select("r.*")
 

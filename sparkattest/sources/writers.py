@@ -17,32 +17,35 @@ def table_checksum(df: DataFrame) -> Column:
 
 
 def write_training_table(df: DataFrame, path: str, *, dataset: str) -> DataFrame | None:
-    """Write the feature table and a one-row metadata table; nothing for empty input."""
-    meta = df.agg(
+    """Write the feature table, then its one-row metadata from what was written; nothing for empty input."""
+    if df.isEmpty():  # reads until the first row
+        return None
+    rows = f"{path}/rows"
+    df.write.mode("overwrite").partitionBy("label").parquet(rows)
+    written = df.sparkSession.read.schema(df.schema).parquet(rows)
+    meta = written.agg(
         F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("label") == 0).alias("genuine_count"),
-        F.count_if(F.col("label") == 1).alias("suspicious_count"), table_checksum(df).alias("checksum"),
+        F.count_if(F.col("label") == 1).alias("suspicious_count"), table_checksum(written.select(*df.columns)).alias("checksum"),
     ).withColumns(
         {
             "dataset": F.lit(dataset), "feature_schema_version": F.lit(C.FEATURE_SCHEMA_VERSION),
             "features": F.array(*[F.lit(c) for c in C.FEATURE_COLUMNS]),
         }
     )
-    if df.isEmpty():
-        return None
-    df.write.mode("overwrite").partitionBy("label").parquet(f"{path}/rows")
     meta.write.mode("overwrite").json(f"{path}/metadata")
     return meta
 
 
 def file_id(sha: Column) -> Column:
-    """Deterministic 16-character id of a hash."""
-    return F.left(F.sha1(F.concat(F.lit("document:"), sha)), F.lit(16))
+    """Deterministic id of a hash, whole."""
+    return F.sha1(F.concat(F.lit("document:"), sha))
 
 
 def manifest_records(entries: DataFrame) -> DataFrame:
     """Provenance record per ingested file."""
     return entries.select(
-        file_id(F.col("sha256")).alias("file_id"), "sha256", "label", "original_filename",
+        file_id(F.col("sha256")).alias("file_id"), F.left(file_id(F.col("sha256")), F.lit(16)).alias("short_id"), "sha256", "label",
+        "original_filename",
         F.col("label").alias("source_dir"),
         *[
             (F.coalesce(F.col(c), F.lit("pending")) if c in entries.columns else F.lit("pending")).alias(c)
@@ -66,7 +69,7 @@ def manifest_summary(records: DataFrame) -> DataFrame:
 
 def write_manifest(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(f"{path}/records")
-    manifest_summary(records).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    manifest_summary(records).repartition(1).write.mode("overwrite").json(f"{path}/summary")
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -96,12 +99,12 @@ def split_write_back(feedback: DataFrame, assigned: DataFrame) -> DataFrame:
 
 def write_report(tidy: DataFrame, path: str) -> None:
     """A report is a tidy table of at most a few thousand rows: one JSON file."""
-    tidy.coalesce(1).write.mode("overwrite").json(path)
+    tidy.repartition(1).write.mode("overwrite").json(path)
 
 
 def save_snapshot(snapshot: DataFrame, path: str, snapshot_id: str) -> None:
     (
-        snapshot.withColumn("snapshot_id", F.lit(snapshot_id)).coalesce(1).write.mode("overwrite")
+        snapshot.withColumn("snapshot_id", F.lit(snapshot_id)).repartition(1).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)
     )
 

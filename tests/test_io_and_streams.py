@@ -30,23 +30,34 @@ def test_labeled_tree_and_admission(spark, tmp_path):
     put(f"{base}/suspicious/deep/b.png", b"not a png")
     put(f"{base}/uncertain/c.txt", b"text")
     put(f"{base}/other/d.pdf", b"%PDF")
+    put(f"{base}/other/genuine/e.pdf", b"%PDF")
     files = R.read_labeled_files(spark, base)
     assert sorted((r["label"], r["original_filename"]) for r in files.collect()) == [("genuine", "a.pdf"), ("suspicious", "b.png")]
     good, bad = R.admit(files)
     assert [r["original_filename"] for r in good.collect()] == ["a.pdf"]
     assert [r["reject_reason"] for r in bad.collect()] == ["magic"]
     assert external_hashes(files).count() == 2
+    nested = f"{base}/genuine/set"
+    put(f"{nested}/suspicious/f.pdf", b"%PDF")
+    assert [(r["label"], r["original_filename"]) for r in R.read_labeled_files(spark, nested + "/").collect()] == [("suspicious", "f.pdf")]
 
 
 def test_manifests_and_registry(spark, tmp_path):
     put(str(tmp_path / "m.json"), json.dumps({"records": [{"sha256": "x", "label": "genuine"}, {"sha256": "y"}]}, indent=1).encode())
-    assert R.read_manifest(spark, str(tmp_path / "m.json")).count() == 2
+    assert R.read_manifest_document(spark, str(tmp_path / "m.json")).count() == 2
     put(str(tmp_path / "e.json"), json.dumps({"a.pdf": {"category": "academic", "expected": "genuine"}}).encode())
     assert R.read_expectations(spark, str(tmp_path / "e.json")).first()["path"] == "a.pdf"
     put(str(tmp_path / "r.json"), json.dumps({"issuers": [{"name": "A", "aliases": ["B"], "enabled": True}]}).encode())
     assert R.read_registry(spark, str(tmp_path / "r.json")).first()["aliases"] == ["B"]
 
 
+def test_manifest_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("a" * 64, "genuine", "a.pdf"), ("b" * 64, "suspicious", "b.pdf")], "sha256 string, label string, original_filename string")
+    W.write_manifest(W.manifest_records(rows), str(tmp_path / "m"))
+    back = R.read_manifest(spark, str(tmp_path / "m")).collect()
+    assert sorted((r["sha256"], r["label"], len(r["file_id"])) for r in back) == [("a" * 64, "genuine", 40), ("b" * 64, "suspicious", 40)]
+
+
 def test_round_trips(spark, tmp_path):
     base = str(tmp_path)
     rows = spark.createDataFrame([("x, \"y\"\nz", 1), (None, 0)], "text_snippet string, label int")

@@ -55,3 +55,16 @@ def test_model_ranking_puts_small_samples_last(spark):
     rows = [("a", 100, 0.8, 0.8, 0.8, 0.8), ("b", 100, 0.9, 0.7, 0.7, 0.7), ("c", 3, 1.0, 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "model string, n long, recall double, f1 double, precision double, accuracy double")
     assert [r["model"] for r in S.rank_models(df).orderBy("rank").collect()] == ["b", "a", "c"]
+
+
+def test_metrics_use_unrounded_scores(spark):
+    close = spark.createDataFrame([(0.49996, 1), (0.49997, 0)], "s double, y int")
+    at_half = S.threshold_sweep(close, "s", "y", [0.5]).first()
+    assert (at_half["tp"], at_half["fp"]) == (0, 0)
+    pair = spark.createDataFrame([(0.90001, 1), (0.90002, 0)], "s double, y int")
+    assert S.ranking_metrics(pair, "s", "y").first()["roc_auc"] == 0.0
+    wide = spark.createDataFrame([(float(v * v), "a" if v % 2 else None) for v in range(200)], "v double, g string")
+    got = {r["g"]: r["percentile"] for r in D.nearest_rank(wide, "v", 0.95, ["g"]).collect()}
+    for g, odd in (("a", 1), (None, 0)):
+        ordered = sorted(float(v * v) for v in range(200) if v % 2 == odd)
+        assert got[g] == ordered[int(0.95 * (len(ordered) - 1))]

@@ -132,3 +132,14 @@ def test_domains(one):
 def test_constants_are_whole():
     assert len(C.FEATURE_COLUMNS) == 31 == len(set(C.FEATURE_COLUMNS))
     assert len(C.KNOWN_ISSUERS) == 39 and len(C.SUSPICIOUS_KEYWORDS) == 12 and len(C.CODE_LABELS) == 20
+
+
+@pytest.mark.parametrize(("raw", "shown"), [
+    ('{"identifier":{"value":"SECRET-123456"},"code":[["ABCDEFGH12345"]]}', '{"identifier":"****","code":"****"}'),
+    ('{"a":{"code":{"x":"}]"},"b":1}}', '{"a":{"code":"****","b":1}}'),
+    ('{"code":[1,{"token":"T"}],"b":[2]}', '{"code":"****","b":[2]}'),
+    ('{"code":{"broken":', '{"withheld": "****"}'),
+    ('{"b":{"c":[1]}}', '{"b":{"c":[1]}}'),
+])
+def test_masking_leaves_nothing_below_a_sensitive_key(one, raw, shown):
+    assert one(T.mask_json_values(F.col("x")), "x string", raw) == shown
