@@ -22,6 +22,7 @@ from .documents import TRAINING_FEATURES_SQL, training_features_df
 
 RV = ctes("reviewed_v")
 V = ctes("verifications_v")
+_LONG = " UNION ALL ".join(f"SELECT document_id, split, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM reviewed_v" for c in C.LINK_COLUMNS)
 
 
 def reviewed(spark, sf):
@@ -90,26 +91,24 @@ def removed_reviews(spark, sf):
 # --- families and splits ------------------------------------------------------
 
 
-def family_links(spark, sf):
-    """Reviewed rows with sparse links, so that families stay small and many."""
-    k = F.col("document_id")
-    sparse = F.when(F.col("cert_id_fingerprint").startswith("CERT"), F.col("cert_id_fingerprint"))
-    return reviewed(spark, sf).select(
-        "document_id", "label", F.when(k % 2 == 0, F.col("file_fingerprint")).alias("file_fingerprint"), sparse.alias("cert_id_fingerprint"),
-        F.when(k % 5 == 1, F.col("identity_fingerprint")).alias("identity_fingerprint"),
-    )
+_FAMILIES = RV.replace("WITH ", "WITH RECURSIVE ", 1) + f""", l AS ({_LONG}),
+hub AS (SELECT column_name, value, min(document_id) AS h FROM l WHERE trim(value) <> '' GROUP BY column_name, value),
+star AS (SELECT DISTINCT document_id AS u, h AS v FROM l JOIN hub USING (column_name, value)),
+e AS (SELECT u, v FROM star UNION SELECT v, u FROM star),
+reach AS (SELECT document_id AS u, document_id AS r FROM reviewed_v UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.r)
+SELECT u AS document_id, min(r) AS family_id FROM reach GROUP BY u"""
 
 
-@query("linked_families")
+@query("linked_families", _FAMILIES)
 def linked_families(spark, sf):
-    """Connected families over shared fingerprints; checked against brute force in the tests."""
-    return connected_families(family_links(spark, sf), "document_id").select("document_id", "family_id")
+    """Connected families over all shared fingerprints."""
+    return connected_families(reviewed(spark, sf), "document_id").select("document_id", "family_id")
 
 
 @query("family_safe_split")
 def family_safe_split(spark, sf):
     """Greedy split of families; checked against a family-by-family walk in the tests."""
-    return assign_splits(family_links(spark, sf), "document_id").select("document_id", "family_id", "split")
+    return assign_splits(reviewed(spark, sf), "document_id").select("document_id", "family_id", "split")
 
 
 _TEMPLATE = """t AS (SELECT document_id, verification_id, reviewed_at, sha1('phase12-label-group-v1:' || regexp_replace(lower(issuer), '[^a-z0-9]+', '', 'g') || ':' || certificate_type) AS template_key FROM reviewed_v),
@@ -167,9 +166,6 @@ def split_write_back_query(spark, sf):
 
 # --- leakage ------------------------------------------------------------------
 
-_LONG = " UNION ALL ".join(f"SELECT document_id, split, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM reviewed_v" for c in C.LINK_COLUMNS)
-
-
 @query(
     "cross_split_values",
     RV + f", l AS ({_LONG}) SELECT column_name, value FROM l WHERE trim(value) <> '' GROUP BY column_name, value HAVING count(DISTINCT split) > 1",
