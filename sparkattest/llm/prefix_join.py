@@ -5,9 +5,9 @@
 2. Documents with equal shingle sets form a class. Classes with equal size and equal prefix
    (the first n - ceil(t * n) + 1 shingles) form a group, so a group enters the join once.
 3. Group pairs that share a prefix shingle and pass the size and position filters are
-   expanded to class pairs and verified on whole sets. First every shingle links each of its
-   groups to its predecessor and to the head of its size class: a linear number of pairs,
-   which joins up a large family of near copies. Then all remaining pairs between different
+   expanded to class pairs and verified on whole sets. First every shingle pairs each of its
+   groups with the smallest id of its size class: a linear number of pairs, mostly the same
+   few heads, which joins up a large family of near copies. Then all remaining pairs between different
    components are verified, so no link is lost.
 4. Components come from star rounds on the verified links and the class members.
 
@@ -68,9 +68,16 @@ def _frequency_ranks(texts: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for _, data, offsets in slices(batch.column(0)):
-                _, tokens = shingle_sets(data, offsets, size, None)
-                total += np.bincount((tokens % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            parts = [shingle_sets(data, offsets, size, None)[1] for _, data, offsets in slices(batch.column(0))]
+            if not parts:
+                continue
+            tokens = np.sort(np.concatenate(parts))
+            # a shingle that a batch holds once says little; leaving it out keeps the cells free of noise
+            head = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[head, len(tokens)])
+            again = times > 1
+            cells = (tokens[head[again]] % np.uint64(CELLS)).astype(np.int64)
+            total += np.bincount(cells, weights=times[again], minlength=CELLS).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
@@ -217,20 +224,13 @@ def linked_documents(
     discard(full)
 
     # a linear number of candidate pairs first
-    by_size = W.partitionBy("token").orderBy("n", "g")
     size_class = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
-    heads = W.partitionBy("token", size_class).orderBy("n", "g")
-    near = lambda f: F.struct(f("g").alias("g"), f("n").alias("n"), f("pos").alias("pos"))
-    chained = postings.withColumns({
-        "before": near(lambda c: F.lag(c).over(by_size)),
-        "head": near(lambda c: F.first(c).over(heads)),
-    })
-    linear = chained.select("g", "n", "pos", F.explode(F.array("before", "head")).alias("o")).filter(
-        F.col("o.g").isNotNull() & (F.col("o.g") != F.col("g")) & _passes(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), percent)
+    heads = W.partitionBy("token", size_class).orderBy("g")
+    head = F.struct(*[F.first(c).over(heads).alias(c) for c in ("g", "n", "pos")])
+    linear = postings.withColumn("o", head).filter(
+        (F.col("o.g") != F.col("g")) & _passes(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), percent)
     )
-    inside = W.partitionBy("g").orderBy("id")
-    in_group = membership.filter("members > 1").withColumn("before", F.lag("id").over(inside))
-    in_group = in_group.select(F.explode(F.array("g", "before")).alias("o"), "id").filter("o is not null and o <> id")
+    in_group = membership.filter("members > 1 and g <> id").select(F.col("g").alias("o"), "id")
     pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
     first_pairs = stored(linear.select(*pair(F.col("g"), F.col("o.g"))).union(in_group.select(*pair(F.col("o"), F.col("id")))).distinct())
 
