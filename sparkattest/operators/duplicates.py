@@ -64,8 +64,9 @@ def prior_duplicates(
         firsts = firsts.filter(F.col("n") > 1)
     else:
         wanted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-        stored = _fingerprint_rows(valid, owner, seq).join(wanted, on)
-        firsts = stored.groupBy(*on).agg(F.min("_seq").alias("first_seq"), F.max("n").alias("n"))
+        # the history shrinks to one row per fingerprint before it meets the documents
+        stored = _fingerprint_rows(valid, owner, seq).groupBy(*on).agg(F.min("_seq").alias("first_seq"))
+        firsts = stored.join(wanted, on)
     matched = lookup_join(rows, firsts, on, "n", hot_rows=hot_rows)
     earlier = matched.filter(F.col("first_seq") < F.col("_seq"))
     best = earlier.groupBy("_seq").agg(F.min(F.struct("rank", "kind", "first_seq")).alias("b"))
