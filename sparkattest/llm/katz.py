@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import fresh, release, stored
-from ._words import Words, mix, slices
+from ._words import Words, slices
 
 K = 5
 START, END = 0x51A27, 0x0E7D
