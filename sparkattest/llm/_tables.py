@@ -1,14 +1,17 @@
-"""Intermediate tables in the shared folder, and column-name hygiene."""
+"""Intermediate tables in the shared folder, column-name hygiene, and keys of documents."""
 
 from __future__ import annotations
 
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
+NO_ID = -(2**63)
+
 
 def release(spark: SparkSession) -> None:
     """Ask for garbage collection, so that Spark deletes the shuffle files of plans no longer held."""
@@ -52,3 +55,15 @@ def fresh(df: DataFrame, name: str) -> str:
 def tasks(spark: SparkSession) -> int:
     """How many reduce tasks the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def document_key(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, bool]:
+    """A long that tells documents, which are a doc_id with a text, apart; and whether a doc_id repeats.
+
+    While none does the key is the doc_id, null being `NO_ID`; else it is a 64-bit hash of both.
+    """
+    known = F.col(doc_id).cast("long")
+    own = F.coalesce(known, F.lit(NO_ID))
+    if docs.groupBy(own.alias("own")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        return own, False
+    return F.xxhash64(known.isNull(), own, F.col(text).isNull(), F.col(text)), True

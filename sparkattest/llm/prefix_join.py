@@ -12,8 +12,8 @@
 4. Components come from star rounds on the verified links and the class members.
 
 Shingles are told apart by 58-bit hashes, in a pair by 40 bits. A document with fewer words than a shingle is one shingle; without
-words, or null, it has none and is linked to nothing. Rows with equal doc_id count as one
-document (of the larger of their classes); a null doc_id is smaller than any other. Other
+words, or null, it has none and is linked to nothing. A document is a doc_id with a text: only rows equal in
+both count as one. Documents are ordered by doc_id, a null one first, then by a hash. Other
 columns are ignored here.
 """
 
@@ -28,12 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ._graph import components
-from ._tables import discard, fresh, stored, tasks
+from ._tables import NO_ID, discard, document_key, fresh, stored, tasks
 from ._words import Words, binary_column, mix, rolling, slices
 
 SHINGLE, PERCENT = 5, 80
 CELLS = 1 << 18
-NO_ID = -(2**63)
 MEMBERS_PER_TASK = 2000
 
 
@@ -193,16 +192,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rank)
     return together.mapInArrow(run, "u long, v long")
 
 
-def linked_documents(
-    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) per document.
-
-    Two documents link when 100 * intersection >= percent * union of their shingle sets.
-    component_id is the smallest doc_id reachable by links; class_id the smallest with the same set.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+def _linked(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) per key, for texts with document keys as doc_id."""
+    spark = texts.sparkSession
     rank = spark.sparkContext.broadcast(_frequency_ranks(texts.select("text"), size))
     signed = stored(texts.mapInArrow(
         _signatures(size, percent, rank), "doc_id long, n long, sig_a long, sig_b long, prefix_sig long, prefix binary"
@@ -259,22 +251,54 @@ def linked_documents(
     roots = stored(components(links.union(more)))
 
     labels = classes.join(roots, "id", "left").select(*same_set, F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
-    keyed = signed.select("doc_id", *same_set).groupBy("doc_id").agg(F.max(F.struct(*same_set)).alias("_k")).select("doc_id", "_k.*")
-    out = keyed.join(labels, same_set, "left").select(
+    keyed = signed.select("doc_id", *same_set).distinct()
+    return keyed.join(labels, same_set, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
     )
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(back("doc_id"), "n_shingles", back("component_id"), back("class_id"))
+
+
+def _named(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, Column]:
+    """(key, doc_id, n_shingles, first, class_first) per document, and the key; `first` is (doc_id, key) of
+    the smallest document of its component, `class_first` of its class, with `NO_ID` for null."""
+    key, repeated = document_key(docs, doc_id, text)
+    found = _linked(docs.select(key.alias("doc_id"), F.col(text).alias("text")), size, percent)
+    of = lambda c: F.struct(F.col(c).alias("doc_id"), F.col(c).alias("key"))
+    if not repeated:
+        return found.select(
+            F.col("doc_id").alias("key"), "doc_id", "n_shingles", of("component_id").alias("first"), of("class_id").alias("class_first")
+        ), key
+    # keys are hashes: the smallest of a component is found over the ids behind them
+    ids = docs.select(key.alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
+    found = stored(found.withColumnRenamed("doc_id", "key").join(ids, "key"))
+    for part, name in (("component_id", "first"), ("class_id", "class_first")):
+        least = found.groupBy(part).agg(F.min(F.struct("doc_id", "key")).alias(name))
+        found = found.join(least, part)
+    return found.select("key", "doc_id", "n_shingles", "first", "class_first"), key
+
+
+def linked_documents(
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) per document.
+
+    Two documents link when 100 * intersection >= percent * union of their shingle sets.
+    component_id is the smallest doc_id reachable by links; class_id the smallest with the same set.
+    """
+    out, _ = _named(docs, size, percent, doc_id, text)
+    back = lambda c, name: F.when(F.col(c) != NO_ID, F.col(c)).alias(name)
+    return out.select(
+        back("doc_id", "doc_id"), "n_shingles", back("first.doc_id", "component_id"), back("class_first.doc_id", "class_id")
+    )
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of documents that are the smallest doc_id of their component.
+    """The rows of the smallest document of each component, by doc_id and then by hash.
 
-    Repeated rows of a kept doc_id become one row.
+    Rows that share a doc_id, or have none, and differ in their texts are documents of their own; rows equal in
+    both become one row.
     """
-    roots = linked_documents(docs, size, percent, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out, own = _named(docs, size, percent, doc_id, text)
     key = fresh(docs, "kept_id")
-    kept = roots.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key))
-    keyed = docs.withColumn(key, F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    kept = out.filter(F.col("key") == F.col("first.key")).select(F.col("key").alias(key))
+    return docs.withColumn(key, own).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

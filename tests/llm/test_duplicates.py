@@ -134,6 +134,18 @@ def test_near_copies_odd_tables(spark):
     assert prefix_join.keep_one(no_docs(spark)).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b, c, d = (prose(50 + k, 60) for k in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, None), (7, c), (7, d), (8, c + " end"), (9, b), (10, prose(60, 60))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in prefix_join.keep_one(table).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (None, None), (7, c), (7, d), rows[-1]], key=str)
+    linked = prefix_join.linked_documents(table).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in linked) == sorted(
+        [("None", "None")] * 3 + [("7", "7")] * 2 + [("8", "7"), ("9", "None"), ("10", "10")]
+    )
+
+
 def test_leaks(spark):
     item, short = prose(31, 40), "alpha beta gamma delta epsilon zeta eta theta"
     w = words(item)
