@@ -85,6 +85,24 @@ def test_suffix_removal_against_brute_force(spark, shard_segments):
     assert suffix_dedup.remove_repeats(no_docs(spark)).count() == 0
 
 
+def test_suffix_removal_of_repeated_ids(spark):
+    passage = prose(71, 120)
+    half = passage[: len(passage) // 2]
+    rows = [(1, prose(72, 60) + passage)] + [(2, half + prose(73, 60))] * 3 + [(3, prose(74, 60) + passage + prose(75, 60))]
+    rows += [(None, prose(76, 60) + half), (None, prose(77, 90)), (4, prose(78, 60)), (4, prose(79, 60) + passage[-300:])]
+    times = Counter()
+    for _, t in set(rows):
+        times.update(t[k : k + 200] for k in range(len(t) - 199))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t, cover = r["text"], np.zeros(len(r["text"]), bool)
+        for k in range(len(t) - 199):
+            if times[t[k : k + 200]] > 1:
+                cover[k : k + 200] = True
+        assert (r["doc_id"], bytes(r["kept"]).decode()) == (r["doc_id"], "".join(c for c, gone in zip(t, cover, strict=True) if not gone))
+
+
 def _shingles(text):
     w = words((text or "").translate(LOWER))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
