@@ -7,8 +7,11 @@ items are indented behind their bullet or number; table cells are padded to the
 their column, spans included. White space collapses outside preformatted text.
 
 Hidden are the head, scripts, styles, templates and fallbacks of embedded content, elements with the
-hidden attribute, with display:none or visibility:hidden in their style or in a simple rule (tag, class,
-id) of a style element, closed dialogs, and the body of closed details. All other text is emitted
+hidden attribute, with display:none or visibility:hidden in their style or by the simple rules (tag, class,
+id) of style elements, closed dialogs, and the body of closed details. Of several rules the important, then the
+more specific, then the last one decides, and a style attribute precedes rules; rules for media other
+than screen or all are skipped. Of an SVG image the text elements and foreign content are
+shown, of MathML all but annotations; parts of a fraction and cells stand apart. All other text is emitted
 whole. Elements nested deeper than `DEPTH` become siblings.
 
 Null and empty pages give an empty text; text without tags is one block; other columns pass
@@ -33,14 +36,24 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-HIDES = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?$", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+SHOWN = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
+SCREEN = re.compile(r"(?:only\s+)?(?:screen|all)", re.I)
+SIMPLE = re.compile(r"(?=.)([a-z][a-z0-9]*)?([.#][\w-]+)?$", re.I)
 COLLAPSE = re.compile(r"[ \t\n\r\f]+")
 # fixed values of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist math svg".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist".split())
+# of SVG and MathML: never drawn where they stand; where HTML starts again; HTML tags that end them
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask pattern marker".split())
+ASIDE = {(a, b) for a in ("math", "semantics") for b in ("annotation", "annotation-xml")} | {(a, "desc") for a in ("text", "tspan", "textpath")}
+APART = frozenset("mfrac munder mover munderover mtr mlabeledtr mtable".split())
+HTML_INSIDE = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+LEAVES = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption tr".split()
@@ -74,10 +87,85 @@ class Node:
         return None
 
 
-def tree(page: str) -> tuple[Node, list[str]]:
-    """Root of the element tree, and the hiding selectors of the page's style elements."""
+def _for_screen(media: str) -> bool:
+    return any(SCREEN.fullmatch(m.strip()) for m in media.split(",")) or not media.strip()
+
+
+def _shown(declarations: str) -> list[tuple[str, bool, bool]]:
+    """(property, hides, important) of what a rule or style says about being shown."""
+    return [
+        (m[1].lower(), m[2].lower() in (("none",) if m[1].lower() == "display" else ("hidden", "collapse")), bool(m[3]))
+        for m in SHOWN.finditer(declarations)
+    ]
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen, in order."""
+    css, blocks, at = COMMENT.sub(" ", css), [], 0
+    # open blocks: [prelude, do its rules hold, is it a rule, its declarations]
+    for m in re.finditer(r"[{};]|\Z", css):
+        said, at = css[at : m.start()].strip(), m.end()
+        inside = blocks[-1] if blocks else ["", True, False, ""]
+        if m[0] == "{":
+            name, _, rest = said.partition(" ") if " " in said else said.partition("(")
+            name = name.lower().split("(")[0]
+            holds = name == "@media" and _for_screen(said[6:]) or name == "@layer" or name == "@supports" and not rest.lower().startswith("not")
+            blocks.append([said, inside[1] and not inside[2] and (holds or not said.startswith("@")), not said.startswith("@"), ""])
+            continue
+        if inside[2]:
+            inside[3] += said + ";"
+        if blocks and m[0] != ";":
+            done = blocks.pop()
+            if done[1] and done[2]:
+                yield done[0], done[3]
+
+
+class Sheet:
+    """The simple rules about being shown, by their id, class or tag."""
+
+    def __init__(self):
+        self.by: dict[str, list] = {}
+        self.n, self.hides = 0, False
+
+    def read(self, css: str) -> None:
+        for selectors, declarations in _rules(css):
+            said = _shown(declarations)
+            if not said:
+                continue
+            for selector in selectors.split(","):
+                if m := SIMPLE.match(selector.strip()):
+                    self.n += 1
+                    tag, mark = (m[1] or "").lower(), m[2] or ""
+                    rank = ((mark[:1] == "#", mark[:1] == ".", bool(tag)), self.n)
+                    self.by.setdefault(mark or tag, []).append((tag, rank, said))
+                    self.hides |= any(h for _, h, _ in said)
+
+    def hidden(self, node: Node) -> bool:
+        """Whether rules and the style attribute of a node hide it."""
+        style = (node.get("style") or "") if node.attrs else ""
+        if not style and not self.hides:
+            return False
+        found = [((i, 1, (), (0, k)), p, h) for k, (p, h, i) in enumerate(_shown(style))]
+        if self.hides:
+            names = [node.tag]
+            if node.attrs:
+                names += [f".{c}" for c in set((node.get("class") or "").split())] + [f"#{node.get('id')}"]
+            for name in names:
+                for tag, (weight, order), said in self.by.get(name, ()):
+                    if not tag or tag == node.tag:
+                        found += [((i, 0, weight, (order, k)), p, h) for k, (p, h, i) in enumerate(said)]
+        last: dict[str, tuple] = {}
+        for rank, prop, hides in found:
+            if prop not in last or rank > last[prop][0]:
+                last[prop] = (rank, hides)
+        return any(hides for _, hides in last.values())
+
+
+def tree(page: str) -> tuple[Node, Sheet]:
+    """Root of the element tree, and the rules of the page's style elements."""
     root = Node("#root")
-    stack, hiding, at = [root], [], 0
+    stack, sheet, at = [root], Sheet(), 0
+    embeds = re.search(r"<(?:svg|math)\b", page, re.I)
 
     def text(until: int) -> None:
         if until > at:
@@ -111,6 +199,10 @@ def tree(page: str) -> tuple[Node, list[str]]:
         attrs = m[3] or m[6] or ""
         if tag in ("html", "body") and _open(stack, tag):
             continue
+        foreign = _foreign(stack) if embeds else 0
+        if foreign and tag in LEAVES:
+            del stack[foreign:]
+            foreign = 0
         if tag in CLOSES:
             close(*CLOSES[tag])
         if tag in ENDS_P:
@@ -119,20 +211,33 @@ def tree(page: str) -> tuple[Node, list[str]]:
             close({"head"}, {"html"})
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if tag in VOID:
+        if tag in VOID or foreign and attrs.endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
             body = page[at : end.start()]
             if tag == "style":
-                hiding += [s.strip() for sel, rule in RULE.findall(body) if HIDES.search(rule) for s in sel.split(",")]
+                if _for_screen(node.get("media") or ""):
+                    sheet.read(body)
             node.kids.append(html.unescape(body) if tag in ("textarea", "title") else body)
             at = end.end()
         elif not attrs.endswith("/") or tag in BLOCK:
             if len(stack) < DEPTH:
                 stack.append(node)
     text(len(page))
-    return root, [s for s in hiding if SIMPLE.match(s)]
+    return root, sheet
+
+
+def _foreign(stack: list[Node]) -> int:
+    """Where on the stack the SVG or MathML element starts whose content comes next; 0 if it is HTML."""
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k].tag in ("svg", "math"):
+            while k > 1 and stack[k - 1].tag not in HTML_INSIDE and (outer := _foreign(stack[:k])):
+                k = outer
+            return k
+        if stack[k].tag in HTML_INSIDE:
+            return 0
+    return 0
 
 
 def _open(stack: list[Node], tag: str) -> bool:
@@ -220,20 +325,16 @@ class Lines:
 
 class Page:
     def __init__(self, page: str):
-        self.root, self.hiding = tree(page)
+        self.root, self.sheet = tree(page)
 
     def seen(self, node: Node) -> bool:
         if node.tag in UNSEEN:
             return False
-        if self.hiding:
-            classes, own = (node.get("class") or "").split(), node.get("id")
-            for s in self.hiding:
-                m = SIMPLE.match(s)
-                if (not m[1] or m[1].lower() == node.tag) and (not m[2] or m[2][1:] in classes and m[2][0] == "." or m[2] == f"#{own}"):
-                    return False
+        if self.sheet.hidden(node):
+            return False
         if not node.attrs:
             return node.tag != "dialog"
-        if node.get("hidden") is not None or HIDES.search(node.get("style") or ""):
+        if node.get("hidden") is not None:
             return False
         if node.tag == "input":
             return False
@@ -260,6 +361,14 @@ class Page:
                 out.add(kid.get("alt") or "")
             elif tag == "table":
                 self.table(kid, out)
+            elif tag == "svg":
+                self.drawing(kid, out, depth)
+            elif (node.tag, tag) in ASIDE:
+                continue
+            elif node.tag in APART:
+                out.space = True
+                self.render(kid, out, pre, depth)
+                out.space = True
             elif tag in BLOCK:
                 gap = 2 if tag in MARGIN and not (tag in LISTS and depth) else 1
                 out.block(gap)
@@ -275,6 +384,18 @@ class Page:
             else:
                 self.render(kid, out, pre or tag == "textarea", depth)
 
+    def drawing(self, node: Node, out: Lines, depth: int) -> None:
+        """The text elements and foreign content of an SVG image, set apart by a space."""
+        for kid in node.kids:
+            if isinstance(kid, str) or kid.tag in UNDRAWN or not self.seen(kid):
+                continue
+            if kid.tag in ("text", "foreignobject"):
+                out.space = True
+                self.render(kid, out, False, depth)
+                out.space = True
+            else:
+                self.drawing(kid, out, depth)
+
     @staticmethod
     def number(parent: Node, item: Node, before: int) -> int:
         given = item.get("value") or (parent.get("start") if before == 0 else None)

@@ -46,6 +46,16 @@ def test_piece_edges(text):
     ("<pre> a\n  b</pre>", " a\n  b"),
     ("a<br>b<br><br>c", "a\nb\n\nc"),
     ("<details><summary>s</summary>body</details>", "s"),
+    ("a<svg><title>t</title><desc>d</desc><path d='m'/><style/><g><text>one</text><text x=1>t<tspan>wo</tspan></text></g></svg>b", "a one two b"),
+    ("<svg><defs><text>no</text></defs><foreignObject><p>yes</p></foreignObject></svg><svg><path><p>out", "yes\n\nout"),
+    ("<p><math><mi>E</mi><mo>=</mo><mfrac><mi>a</mi><mn>2</mn></mfrac><annotation>tex</annotation></math> holds", "E= a 2 holds"),
+    ("<style>@media print{.x{display:none}}</style><b class=x>shown</b>", "shown"),
+    ("<style media=print>.x{display:none}</style><b class=x>shown</b>", "shown"),
+    ("<style>@media print, screen{.x{display:none}} .y{color:red}</style><b class=x>no</b><b class=y>y</b>", "y"),
+    ("<style>.x{display:none}/* } */ .x{display:block}</style><b class=x>shown</b>", "shown"),
+    ("<style>.x{display:block} .x{display:none}</style><b class=x>no</b>k", "k"),
+    ("<style>#i{display:none} b{display:inline}</style><b id=i>no</b>k", "k"),
+    ("<style>.x{display:none} .y{display:none!important}</style><b class=x style='display:inline'>a</b><b class=y style='display:inline'>b</b>", "a"),
     ("plain  text\n x", "plain text x"),
     ("", ""),
     (None, ""),
