@@ -9,7 +9,8 @@ from partially aggregated sums, the nearest rows from a histogram of distances w
 `BINS` bins per factor e, so a source with a third of all rows is no special case.
 
 Groups with fewer than `LEAST` rows are pooled by language, and languages that stay below by
-one common group. `RIDGE` keeps the covariance regular where a statistic hardly varies.
+one common group. `RIDGE` keeps the covariance regular where a statistic hardly varies, as most rows have no
+repeated line or word; it is small enough for either of these to reject a row by itself.
 
 Only rows that pass the base rule (`base_failed`) enter the estimates. A null text has no words and
 fails the base rule; null languages and sources are groups of their own; repeated rows count as
@@ -30,7 +31,7 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST, SHARE, STEPS, BINS = 200, 0.75, 4, 64
 CUTOFF, MEDIAN = 100.0, 4.3515
-RIDGE = (0.05, 0.005, 0.15, 1.0, 1.0)
+RIDGE = (0.05, 0.005, 0.15, 0.25, 0.25)
 P = len(RIDGE)
 LOW_BITS = 24
 

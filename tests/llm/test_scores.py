@@ -65,6 +65,18 @@ def test_distances_against_numpy(spark):
     assert {r["kept"] for r in rows.values()} == {"x"}
 
 
+def test_each_statistic_rejects_by_itself(spark):
+    rng = np.random.default_rng(8)
+    n = np.exp(rng.normal(5.6, 0.8, 500)).clip(50).astype(int)
+    chars, symbols = n * np.exp(rng.normal(1.6, 0.15, 500)), n * np.exp(rng.normal(0, 0.6, 500)) / 100
+    rows = [(k, "en", "s", int(a), int(b), int(c), 0, 0) for k, (a, b, c) in enumerate(zip(n, chars, symbols, strict=True))]
+    middle = (270, 1337, 2, 0, 0)
+    odd = [(500_000, 2_476_000, 5000, 0, 0), (270, 270 * 60, 2, 0, 0), (270, 1337, 270, 0, 0), (270, 1337, 2, 270, 0), (270, 1337, 2, 0, 135), middle]
+    table = spark.createDataFrame(rows + [(1000 + k, "en", "s", *x) for k, x in enumerate(odd)], "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in robust_outliers.FIVE))
+    got = {r["doc_id"]: r for r in robust_outliers.judge(table).collect()}
+    assert [got[1000 + k]["kept"] for k in range(6)] == [False] * 5 + [True], [got[1000 + k]["distance"] for k in range(6)]
+
+
 def test_outliers_odd_tables(spark):
     rows = robust_outliers.judge_documents(odd_docs(spark)).collect()
     assert len(rows) == len(odd_rows())
