@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_layout, katz, piece_codec, prefix_join, robust_outliers, spaced_seeds, suffix_dedup, toxicity, window_dedup
+from . import (
+    chat, html_layout, katz, piece_codec, pivot_search, prefix_join, robust_outliers, spaced_seeds, suffix_dedup, token_alignment, toxicity,
+    va_clusters, window_dedup,
+)
 from ._tables import stored
 
 QUERIES: dict = {}
@@ -122,3 +125,25 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
     return chat.read_back(chat.windows(rows, chat.turn_tokens(vocabulary("byte_bpe_50k.tiktoken"))))
+
+
+@query
+def op11_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_search.top_products(vectors, F.col("vec_id") % 50 == 0, 5).select("query_id", "rank", "vec_id", "score")
+
+
+def aligned_vocabularies() -> tuple[str, str, str, str]:
+    import public_tokenizers
+
+    return vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, vocabulary("piece_bpe_32k.model")
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), aligned_vocabularies())
+
+
+@query
+def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_clusters.described(va_clusters.cluster(table(spark, sf_dir, "embeddings")))
