@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_folder
 
@@ -57,13 +58,23 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def own_number(docs: DataFrame, doc_id: str) -> Column:
+    """A doc_id as a long, `NO_ID` for null. Ids of other types than integers become 64-bit hashes."""
+    kind = docs.schema[doc_id].dataType
+    number = F.col(doc_id).cast("long") if isinstance(kind, T.IntegralType) else F.xxhash64(F.col(doc_id))
+    return F.when(F.col(doc_id).isNull(), F.lit(NO_ID)).otherwise(number)
+
+
+def ids_repeat(docs: DataFrame, own: Column) -> bool:
+    return not docs.groupBy(own.alias("own")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty()
+
+
 def document_key(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, bool]:
     """A long that tells documents, which are a doc_id with a text, apart; and whether a doc_id repeats.
 
     While none does the key is the doc_id, null being `NO_ID`; else it is a 64-bit hash of both.
     """
-    known = F.col(doc_id).cast("long")
-    own = F.coalesce(known, F.lit(NO_ID))
-    if docs.groupBy(own.alias("own")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+    own = own_number(docs, doc_id)
+    if not ids_repeat(docs, own):
         return own, False
-    return F.xxhash64(known.isNull(), own, F.col(text).isNull(), F.col(text)), True
+    return F.xxhash64(F.col(doc_id).isNull(), own, F.col(text).isNull(), F.col(text)), True

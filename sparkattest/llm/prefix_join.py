@@ -25,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ._graph import components
-from ._tables import NO_ID, discard, document_key, fresh, stored, tasks
+from ._tables import NO_ID, discard, document_key, fresh, own_number, stored, tasks
 from ._words import Words, binary_column, mix, rolling, slices
 
 SHINGLE, PERCENT = 5, 80
@@ -269,7 +270,7 @@ def _named(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
             F.col("doc_id").alias("key"), "doc_id", "n_shingles", of("component_id").alias("first"), of("class_id").alias("class_first")
         ), key
     # keys are hashes: the smallest of a component is found over the ids behind them
-    ids = docs.select(key.alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
+    ids = docs.select(key.alias("key"), own_number(docs, doc_id).alias("doc_id")).distinct()
     found = stored(found.withColumnRenamed("doc_id", "key").join(ids, "key"))
     for part, name in (("component_id", "first"), ("class_id", "class_first")):
         least = found.groupBy(part).agg(F.min(F.struct("doc_id", "key")).alias(name))
@@ -283,8 +284,10 @@ def linked_documents(
     """(doc_id, n_shingles, component_id, class_id) per document.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets.
-    component_id is the smallest doc_id reachable by links; class_id the smallest with the same set.
+    component_id is the smallest doc_id reachable by links; class_id the smallest with the same set. doc_id must be an integer here.
     """
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} must be an integer column")
     out, _ = _named(docs, size, percent, doc_id, text)
     back = lambda c, name: F.when(F.col(c) != NO_ID, F.col(c)).alias(name)
     return out.select(

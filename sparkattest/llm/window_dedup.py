@@ -10,9 +10,9 @@ overlapping marks merge into maximal removal intervals.
 Equality is that of 61-bit or wider hashes (56 bits and the bucket number): among n windows one
 false pair is expected about every n * n / 2**62.
 
-Documents are ordered by doc_id, nulls first. Rows with equal doc_id count as one
-document: equal texts are never copies of each other, and of differing texts each loses
-the union of the removals. Null and empty texts have no words and stay as they are. Other
+A document is a doc_id, null being a value, with a text: only rows equal in both count as one, and are then no copies
+of each other. Documents are ordered by doc_id, nulls first, and where a doc_id repeats by a hash of the text; ids that are no integers
+are ordered by their hash. Null and empty texts have no words and stay as they are. Other
 columns pass through. Texts shorter than a window are never touched.
 """
 
@@ -22,39 +22,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import fresh, release, stored, tasks
+from ._tables import fresh, ids_repeat, own_number, release, stored, tasks
 from ._words import Words, binary_column, from_planes, mix, planes, slices
 
 SIZE = 20
-NO_ID = -(2**63)
 HASH_BYTES = 7
 MARKED = -1
-ENTRIES = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary()), ("hashes", pa.binary())])
-ENTRIES_DDL = "bucket int, ids binary, counts binary, positions binary, hashes binary"
+COLUMNS = ("ids", "ties", "counts", "positions", "hashes")
+ENTRIES = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in COLUMNS]])
+ENTRIES_DDL = "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS)
 BATCH_WINDOWS = 4_000_000
 
 
-def _packed(bucket: int, ids: np.ndarray, positions: np.ndarray, hashes: np.ndarray | None) -> tuple:
-    """One row of entries; runs of one document share its id."""
-    head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it; the first does."""
+    new = np.zeros(len(keys[0]), bool)
+    if len(new):
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return new
+
+
+def _packed(bucket: int, ids: np.ndarray, ties: np.ndarray, positions: np.ndarray, hashes: np.ndarray | None) -> tuple:
+    """One row of entries; runs of one document share its id and its tie. Ties that are all zero take no bytes."""
+    head = np.flatnonzero(_changes(ids, ties))
     counts = np.diff(np.r_[head, len(ids)])
     return (
-        bucket, planes(ids[head].view(np.uint64), 8), planes(counts, 4), planes(positions, 4),
+        bucket, planes(ids[head].view(np.uint64), 8), planes(ties[head].view(np.uint64), 8) if ties.any() else b"", planes(counts, 4), planes(positions, 4),
         b"" if hashes is None else planes(hashes, HASH_BYTES),
     )
 
 
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n_ids, n = len(row["ids"]) // 8, len(row["positions"]) // 4
     ids = from_planes(np.frombuffer(row["ids"], np.uint8), n_ids, 8).view(np.int64)
+    ties = from_planes(np.frombuffer(row["ties"], np.uint8), n_ids, 8).view(np.int64) if row["ties"] else np.zeros(n_ids, np.int64)
     counts = from_planes(np.frombuffer(row["counts"], np.uint8), n_ids, 4).astype(np.int64)
     positions = from_planes(np.frombuffer(row["positions"], np.uint8), n, 4).astype(np.int64)
     hashes = from_planes(np.frombuffer(row["hashes"], np.uint8), n if row["hashes"] else 0, HASH_BYTES)
-    return np.repeat(ids, counts), positions, hashes
+    return np.repeat(ids, counts), np.repeat(ties, counts), positions, hashes
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -62,55 +73,54 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *map(binary_column, columns[1:])], schema=ENTRIES)
 
 
-def first_of_each(hashes: np.ndarray, ids: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_of_each(hashes: np.ndarray, ids: np.ndarray, ties: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Masks over the entries: earliest of its hash; and behind the earliest place of its hash.
 
     A second entry at the very same place, from a repeated row, is neither.
     """
     order = np.argsort(hashes)
-    ordered = hashes[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(order) else np.zeros(0, bool)
+    new = _changes(hashes[order])
     first, later = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
     alone = new & np.r_[new[1:], True] if len(order) else new
     first[order[alone]] = True
     rest = order[~alone]
     if len(rest):
-        rest = rest[np.lexsort((positions[rest], ids[rest], hashes[rest]))]
-        head = np.r_[True, hashes[rest][1:] != hashes[rest][:-1]]
+        rest = rest[np.lexsort((positions[rest], ties[rest], ids[rest], hashes[rest]))]
+        head = _changes(hashes[rest])
         lead = rest[np.flatnonzero(head)][np.cumsum(head) - 1]
         first[rest[head]] = True
-        later[rest] = (ids[rest] != ids[lead]) | (positions[rest] != positions[lead])
+        later[rest] = (ids[rest] != ids[lead]) | (ties[rest] != ties[lead]) | (positions[rest] != positions[lead])
     return first, later
 
 
 def _window_entries(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
         def flush() -> pa.RecordBatch:
-            hashes, ids, positions = (np.concatenate(x) for x in zip(*held, strict=True))
-            first, later = first_of_each(hashes, ids, positions)
+            hashes, ids, ties, positions = (np.concatenate(x) for x in zip(*held, strict=True))
+            first, later = first_of_each(hashes, ids, ties, positions)
             rows = []
             if later.any():
-                rows.append(_packed(MARKED, ids[later], positions[later], None))
-            hashes, ids, positions = hashes[first], ids[first], positions[first]
+                rows.append(_packed(MARKED, ids[later], ties[later], positions[later], None))
+            hashes, ids, ties, positions = hashes[first], ids[first], ties[first], positions[first]
             bucket = (hashes % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 own = order[edges[b] : edges[b + 1]]
-                rows.append(_packed(int(b), ids[own], positions[own], hashes[own] // np.uint64(buckets)))
+                rows.append(_packed(int(b), ids[own], ties[own], positions[own], hashes[own] // np.uint64(buckets)))
             return _rows(rows)
 
         for batch in batches:
-            doc_ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            doc_ids, doc_ties = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for row, data, offsets in slices(batch.column(1)):
                 words = Words(data, offsets)
                 at, hashes = words.windows(words.hashes(), size)
                 if len(at):
                     rows = words.rows[at]
-                    held.append((hashes, doc_ids[row + rows], at - words.first[rows]))
+                    held.append((hashes, doc_ids[row + rows], doc_ties[row + rows], at - words.first[rows]))
                     count += len(at)
                 if count > BATCH_WINDOWS:
                     yield flush()
@@ -123,14 +133,14 @@ def _window_entries(size: int, buckets: int):
 
 
 def _marks(tasks_after: int):
-    def dealt(ids: np.ndarray, positions: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def dealt(ids: np.ndarray, ties: np.ndarray, positions: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Marks packed for the task that gathers their document."""
         if len(ids):
-            to = (mix(ids.view(np.uint64)) % np.uint64(tasks_after)).astype(np.int32)
-            order = np.lexsort((positions, ids, to))
+            to = (mix(ids.view(np.uint64) ^ mix(ties.view(np.uint64))) % np.uint64(tasks_after)).astype(np.int32)
+            order = np.lexsort((positions, ties, ids, to))
             edges = np.searchsorted(to[order], np.arange(tasks_after + 1))
             parts = [(int(k), order[edges[k] : edges[k + 1]]) for k in np.flatnonzero(np.diff(edges))]
-            yield _rows([_packed(k, ids[own], positions[own], None) for k, own in parts])
+            yield _rows([_packed(k, ids[own], ties[own], positions[own], None) for k, own in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows that start earlier elsewhere, from all entries of a task."""
@@ -139,37 +149,47 @@ def _marks(tasks_after: int):
             for row in batch.to_pylist():
                 entry = _unpacked(row)
                 if row["bucket"] == MARKED:
-                    yield from dealt(entry[0], entry[1])
+                    yield from dealt(*entry[:3])
                 else:
                     held.setdefault(row["bucket"], []).append(entry)
         for parts in held.values():
-            ids, positions, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, later = first_of_each(hashes, ids, positions)
-            yield from dealt(ids[later], positions[later])
+            ids, ties, positions, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, later = first_of_each(hashes, ids, ties, positions)
+            yield from dealt(ids[later], ties[later], positions[later])
 
     return run
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, starts): one row per document that has marks."""
-    held = [_unpacked(row)[:2] for batch in batches for row in batch.to_pylist()]
+    """(id, tie, starts): one row per document that has marks."""
+    held = [_unpacked(row)[:3] for batch in batches for row in batch.to_pylist()]
     if held:
-        ids, positions = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((positions, ids))
-        ids, positions = ids[order], positions[order]
-        head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        ids, ties, positions = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((positions, ties, ids))
+        ids, ties, positions = ids[order], ties[order], positions[order]
+        head = np.flatnonzero(_changes(ids, ties))
         parts = [planes(p, 4) for p in np.split(positions, head[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[head]), binary_column(parts)], names=["id", "starts"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(ties[head]), binary_column(parts)], names=["id", "tie", "starts"])
+
+
+def _keys(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column]:
+    """The order of documents: their id, and a tie that is 0 unless a doc_id repeats."""
+    own = own_number(docs, doc_id)
+    return own, F.xxhash64(F.col(text)) if ids_repeat(docs, own) else F.lit(0).cast("long")
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, starts): per document the word positions where a window starts that also starts earlier."""
-    n = tasks(docs.sparkSession)
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """(id, tie, starts): per document the word positions where a window starts that also starts earlier."""
+    own, tie = _keys(docs, doc_id, text)
+    return _marked(docs.select(own.alias("doc_id"), F.col(text).alias("text"), tie.alias("tie")), size)
+
+
+def _marked(narrow: DataFrame, size: int) -> DataFrame:
+    n = tasks(narrow.sparkSession)
     entries = narrow.mapInArrow(_window_entries(size, n), ENTRIES_DDL)
     by_task = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.hash("ids", "positions"), F.lit(n)))
     marks = entries.repartitionById(n, by_task.cast("int")).mapInArrow(_marks(n), ENTRIES_DDL)
-    return marks.repartitionById(n, F.col("bucket")).mapInArrow(_gathered, "id long, starts binary")
+    return marks.repartitionById(n, F.col("bucket")).mapInArrow(_gathered, "id long, tie long, starts binary")
 
 
 def _removed(starts: bytes | None, size: int, n_words: int) -> np.ndarray:
@@ -189,11 +209,12 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", te
     unchanged. Adds n_words, n_removed and removed_spans (start and end word of each maximal
     run); names that are taken get underscores.
     """
-    marks = stored(repeated_windows(docs, size, doc_id, text))
+    own, tie = _keys(docs, doc_id, text)
+    marks = stored(_marked(docs.select(own.alias("doc_id"), F.col(text).alias("text"), tie.alias("tie")), size))
     release(docs.sparkSession)
-    key, starts = fresh(docs, "mark_id"), fresh(docs, "mark_starts")
-    own = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
-    joined = docs.join(marks.select(F.col("id").alias(key), F.col("starts").alias(starts)), own == F.col(key), "left").drop(key)
+    key, mark_tie, starts = fresh(docs, "mark_id"), fresh(docs, "mark_tie"), fresh(docs, "mark_starts")
+    found = marks.select(F.col("id").alias(key), F.col("tie").alias(mark_tie), F.col("starts").alias(starts))
+    joined = docs.join(found, (own == F.col(key)) & (tie == F.col(mark_tie)), "left").drop(key, mark_tie)
     at, mark_at = docs.columns.index(text), len(docs.columns)
     old = docs.columns
     names = [fresh(docs, n) for n in ("n_words", "n_removed", "removed_spans")]

@@ -14,33 +14,74 @@ def _sha(data):
     return hashlib.sha256(data).hexdigest()
 
 
-def test_windows_against_brute_force(spark):
-    # a null id stands for one document, ordered first; repeated rows of one id are one document
-    docs = defaultdict(list)
-    for i, t, *_ in odd_rows():
-        docs[-1 if i is None else i].append(words(t))
+def _windows_cut(rows):
+    """{(doc_id, text): covered word numbers}; documents in order of id, null first, then of the hash of the text."""
     seen, covered = {}, {}
-    for i in sorted(docs):
-        marks = [set() for _ in docs[i]]
-        for w in docs[i]:
-            for k in range(len(w) - 19):
-                first = seen.setdefault(tuple(w[k : k + 20]), (i, k))
-                if first != (i, k):
-                    for m in marks:
-                        m.update(range(k, k + 20))
-        covered[i] = marks[0]
+    for i, t in sorted({(r[0], r[1] or "") for r in rows}, key=lambda d: (d[0] is not None, d[0] or 0, _order_of(d[1]))):
+        w, marks = words(t), set()
+        for k in range(len(w) - 19):
+            if seen.setdefault(tuple(w[k : k + 20]), (i, t, k)) != (i, t, k):
+                marks.update(range(k, k + 20))
+        covered[i, t] = marks
+    return covered
+
+
+_HASHES = {}
+
+
+def _order_of(text):
+    return _HASHES[text]
+
+
+@pytest.fixture
+def hashed(spark):
+    def run(rows):
+        texts = spark.createDataFrame([(t,) for t in {r[1] or "" for r in rows}] or [("",)], "t string")
+        _HASHES.update({r["t"]: r["h"] for r in texts.selectExpr("t", "xxhash64(t) AS h").collect()})
+
+    return run
+
+
+def test_windows_against_brute_force(spark, hashed):
+    hashed(odd_rows())
+    covered = _windows_cut(odd_rows())
     rows = window_dedup.remove_repeats(odd_docs(spark)).collect()
     assert len(rows) == len(odd_rows())
-    for (i, t, *_), r in zip(sorted(odd_rows(), key=str), sorted(rows, key=lambda r: str(tuple(r[:16]))), strict=True):
-        w, cut = words(t), covered[-1 if i is None else i]
-        assert r["n_words_"] == len(w)
+    for (i, t, *_), r in zip(sorted(odd_rows(), key=lambda r: r[4]), sorted(rows, key=lambda r: r["n_chars"]), strict=True):
+        w, cut = words(t), covered[i, t or ""]
+        assert r["doc_id"] == i and r["n_words_"] == len(w)
         assert words(r["text"]) == [x for k, x in enumerate(w) if k not in cut]
-        assert r["n_removed_"] == len([k for k in cut if k < len(w)])
+        assert r["n_removed_"] == len(cut)
         if not cut:
             assert r["text"] == t
     assert window_dedup.remove_repeats(no_docs(spark)).count() == 0
 
 
+def test_windows_of_repeated_and_null_ids(spark, hashed):
+    p = prose(31, 25)
+    rows = [(None, f"{p} mid {p}"), (None, prose(32, 60)), (7, f"{prose(33, 30)} {p}"), (7, prose(34, 80)), (7, prose(34, 80)), (8, prose(34, 80))]
+    hashed(rows)
+    covered = _windows_cut(rows)
+    got = window_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = sorted((str(r["doc_id"]), r["text"].split(), r["n_removed"]) for r in got)
+    want = [(str(i), [x for k, x in enumerate(words(t)) if k not in covered[i, t]], len(covered[i, t])) for i, t in rows]
+    assert left == sorted(want)
+    assert [n for i, _, n in left if i == "7"].count(0) == 2 and ("None", prose(32, 60).split(), 0) in left
+
+
+def test_ids_that_are_no_integers(spark):
+    p = prose(35, 60)
+    rows = [("d1", p), ("d2", p + " " + prose(36, 40)), ("d3", prose(37, 50)), (None, "short")]
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in window_dedup.remove_repeats(table).collect()}
+    assert sorted((got["d1"], got["d2"])) == [0, 60] and got["d3"] == got[None] == 0
+    bytes_cut = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(table).collect()}
+    assert bytes_cut["d1"] == bytes_cut["d2"] == len(p) and bytes_cut["d3"] == 0
+    assert {r["doc_id"] for r in prefix_join.keep_one(table).collect()} == {"d1", "d2", "d3", None}
+    with pytest.raises(TypeError):
+        prefix_join.linked_documents(table)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(5)
     for letters in (1, 2, 4):

@@ -190,3 +190,13 @@ def test_katz_odd_tables(spark):
     assert {r["score_"] for r in rows.collect()} == {0.0}  # nothing learned: every token is the unseen word
     assert katz.score(no_docs(spark), katz.fit(no_docs(spark), F.lit(True))).count() == 0
     assert rows.count() == len(odd_rows())
+
+
+def test_toxicity_model_of_repeated_ids_and_bounded_bytes(spark):
+    rows = [(k, f"plain words number {k} and more", 0) for k in range(60)] + [(100 + k, f"nasty slur{k % 3} here {k}", 1) for k in range(60)]
+    twice = rows + [(5, "zz nasty slur1 twice", 0)]
+    fits = [toxicity.fit(spark.createDataFrame(r, "doc_id long, text string, label int").repartition(n)) for r, n in ((rows, 1), (twice, 3), (twice[::-1], 2))]
+    assert all(np.array_equal(fits[0].weights, m.weights) for m in fits[1:])
+    small = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert not np.array_equal(toxicity.fit(small, max_bytes=1500).weights, fits[0].weights)
+    assert toxicity.fit(small, max_bytes=0).weights.any() == np.False_
