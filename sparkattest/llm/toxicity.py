@@ -25,14 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ._tables import fresh
-from ._words import _BYTE_VALUES, Words, rolling, slices
+from ._words import _BYTE_VALUES, Words, rolling, slices, text_buffers
 
-MAX_ROWS = 2000
+MAX_ROWS, MAX_BYTES = 2000, 64 << 20
+SCORED_BYTES = 1 << 18
 SEGMENT, ROWS, WIDTH = 2, 1 << 18, 8
 SHORTEST, LONGEST = 3, 7
 EPOCHS, BATCH, RATE, DECAY = 6, 256, 0.05, 1e-4
@@ -58,16 +61,16 @@ class Model:
 def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Table rows of the substrings of each word between edge marks, and how many each word has."""
     length = ends - starts + 2
-    word = np.repeat(np.arange(len(starts)), length)
+    word = np.repeat(np.arange(len(starts), dtype=np.int32), length)
     begin = np.cumsum(length) - length
     inner = np.arange(len(word)) - begin[word]
     edge = (inner == 0) | (inner == length[word] - 1)
     source = np.clip(starts[word] + inner - 1, 0, max(len(data) - 1, 0))
     values = np.where(edge, np.where(inner == 0, _EDGES[0], _EDGES[1]), _BYTE_VALUES[data[source]] if len(data) else np.uint64(0))
-    owner, rows = [np.arange(len(starts))], [rolling(values, begin, begin + length, "byte") ^ np.uint64(0xA5A5A5A5)]
+    owner, rows = [np.arange(len(starts), dtype=np.int32)], [rolling(values, begin, begin + length, "byte") ^ np.uint64(0xA5A5A5A5)]
     for size in range(SHORTEST, LONGEST + 1):
         many = np.maximum(length - size + 1, 0)
-        own = np.repeat(np.arange(len(starts)), many)
+        own = np.repeat(np.arange(len(starts), dtype=np.int32), many)
         at = begin[own] + _spread(many)
         owner.append(own)
         rows.append(rolling(values, at, at + size, "byte"))
@@ -232,9 +235,10 @@ def _calibrated(logits: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> t
 
 def fit(
     docs: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "label",
-    max_rows: int = MAX_ROWS,
+    max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES,
 ) -> Model:
-    """Learn from at most `max_rows` texts of each label, chosen by a hash of their doc_id.
+    """Learn from at most `max_rows` texts of each label, chosen by a hash of their doc_id, and in that order from no more than
+    `max_bytes` of text. Of several texts of one doc_id the smallest teaches.
 
     labels holds doc_id and label, by default the documents themselves. Only ids are shuffled for the
     choice; the chosen ones, at most 2 * max_rows, are broadcast to the texts.
@@ -246,9 +250,12 @@ def fit(
     ids = ids.filter("doc_id is not null")
     counts = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [ids.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(text).alias("text"))
-    chosen = rows.join(F.broadcast(picked[0].union(picked[1])), "doc_id").dropDuplicates(["doc_id"])
-    got = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toArrow()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.lower(text), F.lit("")).alias("text"))
+    chosen = rows.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id")  # over the chosen rows only
+    so_far = F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    kept = chosen.withColumn("so_far", so_far).filter(F.col("so_far") <= max_bytes)
+    got = kept.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toArrow()
     y = got["y"].to_numpy().astype(np.int64)
     per = tuple(counts.get(k, 0) / max(int((y == k).sum()), 1) for k in (0, 1))
     model = train(got["text"].combine_chunks(), y, per) if len(y) else Model(np.zeros(ROWS, np.float32), 0.0, 1.0, 0.0, 0.0)
@@ -257,17 +264,28 @@ def fit(
     return model
 
 
+def _lowered(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Slices of `SCORED_BYTES` in lower case, so that only one slice is held twice."""
+    size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, row = np.cumsum(size), 0
+    while row < len(size):
+        last = max(int(np.searchsorted(ends, ends[row] - size[row] + SCORED_BYTES, "right")), row + 1)
+        data, at = text_buffers(pc.utf8_lower(column.slice(row, last - row)))
+        yield row, data[at[0] : at[-1]], at - at[0]
+        row = last
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add the probability of label 1 for each whole text; `out` gets underscores if taken."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out, lowered = fresh(docs, out), fresh(docs, "lowered")
-    names = docs.columns
+    out = fresh(docs, out)
+    names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             scores = [np.zeros(0)]
-            for _, data, offsets in slices(batch.column(len(names))):
+            for _, data, offsets in _lowered(batch.column(at)):
                 words = Words(data, offsets)
                 _, index, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
                 rows, many = subwords(words.data, words.starts[index], words.ends[index])
@@ -278,7 +296,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                 worst = np.full(len(offsets) - 1, -np.inf)
                 np.maximum.at(worst, row, logit)
                 scores.append(m.probability(worst))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.concatenate(scores))], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], names=[*names, out])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
-    return docs.withColumn(lowered, F.lower(text)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
