@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import constants as C
 from .history import distributions, stored_completeness
@@ -92,6 +93,66 @@ def js_distance(base: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def js_distance_by(base: DataFrame, current: DataFrame, by: list[str]) -> DataFrame:
+    """Jensen-Shannon distance to one baseline for every `by` group and dimension of the current counts.
+
+    The baseline is not repeated per group: a value that a group lacks adds its whole share p, so those
+    values together add 1 minus the shares of the values the group has.
+    """
+    b = base.groupBy("dimension", "value").agg(F.sum("n").alias("_b"))
+    base_totals = b.groupBy("dimension").agg(F.sum("_b").alias("_base"))  # one row per dimension
+    keys = [*by, "dimension"]
+    c = current.groupBy(*keys, "value").agg(F.sum("n").alias("_c"))
+    totals = c.groupBy(*keys).agg(F.sum("_c").alias("_all"))
+    held = c.join(totals, keys).join(F.broadcast(base_totals), "dimension", "left").join(b, ["dimension", "value"], "left")
+    p = F.coalesce(F.try_divide(F.col("_b"), F.col("_base")), F.lit(0.0))
+    q = F.coalesce(F.try_divide(F.col("_c"), F.col("_all")), F.lit(0.0))
+    held = held.withColumns({"_p": p, "_q": q}).withColumn("_m", (F.col("_p") + F.col("_q")) / 2)
+    grouped = held.groupBy(*keys).agg(
+        F.sum(_kl_term(F.col("_p"), F.col("_m"))).alias("_pm"), F.sum(_kl_term(F.col("_q"), F.col("_m"))).alias("_qm"),
+        F.sum("_p").alias("_met"), F.coalesce(F.max("_base"), F.lit(0)).alias("_base"), F.max("_all").alias("_all"),
+    )
+    distance = F.sqrt(F.greatest(F.lit(0.0), (F.col("_pm") + 1 - F.col("_met") + F.col("_qm")) / 2))
+    both = (F.col("_base") > 0) & (F.col("_all") > 0)
+    return grouped.select(*keys, F.round(F.when(both, distance).otherwise(0.0), 6).alias("jsd"), (F.col("_base") == 0).alias("baseline_empty"))
+
+
+def histogram_moments(counts: DataFrame, by: list[str], share: float = 0.95) -> DataFrame:
+    """Mean and nearest-rank percentile per group from counts (value, n) of rounded scores."""
+    valued = counts.select(*by, F.col("value").cast("double").alias("_v"), "n").groupBy(*by, "_v").agg(F.sum("n").alias("n"))
+    order = W.partitionBy(*by).orderBy("_v")  # at most 10,001 four-decimal scores a group
+    running = valued.withColumns(
+        {"_upto": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("n").over(W.partitionBy(*by))}
+    )
+    at = F.floor(F.lit(share) * (F.col("_all") - 1))
+    return running.groupBy(*by).agg(
+        F.round(F.sum(F.col("_v") * F.col("n")) / F.sum("n"), 4).alias("risk_mean"),
+        F.min(F.when(F.col("_upto") > at, F.col("_v"))).alias("risk_p95"),
+    )
+
+
+def window_report(base: DataFrame, counts: DataFrame, *, window: str = "window_start", threshold: float = C.JSD_ALERT) -> DataFrame:
+    """(window, measure, value, baseline_empty, drifted) of each window of (window, dimension, value, n) counts.
+
+    `base` is a snapshot (kind, item, value). The verdicts are those of `drift_report`, one window at a time.
+    """
+    base_counts = base.filter(F.col("kind").isin(ALARM_DIMENSIONS)).select(
+        F.col("kind").alias("dimension"), F.col("item").alias("value"), F.col("value").cast("double").alias("n")
+    )
+    distances = js_distance_by(base_counts, counts.filter(F.col("dimension").isin(ALARM_DIMENSIONS)), [window]).select(
+        window, F.col("dimension").alias("measure"), F.col("jsd").alias("value"), "baseline_empty", (F.col("jsd") >= threshold).alias("drifted")
+    )
+    moments = histogram_moments(counts.filter(F.col("dimension") == "risk_score"), [window])
+    long = moments.select(window, F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("_c")) for c in ("risk_mean", "risk_p95")])).alias("m"))
+    scalars = base.filter((F.col("kind") == "scalar") & F.col("item").isin("risk_mean", "risk_p95")).select("item", F.col("value").alias("_b"))
+    shift = long.select(window, "m.*").join(F.broadcast(scalars), "item", "left")  # two rows
+    delta = F.round(F.abs(F.col("_c") - F.coalesce("_b", F.lit(0.0))), 4)
+    return distances.unionByName(shift.select(
+        window, F.concat("item", F.lit("_delta")).alias("measure"), delta.alias("value"), F.col("_b").isNull().alias("baseline_empty"),
+        ((F.col("item") == "risk_mean") & (delta > C.RISK_SHIFT_ALERT)).alias("drifted"),
+    ))
+
+
 def drift_report(base: DataFrame, current: DataFrame, *, threshold: float = C.JSD_ALERT) -> DataFrame:
     """Distances of two tidy snapshots plus the shifts of mean and p95, with a verdict per row."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -29,15 +29,21 @@ def with_fingerprints(df: DataFrame, content: str = "content") -> DataFrame:
 PRIORITY = {"file": 1, "cert_id": 2, "identity": 3}
 
 
-def _fingerprint_rows(df: DataFrame, owner: str, seq: str) -> DataFrame:
-    """One row per document and non-blank fingerprint, strongest kind first."""
-    kinds = F.array(
+def fingerprint_array(with_document: bool = False) -> Column:
+    """The fingerprints of a row with their kinds and ranks, strongest first; rank 0 stands for the row itself."""
+    own = [F.struct(F.lit(0).alias("rank"), F.lit("document").alias("kind"), F.lit("").alias("value"))] if with_document else []
+    return F.array(
+        *own,
         *[
             F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.col(f"{kind}_fingerprint").alias("value"))
             for kind, rank in PRIORITY.items()
-        ]
+        ],
     )
-    long = df.select(F.col(seq).alias("_seq"), F.col(owner).alias("_owner"), F.explode(kinds).alias("f"))
+
+
+def fingerprint_rows(df: DataFrame, owner: str, seq: str) -> DataFrame:
+    """One row per document and non-blank fingerprint, strongest kind first."""
+    long = df.select(F.col(seq).alias("_seq"), F.col(owner).alias("_owner"), F.explode(fingerprint_array()).alias("f"))
     return long.select("_seq", "_owner", "f.*").filter(T.present(F.col("value")))
 
 
@@ -58,14 +64,14 @@ def prior_duplicates(
     on = ["_owner", "rank", "value"]
     pool = df if history is None else history
     valid = pool.filter(F.col("prediction") != "error").withColumn("_doc", F.col(doc_id))
-    rows = _fingerprint_rows(valid if history is None else df, owner, seq)
+    rows = fingerprint_rows(valid if history is None else df, owner, seq)
     if history is None:
         firsts = rows.groupBy(*on).agg(F.min("_seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
         firsts = firsts.filter(F.col("n") > 1)
     else:
         wanted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
         # the history shrinks to one row per fingerprint before it meets the documents
-        stored = _fingerprint_rows(valid, owner, seq).groupBy(*on).agg(F.min("_seq").alias("first_seq"))
+        stored = fingerprint_rows(valid, owner, seq).groupBy(*on).agg(F.min("_seq").alias("first_seq"))
         firsts = stored.join(wanted, on)
     matched = lookup_join(rows, firsts, on, "n", hot_rows=hot_rows)
     earlier = matched.filter(F.col("first_seq") < F.col("_seq"))

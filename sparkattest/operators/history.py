@@ -213,10 +213,9 @@ def history_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def distributions(df: DataFrame) -> DataFrame:
-    """Rows per prediction, review status, model version, issuer and raised type flag.
+def distribution_pairs() -> Column:
+    """The (dimension, value) pairs of a stored row, as an array.
 
-    One scan: each row becomes its few (dimension, value) pairs, counted map-side.
     Model versions include error rows; the other dimensions do not.
     """
     ok = F.col("prediction") != "error"
@@ -237,8 +236,16 @@ def distributions(df: DataFrame) -> DataFrame:
     flags = F.when(
         ok, F.transform(raised, lambda k: F.struct(F.lit("certificate_type").alias("dimension"), k.alias("value")))
     ).otherwise(F.array().cast("array<struct<dimension:string,value:string>>"))
+    return F.concat(pairs, flags)
+
+
+def distributions(df: DataFrame) -> DataFrame:
+    """Rows per prediction, review status, model version, issuer and raised type flag.
+
+    One scan: each row becomes its few (dimension, value) pairs, counted map-side.
+    """
     return (
-        df.select(F.explode(F.concat(pairs, flags)).alias("p")).select("p.*")
+        df.select(F.explode(distribution_pairs()).alias("p")).select("p.*")
         .groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
     )
 
