@@ -17,6 +17,25 @@ from .text import contains_any, extract, let, title_kind
 DATE_SEARCH = C.DATE_IN_TEXT.replace(r"\b(?:", r"\b(?=\d|[jfmasond][a-z]{2,8}[.,]?\s+\d)(?:", 1)
 
 
+# What a text in lower case must hold before its search can find anything.
+GATES = {
+    "cert_id": ["cert-"], "name": ["certif", "awarded", "present", "completed", "thank"], "marks": ["mark", "score", "percent", "obtained", "total"],
+    "grade": ["grade"], "label": ["organization", "institution", "university", "college", "institute", "academy"],
+    "marker": [" by", "training provider", "instructor"], "course_label": ["course", "program", "subject", "module", "track", "pathway", "area", "speciali", "certification"],
+    "course_phrase": ["complet"], "codes": ["verification", "code", "credential", "certificate", "reference", "serial"], "title": ["certificat"],
+}
+
+
+def searched(gate: str, low: Column, text: Column, pattern: str, group: int) -> Column:
+    """The first match of a group, '' without one. Texts without a word of the gate are not searched."""
+    return F.when(contains_any(low, GATES[gate]), F.regexp_extract(text, pattern, group)).otherwise("")
+
+
+def line_kinds(low: Column, lines: Column) -> Column:
+    """title_kind of every line; lines of a text that holds no title word are not looked at."""
+    return F.when(contains_any(low, GATES["title"]), F.transform(lines, title_kind)).otherwise(F.array().cast("array<string>"))
+
+
 def cert_id(text: Column) -> Column:
     return F.upper(extract(text, C.CERT_ID_IN_TEXT, 0))
 
@@ -57,12 +76,14 @@ def bare_name(lines: Column, org_guard: bool = True) -> Column:
         )
         return ok & (organization_line(x) == "") if org_guard else ok
 
-    found = F.filter(trimmed, plausible)
-    capitals = F.filter(
-        found,
-        lambda x: (x == F.upper(x)) & (F.length(F.regexp_replace(x, r"[^\p{L}]", "")) >= 4),
-    )
-    return F.coalesce(F.try_element_at(capitals, F.lit(1)), F.try_element_at(found, F.lit(1)))
+    def choose(found: Column) -> Column:
+        capitals = F.filter(
+            found,
+            lambda x: (x == F.upper(x)) & (F.length(F.regexp_replace(x, r"[^\p{L}]", "")) >= 4),
+        )
+        return F.coalesce(F.try_element_at(capitals, F.lit(1)), F.try_element_at(found, F.lit(1)))
+
+    return let(F.filter(trimmed, plausible), choose)
 
 
 def clean_issuer(value: Column) -> Column:
@@ -121,8 +142,8 @@ def issuer_from_keyword_line(lines: Column) -> Column:
     return F.try_element_at(names, F.lit(1))
 
 
-def issuer_from_title_neighbour(lines: Column) -> Column:
-    """Heading right before, else right after, the first fitting title line."""
+def issuer_from_title_neighbour(lines: Column, kinds: Column) -> Column:
+    """Heading right before, else right after, the first fitting title line; only neighbours of title lines are looked at."""
 
     def around(line: Column, i: Column) -> Column:
         def heading(j: Column) -> Column:
@@ -130,17 +151,18 @@ def issuer_from_title_neighbour(lines: Column) -> Column:
             return F.coalesce(organization_line(other), F.lit(""))
 
         before, after = heading(i - 1), heading(i + 1)
-        fits = (title_kind(line) != "") & ~line.contains("&") & ~line.contains(",")
-        return F.when(fits, F.when(before != "", before).otherwise(after)).otherwise("")
+        fits = (F.get(kinds, i) != "") & ~line.contains("&") & ~line.contains(",")
+        return F.when(fits, let(before, lambda b: F.when(b != "", b).otherwise(after))).otherwise("")
 
-    return F.try_element_at(F.filter(F.transform(lines, around), lambda x: x != ""), F.lit(1))
+    found = F.try_element_at(F.filter(F.transform(lines, around), lambda x: x != ""), F.lit(1))
+    return F.when(F.exists(kinds, lambda k: k != ""), found)
 
 
-def issuer(label_issuer: Column, marker_issuer: Column, lines: Column) -> Column:
+def issuer(label_issuer: Column, marker_issuer: Column, low: Column, lines: Column, kinds: Column) -> Column:
     """Labeled field, then issuing phrase, then keyword line, then title neighbour."""
     return F.coalesce(
         usable_issuer(label_issuer), usable_issuer(marker_issuer),
-        issuer_from_keyword_line(lines), issuer_from_title_neighbour(lines), F.lit(""),
+        F.when(contains_any(low, C.ORG_WORDS), issuer_from_keyword_line(lines)), issuer_from_title_neighbour(lines, kinds), F.lit(""),
     )
 
 
@@ -168,9 +190,10 @@ def date_iso(hit: Column) -> Column:
     def group(part: str, g: int) -> Column:
         return F.regexp_extract(hit, whole(part), g)
 
+    months = F.array(*[F.lit(m) for m in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")])
+
     def month_number(word: Column) -> Column:
-        at = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.left(word, F.lit(3))))
-        return ((at + 2) / 3).cast("int").cast("string")
+        return F.array_position(months, F.lower(F.left(word, F.lit(3)))).cast("string")
 
     def iso(y: Column, m: Column, d: Column) -> Column:
         return F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
@@ -208,9 +231,10 @@ def _tidy_course(value: Column) -> Column:
     return F.left(F.regexp_replace(F.trim(value), r"[ \t.:;,]+$", ""), F.lit(120))
 
 
-def course_phrase(text: Column) -> Column:
+def course_phrase(low: Column, text: Column) -> Column:
     return F.coalesce(
-        _tidy_course(extract(text, C.COURSE_LABEL, 1)), _tidy_course(extract(text, C.COURSE_PHRASE, 1))
+        F.when(contains_any(low, GATES["course_label"]), _tidy_course(extract(text, C.COURSE_LABEL, 1))),
+        F.when(contains_any(low, GATES["course_phrase"]), _tidy_course(extract(text, C.COURSE_PHRASE, 1))),
     )
 
 

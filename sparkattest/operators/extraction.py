@@ -29,18 +29,28 @@ def extract_fields(
     keep = [c for c in df.columns if c not in FIELD_COLUMNS]
     base = df.select(
         *keep, raw.alias("_text"), F.lower(raw).alias("_low"), T.split_lines(raw).alias("_lines")
-    ).withColumn("_kinds", F.transform("_lines", T.title_kind))
+    )
     body, low, lines, kinds = F.col("_text"), F.col("_low"), F.col("_lines"), F.col("_kinds")
     # Each stage reads values of the stage before it, so no search runs twice.
-    hits = base.select(
-        "*",
-        X.cert_id(body).alias("cert_id"), X.name_after_phrase(body).alias("_name"),
-        T.extract(body, C.ISSUER_LABEL, 1).alias("_label"), T.extract(body, C.ISSUER_MARKER, 1).alias("_marker"),
-        X.date_hit(body).alias("_date"), X.marks_hit(body).alias("_marks"),
-        X.grade(body, strict_grade).alias("grade"), X.first_title_line(kinds).alias("_title_at"),
+    grade_pattern = C.GRADE_IN_TEXT_STRICT if strict_grade else C.GRADE_IN_TEXT
+    searches = {
+        "_cert": ("cert_id", C.CERT_ID_IN_TEXT, 0), "_name": ("name", C.NAME_AFTER_PHRASE, 1), "_label": ("label", C.ISSUER_LABEL, 1),
+        "_marker": ("marker", C.ISSUER_MARKER, 1), "_marks": ("marks", C.MARKS_IN_TEXT, 0), "_grade": ("grade", grade_pattern, 1),
+    }
+    found = base.select(
+        "*", X.line_kinds(low, lines).alias("_kinds"), X.date_hit(body).alias("_date"),
+        *[X.searched(gate, low, body, pattern, group).alias(name) for name, (gate, pattern, group) in searches.items()],
         *[flag.alias(name) for name, flag in X.presence_flags(low).items()],
-        X.certificate_title(lines, kinds).alias("certificate_title"),
-        X.verification_codes(body).alias("verification_codes"),
+        F.when(T.contains_any(low, X.GATES["codes"]), X.verification_codes(body)).alias("_codes"),
+    )
+    no_codes = F.array().cast("array<struct<label:string,code:string,kind:string>>")
+    hits = found.select(
+        *[c for c in found.columns if c not in searches],
+        F.upper(F.nullif("_cert", F.lit(""))).alias("cert_id"), F.upper(F.nullif("_grade", F.lit(""))).alias("grade"),
+        F.trim(F.nullif("_name", F.lit(""))).alias("_name"),
+        *[F.nullif(c, F.lit("")).alias(c) for c in ("_label", "_marker", "_marks")],
+        X.first_title_line(kinds).alias("_title_at"), X.certificate_title(lines, kinds).alias("certificate_title"),
+        F.coalesce("_codes", no_codes).alias("verification_codes"),
     )
     obtained, total = X.marks(F.col("_marks"))
     bare = X.bare_name(lines, org_guard)
@@ -54,11 +64,11 @@ def extract_fields(
         F.coalesce("_name", X.name_before_verb(body, low), bare).alias("candidate_name"),
     )
     named = parsed.withColumn(
-        "organization", X.issuer(F.col("_label_issuer"), F.col("_marker_issuer"), lines)
+        "organization", X.issuer(F.col("_label_issuer"), F.col("_marker_issuer"), low, lines, kinds)
     )
     who = (F.col("candidate_name"), F.col("organization"))
     course = F.coalesce(
-        X.course_above_title(lines, F.col("_title_at"), *who), X.course_phrase(body), X.course_keyword(low)
+        X.course_above_title(lines, F.col("_title_at"), *who), X.course_phrase(low, body), X.course_keyword(low)
     )
     if allow_bare_name:
         course = F.coalesce(course, X.course_longest_line(lines, *who))

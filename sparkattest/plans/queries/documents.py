@@ -25,16 +25,15 @@ def ints(*names: str) -> list:
     return [F.col(n).cast("int").alias(n) for n in names]
 
 
-@query(
-    "certificate_fields",
-    Q.fields_sql() + f"""
+_FIELDS = f"""
 SELECT document_id, cert_id, candidate_name, organization, course, issue_date, marks_total, marks_obtained, grade, certificate_title,
        {', '.join(f'CAST(has_{m} AS INT) AS has_{m}' for m in ('signature', 'seal', 'qr', 'url'))},
        array_to_string(list_transform(list_filter(codes, lambda s, i: list_position(list_transform(codes, lambda x: x.code), s.code) = i), lambda s: s.label || '=' || s.code || '=' || s.kind), ';') AS codes
-FROM fields_v""",
-)
-def certificate_fields(spark, sf):
-    fields = extract_fields(derived(spark, sf, "texts_v").select("document_id", "text"))
+FROM fields_v"""
+
+
+def _all_fields(docs, **options):
+    fields = extract_fields(docs, **options)
     codes = F.transform("verification_codes", lambda c: F.concat_ws("=", c["label"], c["code"], c["kind"]))
     return fields.select(
         "document_id", "cert_id", "candidate_name", "organization", "course", "issue_date", "marks_total",
@@ -43,6 +42,27 @@ def certificate_fields(spark, sf):
     )
 
 
+@query("certificate_fields", Q.fields_sql() + _FIELDS)
+def certificate_fields(spark, sf):
+    return _all_fields(derived(spark, sf, "texts_v").select("document_id", "text"))
+
+
+@query("recovered_fields", Q.fields_sql(bare=True) + _FIELDS)
+def recovered_fields(spark, sf):
+    """The same texts taken as recovered from images: names and courses without a title or a label are accepted."""
+    return _all_fields(derived(spark, sf, "texts_v").select("document_id", "text"), allow_bare_name=True)
+
+
+@query("document_fields", Q.fields_sql(Q.DOCUMENT_TEXTS) + _FIELDS)
+def document_fields(spark, sf):
+    return _all_fields(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+
+@query("recovered_document_fields", Q.fields_sql(Q.DOCUMENT_TEXTS, bare=True) + _FIELDS)
+def recovered_document_fields(spark, sf):
+    return _all_fields(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text"), allow_bare_name=True)
+
+
 @query(
     "extraction_diagnostics",
     Q.intel_sql() + f"""

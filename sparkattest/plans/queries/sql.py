@@ -216,8 +216,31 @@ fields_v AS (
 )"""
 
 
-def fields_sql() -> str:
-    return ctes("texts_v") + ",\n" + LINES + ",\n" + FIELDS
+DOCUMENT_TEXTS = """texts_v AS (
+  SELECT doc_id AS document_id, '' AS owner, coalesce(text, '') AS text, '' AS prediction, 0.0 AS risk_score, 0 AS issuer_in_registry, '' AS file_key,
+         CAST(NULL AS TIMESTAMP) AS created_at FROM documents
+)"""
+
+LONGEST_LINE = f"""longest_v AS (
+  SELECT document_id, left(arg_min(stripped, struct_pack(n := -length(stripped), j := j)), 100) AS longest
+  FROM (SELECT l.*, o.organization, o.candidate_name FROM lines_v l JOIN org_v o ON o.document_id = l.document_id)
+  WHERE length(stripped) BETWEEN 3 AND 120 AND (organization = '' OR lower(stripped) <> lower(trim(organization)))
+    AND (coalesce(candidate_name, '') = '' OR lower(stripped) <> lower(trim(candidate_name)))
+    AND {title_kind('stripped')} = '' AND NOT {match('line', C.LABELED_LINE)} AND NOT {match('stripped', C.DATE_IN_TEXT)}
+    AND NOT ({org_line('stripped')} <> '' AND NOT {any_of('lower(stripped)', C.COURSE_KEYWORDS)} AND organization <> '')
+  GROUP BY document_id
+)"""
+
+
+def fields_sql(texts: str | None = None, *, bare: bool = False) -> str:
+    """The field tables over the derived certificates, or over the named texts; `bare` turns the image-text fallbacks on."""
+    fields = FIELDS
+    if bare:
+        fields = fields.replace("CASE WHEN f.title_at IS NOT NULL THEN f.bare END", "f.bare")
+        fields = fields.replace(f"{keyword_course('o.low')})", f"{keyword_course('o.low')}, g.longest)")
+        fields = fields.replace("LEFT JOIN block_v b ON b.document_id = o.document_id", "LEFT JOIN block_v b ON b.document_id = o.document_id LEFT JOIN longest_v g ON g.document_id = o.document_id")
+        fields = fields.replace("fields_v AS (", LONGEST_LINE + ",\nfields_v AS (")
+    return (f"WITH {texts}" if texts else ctes("texts_v")) + ",\n" + LINES + ",\n" + fields
 
 
 def flag(expr: str) -> str:
