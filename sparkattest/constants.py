@@ -322,4 +322,5 @@ MEDIUM_PRIORITY_KEYS = [
 ]
 TEMPLATE_SALT = "phase12-label-group-v1"
 ACCEPTED_EXTENSIONS = ["pdf", "png", "jpg", "jpeg"]
-MAGIC_HEX = {"pdf": "25504446", "png": "89504E470D0A1A0A", "jpg": "FFD8FF", "jpeg": "FFD8FF"}
+MAGIC_BYTES = {"pdf": b"%PDF", "png": b"\x89PNG\r\n\x1a\n", "jpg": b"\xff\xd8\xff", "jpeg": b"\xff\xd8\xff"}
+END_OF_FILE_MARK = b"%%EOF"

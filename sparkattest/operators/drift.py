@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import constants as C
-from .history import distributions, stored_completeness
+from ..session import cut_lineage
+from .counters import long_counts, mean_of, pair
+from .history import distribution_pairs, stored_completeness
 from .skew import running_totals
 
 # Dimensions whose drift raises the alarm.
@@ -18,31 +20,57 @@ def nearest_rank(df: DataFrame, value: str, share: float, groups: list[str] | No
     """Exact nearest-rank percentile of the stored values: the element at floor(share * (n - 1))."""
     keys = groups or []
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return _ranked(counted, keys, share)
+
+
+def _ranked(counted: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """Nearest-rank percentile from one row (keys, _v, _n) per distinct value."""
     running = running_totals(counted, "_v", ["_n"], keys)
     position = F.floor(F.lit(share) * (F.col("all__n") - 1))
     hit = running.filter((F.col("upto__n") > position) & (F.col("upto__n") - F.col("_n") <= position))
     return hit.select(*keys, F.col("_v").alias("percentile"))
 
 
-def snapshot(df: DataFrame) -> DataFrame:
-    """Tidy snapshot: five count distributions and the scalar moments (kind, item, value)."""
-    ok = df.filter(F.col("prediction") != "error")
-    counts = distributions(df).select(
-        F.col("dimension").alias("kind"), F.col("value").alias("item"), F.col("n").cast("double").alias("value")
+def snapshots(df: DataFrame, period: Column) -> DataFrame:
+    """Tidy snapshots (period, kind, item, value) of every period: five count distributions and the scalar moments.
+
+    The rows are read once, whatever the number of periods; the sections come from their counts.
+    """
+    ok = F.col("prediction") != "error"
+    text_pairs = F.transform(
+        distribution_pairs(), lambda p: F.struct(p["dimension"].alias("dimension"), p["value"].alias("value"), F.lit(None).cast("double").alias("score"))
     )
-    moments = ok.agg(
-        F.coalesce(F.round(F.avg("risk_score"), 4), F.lit(0.0)).alias("risk_mean"),
-        F.coalesce(F.round(F.avg(stored_completeness(F.col("extracted_info"))), 4), F.lit(0.0)).alias("mean_completeness"),
+    counts = long_counts(
+        df, [text_pairs, pair("_risk", score=F.col("risk_score"), when=ok), pair("_complete", score=stored_completeness(F.col("extracted_info")), when=ok)],
+        {"period": period},
     )
-    scalars = moments.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in ("risk_mean", "mean_completeness")])
-        ).alias("p")
-    ).select(F.lit("scalar").alias("kind"), "p.item", "p.value")
-    p95 = nearest_rank(ok, "risk_score", 0.95).select(
-        F.lit("scalar").alias("kind"), F.lit("risk_p95").alias("item"), F.col("percentile").alias("value")
+    sizes = counts.filter(~F.col("dimension").startswith("_")).select(
+        "period", F.col("dimension").alias("kind"), F.col("value").alias("item"), F.col("n").cast("double").alias("value")
     )
-    return counts.unionByName(scalars).unionByName(p95)
+    moments = counts.groupBy("period").agg(
+        *[F.coalesce(F.round(mean_of(d), 4), F.lit(0.0)).alias(c) for d, c in (("_risk", "risk_mean"), ("_complete", "mean_completeness"))]
+    )
+    scalars = moments.select(
+        "period", F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("value")) for c in ("risk_mean", "mean_completeness")])).alias("p"),
+    ).select("period", F.lit("scalar").alias("kind"), "p.item", "p.value")
+    risks = counts.filter((F.col("dimension") == "_risk") & F.col("score").isNotNull()).select("period", F.col("score").alias("_v"), F.col("n").alias("_n"))
+    p95 = _ranked(risks, ["period"], 0.95).select("period", F.lit("scalar").alias("kind"), F.lit("risk_p95").alias("item"), F.col("percentile").alias("value"))
+    return sizes.unionByName(scalars).unionByName(p95)
+
+
+def snapshot(df: DataFrame) -> DataFrame:
+    """Tidy snapshot (kind, item, value) of one table."""
+    scalars = [(c, 0.0) for c in ("risk_mean", "mean_completeness")]
+    found = cut_lineage(snapshots(df, F.lit(0)).drop("period"))
+    if not found.isEmpty():
+        return found
+    return df.sparkSession.createDataFrame([("scalar", c, v) for c, v in scalars], "kind string, item string, value double")
+
+
+def drift_between(df: DataFrame, later: Column, *, threshold: float = C.JSD_ALERT) -> DataFrame:
+    """`drift_report` of the rows where `later` holds against the others, in one pass over the table."""
+    both = snapshots(df, later)
+    return drift_report(both.filter("NOT period").drop("period"), both.filter("period").drop("period"), threshold=threshold)
 
 
 def _shares(base: DataFrame, current: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as ST
 from .. import constants as C
 from ..functions.scores import completeness_bucket
 from ..functions.text import present
-from .leakage import cross_split_counts, duplicate_report
+from .counters import long_counts, mean_of, pair, total_of
 
 TIDY = ["section", "item", "metric", "value"]
 
@@ -55,18 +55,27 @@ def underrepresented(df: DataFrame, *, below: int = C.UNDERREPRESENTED_BELOW) ->
 def quality_report(df: DataFrame) -> DataFrame:
     """Balance, diversity, completeness, duplicates, missing fields and overlap.
 
-    One aggregate for the scalars and one shuffle per group family.
+    One pass: a row becomes its (dimension, value, split) pairs, and every section reads their counts.
     """
-    suspicious = F.col("label") == 1
     completeness = F.col("extraction_completeness")
-    bucket = completeness_bucket(completeness)
-    scalars = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(~suspicious).alias("genuine"),
-        F.count_if(suspicious).alias("suspicious"),
-        F.round(F.avg(completeness), 4).alias("average_completeness"),
-        *[F.count_if(bucket == b).alias(f"completeness_{b}") for b in ("low", "medium", "high")],
-        F.count_if(F.col("is_disagreement") == 1).alias("disagreements"),
+    issuer = F.when(F.coalesce(F.col("issuer"), F.lit("")) == "", "unknown").otherwise(F.col("issuer"))
+    keys = [c for c in C.LINK_COLUMNS if c in df.columns]
+    fields = [c for c in C.CORE_FIELDS if c in df.columns]
+    counts = long_counts(
+        df,
+        [
+            pair("rows"), pair("label", F.when(F.col("label") == 1, "suspicious").when(F.col("label").isNotNull(), "genuine")),
+            pair("completeness", completeness_bucket(completeness), completeness), pair("disagreement", when=F.coalesce(F.col("is_disagreement") == 1, F.lit(False))),
+            pair("certificate_type", F.col("certificate_type")), pair("issuer", issuer),
+            *[pair(f"key:{c}", F.col(c), when=F.col(c).isNotNull()) for c in keys], *[pair(f"missing:{c}", when=~present(F.col(c))) for c in fields],
+        ],
+        {"split": F.col("split") if "split" in df.columns else F.lit(None).cast("string")},
+    )
+    scalars = counts.agg(
+        total_of("rows").alias("n_rows"), total_of("label", "genuine").alias("genuine"), total_of("label", "suspicious").alias("suspicious"),
+        F.round(mean_of("completeness"), 4).alias("average_completeness"),
+        *[total_of("completeness", b).alias(f"completeness_{b}") for b in ("low", "medium", "high")],
+        total_of("disagreement").alias("disagreements"), *[total_of(f"missing:{c}").alias(f"missing_{c}") for c in fields],
     )
     overall = tidy(
         scalars, "overall", F.lit("all"),
@@ -79,26 +88,30 @@ def quality_report(df: DataFrame) -> DataFrame:
             "disagreement_rate": F.round(F.try_divide("disagreements", "n_rows"), 4),
         },
     )
-    issuer = F.when(F.coalesce(F.col("issuer"), F.lit("")) == "", "unknown").otherwise(F.col("issuer"))
-    sizes = group_sizes(df, {"certificate_type": F.col("certificate_type"), "issuer": issuer})
+    sizes = counts.filter(F.col("dimension").isin("certificate_type", "issuer")).groupBy("dimension", "value").agg(F.sum("n").alias("n"))
     groups = sizes.select(
-        F.col("dimension").alias("section"), "item", F.lit("n_rows").alias("metric"), F.col("n").cast("double").alias("value")
+        F.col("dimension").alias("section"), F.col("value").alias("item"), F.lit("n_rows").alias("metric"), F.col("n").cast("double").alias("value")
     )
     diversity = sizes.filter(F.col("dimension") == "issuer").agg(F.count(F.lit(1)).alias("n"))
-    duplicates = duplicate_report(df)
+    flags = [F.max(F.when(F.col("split") == s, 1).otherwise(0)) for s in C.SPLITS]
+    shared = sum(flags, F.lit(0)) > 1
+    held = counts.filter(F.col("dimension").startswith("key:")).groupBy(F.substring("dimension", 5, 100).alias("column_name"), "value").agg(
+        F.sum("n").alias("n"), shared.alias("shared")
+    )
+    filled = present(F.col("value"))
+    per_key = held.groupBy("column_name").agg(
+        F.count_if(F.col("n") > 1).alias("groups"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("affected_rows"),
+        F.count_if(filled & F.col("shared")).alias("shared_values"), F.count_if(filled).alias("filled"),
+    )
+    rate = {c: F.round(F.try_divide(f"missing_{c}", "n_rows"), 4) if c in fields else F.lit(None).cast("double") for c in C.CORE_FIELDS}
     parts = [
         overall, groups,
         tidy(diversity, "issuer_diversity", F.lit("all"), {"issuers": F.col("n")}),
-        tidy(duplicates, "duplicates", F.col("column_name"), {"groups": F.col("duplicate_groups"), "affected_rows": F.col("affected_rows")}),
-        missing_field_rates(df).select(
-            F.lit("missing_field_rate").alias("section"), F.col("field").alias("item"),
-            F.lit("rate").alias("metric"), F.col("missing_rate").alias("value"),
-        ),
+        tidy(per_key, "duplicates", F.col("column_name"), {"groups": F.col("groups"), "affected_rows": F.col("affected_rows")}),
+        *[tidy(scalars, "missing_field_rate", F.lit(c), {"rate": r}) for c, r in rate.items()],
     ]
     if "split" in df.columns:
-        parts.append(
-            tidy(cross_split_counts(df), "cross_split", F.col("column_name"), {"shared_values": F.col("cross_split_values")})
-        )
+        parts.append(tidy(per_key.filter("filled > 0"), "cross_split", F.col("column_name"), {"shared_values": F.col("shared_values")}))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

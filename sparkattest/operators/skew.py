@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
+
 HOT_ROWS = 1_000_000
 SALTS = 256
 
@@ -64,7 +66,34 @@ def bucketed_rank(
     )
 
 
-BINS = 4096
+def range_rank(
+    df: DataFrame, groups: list[str], order: list[Column], row_id: str, out: str = "_rank", *, pieces: int | None = None
+) -> DataFrame:
+    """Exact 1-based row number within `groups` by `order` and then `row_id`, whatever the distribution.
+
+    The rows' keys are cut into about equal ranges of (groups, order, row_id), so a group that holds all rows, or rows that
+    are all equal or NULL in `order`, still spreads over all ranges: the id cuts ties. Ranges are written once,
+    because their limits come from a sample. Numbers inside a range start at the first row of the group there; the
+    rows of the group in earlier ranges are added. That table has at most one row per range more than there are groups.
+    `row_id` must be unique and not NULL.
+    """
+    spark = df.sparkSession
+    n = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_o{i}" for i in range(len(order))]
+    keys = df.select(*groups, *[c.alias(name) for c, name in zip(order, names, strict=True)], F.col(row_id).alias("_id"))
+    sort = [F.col(g).asc_nulls_first() for g in groups] + [F.col(c).asc_nulls_first() for c in names] + [F.col("_id").asc()]
+    ranges = cut_lineage(keys.repartitionByRange(n, *sort).select(*groups, *names, "_id", F.spark_partition_id().alias("_range")))
+    sizes = ranges.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = W.partitionBy(*groups, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in names], "_id")
+    local = ranges.select(*groups, "_range", "_id", F.row_number().over(inside).alias("_local"))
+    ranked = local.join(_keyed(offsets, [*groups, "_range"]), _same([*groups, "_range"]))
+    numbers = ranked.select(F.col("_id").alias("_ranked_id"), (F.col("_local") + F.col("_before")).alias(out))
+    return df.join(numbers, F.col(row_id) == F.col("_ranked_id")).drop("_ranked_id")
+
+
+BINS = 256
 
 
 def running_totals(
@@ -72,12 +101,13 @@ def running_totals(
 ) -> DataFrame:
     """Add `upto_<c>` and `all_<c>` for each column: totals up to and with the row's value, and of the group.
 
-    Needs one row per (group, value). Values of a group are cut into BINS equal ranges between its
-    smallest and largest; only bin totals are summed across a group, so no task sorts a whole group
-    unless its values crowd into one range.
+    Needs one row per (group, value). Values of a group are cut at BINS quantiles of its distinct values, so far or
+    infinite ones do not crowd the others into one bin; only bin totals are summed across a group, and no task sorts a
+    whole group.
     """
-    limits = _keyed(df.groupBy(*groups).agg(F.min(value).alias("_low"), F.max(value).alias("_high")), groups)
-    at = F.floor((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)) * BINS)
+    cuts = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    limits = _keyed(df.groupBy(*groups).agg(F.array_distinct(F.percentile_approx(value, cuts, 4 * BINS)).alias("_cuts")), groups)
+    at = F.size(F.filter("_cuts", lambda cut: cut <= F.col(value)))
     binned = df.join(F.broadcast(limits) if not groups else limits, _same(groups)).select(
         *df.columns, F.coalesce(at, F.lit(0)).cast("int").alias("_bin")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import types as ST
 from .. import constants as C
 from ..functions.text import present, template_key
 from .families import connected_families
-from .skew import bucketed_rank, hash_bucket, hash_order
+from .skew import bucketed_rank, hash_bucket, hash_order, range_rank
 
 
 def canonical_key(df: DataFrame, row_id: str) -> Column:
@@ -89,10 +89,9 @@ def template_splits(
     if whole_group:
         first = F.left(F.sha1(F.col("template_key")), F.lit(1))
         return decisive.withColumn("split", F.when(first.isin(*"0123"), "test").otherwise("train"))
-    ranked = bucketed_rank(
-        decisive, ["template_key"], F.coalesce(F.date_trunc("hour", F.col(order)), F.lit("0001-01-01").cast("timestamp_ntz").cast("timestamp")),
-        [F.col(order).asc_nulls_first(), F.col(row_id)], out="template_index",
-    ).withColumn("template_index", F.col("template_index") - 1)
+    ranked = range_rank(decisive, ["template_key"], [F.col(order)], row_id, out="template_index").withColumn(
+        "template_index", F.col("template_index") - 1
+    )
     first = F.left(F.sha1(F.concat_ws(":", "template_key", F.col("template_index").cast("string"))), F.lit(1))
     return ranked.withColumn("split", F.when(first.isin(*"0123"), "test").otherwise("train"))
 

@@ -78,8 +78,8 @@ SELECT measure, value, 0 AS baseline_empty, CAST(value >= 0.25 AS INT) AS drifte
 UNION ALL SELECT 'risk_p95_delta', round(abs({_P95.format(src='ok1')} - {_P95.format(src='ok0')}), 4), 0, 0""",
 )
 def drift_report(spark, sf):
-    base, current = halves(spark, sf)
-    out = D.drift_report(D.snapshot(base), D.snapshot(current))
+    v = derived(spark, sf, "verifications_v")
+    out = D.drift_between(v, F.col("created_at") >= F.lit("1998-01-01").cast("timestamp_ntz"))
     return out.withColumns({c: F.col(c).cast("int") for c in ("baseline_empty", "drifted")})
 
 

@@ -341,7 +341,7 @@ def severity_scale(spark, sf):
 )
 def byte_marker_counts(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", P.count_marker(F.encode("text", "UTF-8"), "746865").alias("markers"))
+    return docs.select("doc_id", P.count_marker(F.encode("text", "UTF-8"), b"the").alias("markers"))
 
 
 @query(

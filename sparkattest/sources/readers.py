@@ -94,9 +94,9 @@ def reject_reason(filename: Column, length: Column, content: Column, max_bytes:
     """Why a file is not admitted: missing_name, extension, size or magic; NULL when it is."""
     extension = F.lower(F.regexp_extract(filename, r"\.([^./]+)$", 1))
     magic = F.lit(False)
-    for name, marker in C.MAGIC_HEX.items():
-        head = F.hex(F.substring(content, 1, len(marker) // 2))
-        magic = F.when(extension == name, head == marker).otherwise(magic)
+    for name, marker in C.MAGIC_BYTES.items():
+        head = F.hex(F.substring(content, 1, len(marker)))
+        magic = F.when(extension == name, head == marker.hex().upper()).otherwise(magic)
     return (
         F.when(F.coalesce(F.trim(filename), F.lit("")) == "", "missing_name")
         .when(~extension.isin(C.ACCEPTED_EXTENSIONS), "extension")
