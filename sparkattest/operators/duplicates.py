@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .. import constants as C
 from ..functions import text as T
+from ..session import cut_lineage
 from .skew import HOT_ROWS, lookup_join
 
 
@@ -41,10 +43,13 @@ def fingerprint_array(with_document: bool = False) -> Column:
     )
 
 
-def fingerprint_rows(df: DataFrame, owner: str, seq: str) -> DataFrame:
-    """One row per document and non-blank fingerprint, strongest kind first."""
-    long = df.select(F.col(seq).alias("_seq"), F.col(owner).alias("_owner"), F.explode(fingerprint_array()).alias("f"))
-    return long.select("_seq", "_owner", "f.*").filter(T.present(F.col("value")))
+def fingerprint_rows(df: DataFrame, owner: str, seq: str, doc_id: str) -> DataFrame:
+    """One row per document and non-blank fingerprint, strongest kind first; `_valid` is false for error rows."""
+    long = df.select(
+        F.col(seq).alias("_seq"), F.col(doc_id).alias("_doc"), F.col(owner).alias("_owner"),
+        F.coalesce(F.col("prediction") != "error", F.lit(False)).alias("_valid"), F.explode(fingerprint_array()).alias("f"),
+    )
+    return long.select("_seq", "_doc", "_owner", "_valid", "f.*").filter(T.present(F.col("value")))
 
 
 def prior_duplicates(
@@ -58,31 +63,28 @@ def prior_duplicates(
     fingerprint, in that priority; the earliest one is named. With `history` the
     documents of `df` are looked up in that table instead of in `df` itself.
 
-    The earliest document per fingerprint is a partial aggregate, so no group is
+    The fingerprints of all three kinds are written once as one key table, so the documents are read twice: for
+    their keys and for the result. The earliest (seq, id) per fingerprint is a partial aggregate, so no group is
     ever collected and no pairs are built; singletons are dropped before the join.
     """
     on = ["_owner", "rank", "value"]
-    pool = df if history is None else history
-    valid = pool.filter(F.col("prediction") != "error").withColumn("_doc", F.col(doc_id))
-    rows = fingerprint_rows(valid if history is None else df, owner, seq)
+    df = df.drop("is_duplicate", "duplicate_of", "duplicate_type")
+    keys = cut_lineage(fingerprint_rows(df, owner, seq, doc_id))
+    first = F.min(F.struct("_seq", "_doc")).alias("first")
     if history is None:
-        firsts = rows.groupBy(*on).agg(F.min("_seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
-        firsts = firsts.filter(F.col("n") > 1)
+        rows = keys.filter("_valid")
+        firsts = rows.groupBy(*on).agg(first, F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     else:
+        rows = keys
         wanted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
         # the history shrinks to one row per fingerprint before it meets the documents
-        stored = fingerprint_rows(valid, owner, seq).groupBy(*on).agg(F.min("_seq").alias("first_seq"))
+        stored = fingerprint_rows(history, owner, seq, doc_id).filter("_valid").groupBy(*on).agg(first)
         firsts = stored.join(wanted, on)
-    matched = lookup_join(rows, firsts, on, "n", hot_rows=hot_rows)
-    earlier = matched.filter(F.col("first_seq") < F.col("_seq"))
-    best = earlier.groupBy("_seq").agg(F.min(F.struct("rank", "kind", "first_seq")).alias("b"))
-    ids = valid.select(F.col(seq).alias("first_seq"), F.col("_doc").alias("duplicate_of"))
-    named = best.select("_seq", F.col("b.kind").alias("duplicate_type"), F.col("b.first_seq").alias("first_seq"))
-    # Many copies can point at one original: count them so that the lookup can spread them.
-    targets = named.groupBy("first_seq").agg(F.count(F.lit(1)).alias("n")).join(ids, "first_seq")
-    resolved = lookup_join(named, targets, ["first_seq"], "n", hot_rows=hot_rows)
-    out = df.join(resolved.select(F.col("_seq").alias(seq), "duplicate_of", "duplicate_type"), seq, "left")
-    return out.withColumn("is_duplicate", F.col("duplicate_of").isNotNull())
+    matched = lookup_join(rows.select("_seq", "kind", *on), firsts, on, "n", hot_rows=hot_rows)
+    earlier = matched.filter(F.col("first._seq") < F.col("_seq"))
+    best = earlier.groupBy("_seq").agg(F.min(F.struct("rank", "kind", "first")).alias("b"))
+    named = best.select(F.col("_seq").alias(seq), F.col("b.first._doc").alias("duplicate_of"), F.col("b.kind").alias("duplicate_type"))
+    return df.join(named, seq, "left").withColumn("is_duplicate", F.col("duplicate_of").isNotNull())
 
 
 def mark_exact_copies(
@@ -90,17 +92,19 @@ def mark_exact_copies(
 ) -> DataFrame:
     """Add duplicate_status and duplicate_of (the first other copy by `seq`).
 
-    Every copy is marked, also the first; the first one points at the second.
+    Every copy is marked, also the first; the first one points at the second. Rows without a hash are unique. Hashes are
+    computed and written once; the two smallest `seq` of a hash come from a row limit per group, which
+    keeps two rows per hash and task before the shuffle.
     """
-    firsts = df.groupBy(sha).agg(F.min(seq).alias("_first"), F.count(F.lit(1)).alias("copies"))
-    slim = df.select(seq, sha)
-    groups = firsts.filter(F.col("copies") > 1)
-    members = lookup_join(slim, groups, [sha], "copies", hot_rows=hot_rows).filter(F.col("_first").isNotNull())
-    later = members.filter(F.col(seq) != F.col("_first"))
-    seconds = later.groupBy("_first").agg(F.min(seq).alias("_second")).withColumnRenamed("_first", "_of")
-    pointed = members.join(seconds, members[seq] == seconds["_of"], "left").select(
-        seq, "copies",
-        F.when(F.col(seq) == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("duplicate_of"),
+    df = df.drop("copies", "duplicate_status", "duplicate_of")
+    slim = cut_lineage(df.select(seq, sha)).filter(F.col(sha).isNotNull())
+    order = W.partitionBy(sha).orderBy(seq)
+    two = slim.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= 2)
+    ends = two.groupBy(sha).agg(F.min(seq).alias("_first"), F.max(F.when(F.col("_at") == 2, F.col(seq))).alias("_second"))
+    counts = slim.groupBy(sha).agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+    members = lookup_join(slim, ends.join(counts, sha), [sha], "copies", hot_rows=hot_rows).filter(F.col("_first").isNotNull())
+    pointed = members.select(
+        F.col(seq), "copies", F.when(F.col(seq) == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("duplicate_of")
     )
     return df.join(pointed, seq, "left").withColumns(
         {

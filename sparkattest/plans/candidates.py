@@ -15,7 +15,7 @@ from ..operators.leakage import check_external_leakage, check_split_leakage
 from ..operators.quality import quality_report
 from ..operators.splits import assign_splits
 from ..session import cut_lineage
-from ..sources.writers import split_write_back, write_candidate_batch
+from ..sources.writers import current_version, read_version, split_write_back, write_candidate_batch, write_version
 
 META = [
     "verification_id", "reviewer_label", "reviewer_note", "reviewed_at", "original_prediction",
@@ -93,6 +93,20 @@ def publish(candidate: Candidate, feedback: DataFrame, path: str) -> DataFrame:
     return split_write_back(feedback, candidate.rows)
 
 
+def publish_back(candidate: Candidate, feedback_path: str, path: str, *, version: str) -> DataFrame:
+    """Write the batch, then the feedback table with split and batch as a new version of itself; returns that version.
+
+    The batch is complete before the feedback names it. After a crash the old feedback stays current, and the same call
+    finishes the work: it replaces the batch's own partitions and the unfinished version. Once the version is
+    current the call changes nothing.
+    """
+    spark = candidate.rows.sparkSession
+    if current_version(spark, feedback_path) != version:
+        written = publish(candidate, read_version(spark, feedback_path), path)
+        write_version(written, feedback_path, version)
+    return read_version(spark, feedback_path)
+
+
 def reviewed_with_fingerprints(df: DataFrame) -> DataFrame:
     """Rows that can be linked at all: at least one non-blank link value."""
     linked = F.lit(False)

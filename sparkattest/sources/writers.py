@@ -97,6 +97,52 @@ def split_write_back(feedback: DataFrame, assigned: DataFrame) -> DataFrame:
     ).drop("_split", "_batch")
 
 
+POINTER = "CURRENT"
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple:
+    """The pointer file of a versioned table and the file system that holds it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path(folder, POINTER), hadoop
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that the pointer names, None before the first one."""
+    fs, pointer, _ = _pointer(spark, path)
+    return spark.read.text(pointer.toString()).first()[0] if fs.exists(pointer) else None
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the current version of a versioned table."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"{path} has no published version")
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def write_version(rows: DataFrame, path: str, version: str) -> None:
+    """Publish rows as a version of a table; readers see the old version or the new one, never a part.
+
+    The rows go to a folder of their own. Only when they are complete a new pointer file is written beside the old one and
+    put in its place by one rename. A crash before that leaves the old version current, and a rerun replaces what it left
+    behind. Versions may read each other, so the one that is current cannot be overwritten.
+    """
+    spark = rows.sparkSession
+    if current_version(spark, path) == version:
+        raise ValueError(f"version {version} of {path} is current and cannot be overwritten")
+    rows.write.mode("overwrite").parquet(f"{path}/{version}")
+    fs, pointer, hadoop = _pointer(spark, path)
+    staged = hadoop.Path(pointer.getParent(), f"{POINTER}-{version}")
+    out = fs.create(staged, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri() if pointer.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, "OVERWRITE")
+    context.rename(staged, pointer, options)
+
+
 def write_report(tidy: DataFrame, path: str) -> None:
     """A report is a tidy table of at most a few thousand rows: one JSON file."""
     tidy.repartition(1).write.mode("overwrite").json(path)

@@ -148,3 +148,36 @@ def test_distributions_count_flags(spark):
     rows = [("genuine", None, "v", "U", '{"academic":1,"online":0}'), ("error", None, "v", "U", '{"academic":1}'), ("genuine", "x", "v", " ", "[")]
     got = {(r["dimension"], r["value"]): r["n"] for r in distributions(spark.createDataFrame(rows, "prediction string, review_status string, model_version string, issuer string, certificate_type string")).collect()}
     assert got[("certificate_type", "academic")] == 1 and got[("model_version", "v")] == 3 and ("issuer", "") not in got and got[("review_status", "low_risk")] == 1
+
+
+def test_write_back_survives_a_failed_write(spark, tmp_path, monkeypatch):
+    from sparkattest.plans import candidates as P
+    from sparkattest.plans.derived import derived
+
+    base, feedback = str(tmp_path), derived(spark, SF, "feedback_v")
+    W.write_version(feedback, f"{base}/feedback", "v0")
+    reviewed = derived(spark, SF, "reviewed_v").drop("split")
+    candidate = P.build_candidate(reviewed, seq="document_id", batch="b1")
+    before = sorted(map(str, W.read_version(spark, f"{base}/feedback").collect()))
+
+    bad = F.when(F.col("document_id") > 100, F.raise_error(F.lit("disk full")).cast("string")).otherwise(F.col("split"))
+    monkeypatch.setattr(P, "split_write_back", lambda f, rows: W.split_write_back(f, rows).withColumn("split", bad))
+    with pytest.raises(Exception, match="disk full"):
+        P.publish_back(candidate, f"{base}/feedback", f"{base}/batches", version="v1")
+    monkeypatch.undo()
+    assert W.current_version(spark, f"{base}/feedback") == "v0"
+    assert sorted(map(str, W.read_version(spark, f"{base}/feedback").collect())) == before
+
+    for _ in range(2):  # the rerun finishes, a further one changes nothing
+        back = P.publish_back(candidate, f"{base}/feedback", f"{base}/batches", version="v1")
+    assert W.current_version(spark, f"{base}/feedback") == "v1"
+    want = {r["verification_id"]: r["split"] for r in candidate.rows.collect()}
+    rows = back.collect()
+    assert len(rows) == feedback.count()
+    assert {r["verification_id"]: r["split"] for r in rows if r["dataset_batch"] == "b1"} == want
+    assert all(r["split"] is None for r in rows if r["verification_id"] not in want)
+    assert spark.read.parquet(f"{base}/batches").count() == len(want)
+    with pytest.raises(ValueError):
+        W.write_version(feedback, f"{base}/feedback", "v1")
+    with pytest.raises(FileNotFoundError):
+        W.read_version(spark, f"{base}/none")

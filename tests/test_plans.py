@@ -91,14 +91,14 @@ def test_running_totals_with_far_values_use_many_bins(spark):
 
 def _scans_of(spark, monkeypatch, path, build):
     """How often a report reads the table at `path`: in the tables it writes and in its own plan."""
-    from sparkattest.operators import counters, drift, skew
+    from sparkattest.operators import counters, drift, duplicates, skew
 
     plans = []
 
     def noted(original):
         return lambda df: plans.append(df) or original(df)
 
-    for module in (counters, drift, skew):
+    for module in (counters, drift, duplicates, skew):
         monkeypatch.setattr(module, "cut_lineage", noted(module.cut_lineage))
     plans.append(build(spark.read.parquet(path)))
     monkeypatch.undo()
@@ -120,3 +120,16 @@ def test_reports_read_their_table_once(spark, tmp_path, monkeypatch):
     apart = drift.drift_report(drift.snapshot(rows.filter(~later)), drift.snapshot(rows.filter(later)))
     assert sorted(map(str, drift.drift_between(rows, later).collect())) == sorted(map(str, apart.collect()))
     assert {r["value"] for r in drift.snapshot(rows.limit(0)).collect()} == {0.0}
+
+
+def test_copies_read_their_table_twice(spark, tmp_path, monkeypatch):
+    from sparkattest.operators.duplicates import mark_exact_copies, prior_duplicates
+
+    stored(spark, tmp_path)
+    path = str(tmp_path / "v")
+    names = {"seq": "document_id", "owner": "user_id", "doc_id": "verification_id"}
+    assert _scans_of(spark, monkeypatch, path, lambda t: prior_duplicates(t, **names)) == 2
+    hashed = lambda t: t.withColumn("sha256", F.sha2("file_fingerprint", 256))
+    assert _scans_of(spark, monkeypatch, path, lambda t: mark_exact_copies(hashed(t), seq="document_id")) == 2
+    text = plan(mark_exact_copies(hashed(spark.read.parquet(path)), seq="document_id"))
+    assert "WindowGroupLimit" in text  # two rows per hash and task before the shuffle
