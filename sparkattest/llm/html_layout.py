@@ -20,6 +20,7 @@ through; repeated rows and empty tables need no special case.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
@@ -32,9 +33,8 @@ from pyspark.sql import types as T
 from ._tables import fresh
 
 DEPTH = 200
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
+START = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
 SHOWN = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
@@ -71,6 +71,53 @@ CLOSES = {
 }
 
 
+class Marks:
+    """Comments, declarations and tags of a page, in time linear in its length.
+
+    A tag ends at the first `>` outside quotes; where quotes never close, at the first `>`. Scans that ran into the end of
+    the page are remembered by the marks they passed, and what can no longer occur is not looked for again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def _end(self, at: int) -> int:
+        """Place of the `>` outside quotes, -1 without one."""
+        passed = []
+        while s := SPECIAL.search(self.page, at):
+            here, c = s.start(), s[0]
+            if c == ">":
+                return here
+            passed.append(here)
+            if here in self.dead or here >= self.last[c]:
+                break
+            at = self.page.find(c, here + 1) + 1
+        self.dead.update(passed)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, tag, attributes) of the next mark; the tag is empty for comments and declarations."""
+        page = self.page
+        while m := START.search(page, at):
+            start = m.start()
+            if m[1]:
+                end = page.find("-->", m.end())
+                return start, len(page) if end < 0 else end + 3, False, "", ""
+            if start > self.last[">"]:  # nothing but a comment can follow
+                at = page.find("<!--", start + 1)
+                if at < 0:
+                    return None
+                continue
+            if m[3] is None:
+                return start, page.find(">", start) + 1, False, "", ""
+            end = self._end(m.end())
+            if end < 0:
+                end = page.find(">", m.end())
+            return start, end + 1, bool(m[2]), m[3].lower(), page[m.end() : end]
+        return None
+
+
 class Node:
     __slots__ = ("attrs", "kids", "tag")
 
@@ -182,13 +229,13 @@ def tree(page: str) -> tuple[Node, Sheet]:
                 del stack[k:]
                 return
 
-    while m := TOKEN.search(page, at):
-        text(m.start())
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    marks = Marks(page)
+    while m := marks.after(at):
+        text(m[0])
+        _, at, closing, tag, attrs = m
         if not tag:
             continue
-        if m[1] or m[4]:
+        if closing:
             if tag == "br":
                 stack[-1].kids.append(Node("br"))
             elif tag == "p" and not _open(stack, "p"):
@@ -196,7 +243,6 @@ def tree(page: str) -> tuple[Node, Sheet]:
             else:
                 _end(stack, tag)
             continue
-        attrs = m[3] or m[6] or ""
         if tag in ("html", "body") and _open(stack, tag):
             continue
         foreign = _foreign(stack) if embeds else 0
@@ -422,7 +468,7 @@ class Page:
         grid: list[dict[int, list[str]]] = []
         spans: list[tuple[int, int, int]] = []
         loose: list[str] = []
-        taken: set[tuple[int, int]] = set()
+        taken: dict[int, list[tuple[int, int]]] = {}  # columns of a row that cells above reach into
 
         def rows(part: Node) -> None:
             for kid in part.kids:
@@ -450,23 +496,33 @@ class Page:
                     continue
                 if not self.seen(cell):
                     continue
-                while (y, x) in taken:
-                    x += 1
+                while beyond := max((end for start, end in taken.get(y, ()) if start <= x < end), default=0):
+                    x = beyond
                 sub = Lines()
                 self.render(cell, sub)
                 wide, high = (_span(cell.get(a)) for a in ("colspan", "rowspan"))
                 grid[y][x] = sub.done()
                 if wide > 1:
                     spans.append((y, x, wide))
-                taken.update((y + j, x + i) for j in range(high) for i in range(wide))
+                for j in range(1, min(high, total - y)):
+                    taken.setdefault(y + j, []).append((x, x + wide))
                 x += wide
+            taken.pop(y, None)
+
+        def count(part: Node) -> int:
+            return sum(count(k) if k.tag in ("tbody", "thead", "tfoot") else k.tag in ("tr", "td", "th") for k in part.kids if not isinstance(k, str))
 
+        total = count(node)  # a row span ends with the table
         rows(node)
         for line in loose:
             out.add(line)
             out.block()
-        wide_cells = {(y, x): w for y, x, w in spans}
-        columns = 1 + max((x for r in grid for x in r), default=-1)
+        # columns in which no cell starts take no room
+        starts = sorted({x for r in grid for x in r})
+        dense = {x: i for i, x in enumerate(starts)}
+        wide_cells = {(y, dense[x]): bisect.bisect_left(starts, x + w) - dense[x] for y, x, w in spans}
+        grid = [{dense[x]: lines for x, lines in r.items()} for r in grid]
+        columns = len(starts)
         width = [0] * columns
         for y, r in enumerate(grid):
             for x, lines in r.items():

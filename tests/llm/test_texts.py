@@ -105,3 +105,69 @@ def test_chat_windows_read_back(spark, budget, history):
 
 def test_clashing_names_are_kept(spark):
     assert set(CLASHES) <= set(piece_codec.encode(odd_docs(spark), MODEL).columns)
+
+
+def _tokens_by_scan(page):
+    """Marks of a page one character at a time, without memory."""
+    out, at = [], 0
+    while (start := page.find("<", at)) >= 0:
+        rest = page[start:]
+        if rest.startswith("<!--"):
+            end = page.find("-->", start + 4)
+            out.append((start, len(page) if end < 0 else end + 3, False, "", ""))
+        elif rest[1:2] in ("!", "?"):
+            end = page.find(">", start)
+            if end < 0:
+                at = start + 1
+                continue
+            out.append((start, end + 1, False, "", ""))
+        else:
+            closing = rest[1:2] == "/"
+            i = start + 1 + closing
+            if not (page[i : i + 1].isascii() and page[i : i + 1].isalpha()):
+                at = start + 1
+                continue
+            j = i
+            while j < len(page) and not page[j].isspace() and page[j] not in "/>":
+                j += 1
+            k, quote = j, ""
+            while k < len(page) and (quote or page[k] != ">"):
+                quote = "" if page[k] == quote else page[k] if not quote and page[k] in "\"'" else quote
+                k += 1
+            if k == len(page):
+                k = page.find(">", j)
+            if k < 0:
+                at = start + 1
+                continue
+            out.append((start, k + 1, closing, page[i:j].lower(), page[j:k]))
+        at = out[-1][1]
+    return out
+
+
+def test_marks_equal_a_plain_scan_and_take_linear_time():
+    import random
+    import time
+
+    rng = random.Random(8)
+    for _ in range(4000):
+        page = "".join(rng.choice(["<", "a", " ", ">", '"', "'", "/", "!", "--", "<b", "<!--", "-->", "x=", "</p", "é"]) for _ in range(rng.randrange(30)))
+        marks, at, got = html_layout.Marks(page), 0, []
+        while m := marks.after(at):
+            got.append(m)
+            at = m[1]
+        assert got == _tokens_by_scan(page), page
+    for unit in ("<a ", "<a<", "<a '>", "<a \"'>", "<!", "</a \"", "<a b=\"'"):
+        begin = time.time()
+        html_layout.visible_text(unit * (300_000 // len(unit)))
+        assert time.time() - begin < 10, unit
+
+
+def test_wide_and_tall_spans_stay_small():
+    import time
+
+    cell = '<td colspan="1000" rowspan="1000">x</td>'
+    begin = time.time()
+    text = html_layout.visible_text("<table>" + f"<tr>{cell * 4}</tr>" * 2 + "</table>")
+    assert text.count("x") == 8 and len(text) < 200 and time.time() - begin < 1
+    page = "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>long heading<tr><td>d<td>e</table>"
+    assert html_layout.visible_text(page).splitlines() == ["a | b", "  | c", "long heading", "d | e"]
