@@ -103,13 +103,14 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = _let(words_of(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
     names = {n: fresh(docs, n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    both = fresh(docs, "_counted")
     return docs.select(
         "*",
         F.length(F.translate(body, WHITE, "")).cast("long").alias(names["word_chars"]),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias(names["n_symbols"]),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias(names["n_dup_lines"]),
-        counted.alias("_counted"),
-    ).withColumns({names["n_words"]: F.col("_counted.n"), names["n_repeat_words"]: F.col("_counted.r")}).drop("_counted")
+        counted.alias(both),
+    ).withColumns({names["n_words"]: F.col(f"`{both}`.n"), names["n_repeat_words"]: F.col(f"`{both}`.r")}).drop(both)
 
 
 def vector(n_words: str, word_chars: str, n_symbols: str, n_dup_lines: str, n_repeat_words: str) -> list[Column]:
@@ -143,14 +144,14 @@ def _moments(rows: DataFrame, weight: Column) -> DataFrame:
     return out.select("group", *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i in range(P) for j in range(i + 1)])
 
 
-def _squared(x: list[Column]) -> Column:
-    """Squared Mahalanobis distance from the columns of `_moments`, by forward substitution."""
+def _squared(x: list[Column], of=F.col) -> Column:
+    """Squared Mahalanobis distance from the columns of `_moments`, found by `of`, by forward substitution."""
     z: list[Column] = []
     for i in range(P):
-        rest = x[i] - F.col(f"m{i}")
+        rest = x[i] - of(f"m{i}")
         for j in range(i):
-            rest = rest - F.col(f"c{i}{j}") * z[j]
-        z.append(rest / F.col(f"c{i}{i}"))
+            rest = rest - of(f"c{i}{j}") * z[j]
+        z.append(rest / of(f"c{i}{i}"))
     return reduce(lambda a, b: a + b, [v * v for v in z])
 
 
@@ -221,14 +222,16 @@ def judge(counted: DataFrame, lang: str = "lang", source: str = "source", five:
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = stored(passed.join(groups, same).select("group", *[f"x{i}" for i in range(P)]))
     final = stored(estimate(rows)).join(groups.withColumnRenamed("group", "_group"), F.col("group") == F.col("_group"))
-    place = final.drop("_group", "group").withColumnsRenamed({"_lang": keys[0], "_source": keys[1]})
+    held, measured = fresh(counted, "estimate"), fresh(counted, "d2")
+    figures = [c for c in final.columns if c not in ("_group", "group", "_lang", "_source")]
+    place = final.select(F.col("_lang").alias(keys[0]), F.col("_source").alias(keys[1]), F.struct(*figures).alias(held))
     at = counted[lang].cast("string").eqNullSafe(place[keys[0]]) & counted[source].cast("string").eqNullSafe(place[keys[1]])
     joined = counted.join(place, at, "left")
-    d2 = _squared(list(vector(*five))) / F.col("scale")
-    judged = joined.withColumn("_d2", F.when(~failed, d2))
+    of = lambda c: F.col(held)[c]
+    judged = joined.withColumn(measured, F.when(~failed, _squared(list(vector(*five)), of) / of("scale")))
     return judged.select(
-        *[F.col(c) for c in counted.columns], failed.alias(names["base_failed"]), F.col("_d2").alias(names["distance"]),
-        (~failed & F.coalesce(F.col("_d2") <= CUTOFF, F.lit(False))).alias(names["kept"]),
+        *[F.col(c) for c in counted.columns], failed.alias(names["base_failed"]), F.col(measured).alias(names["distance"]),
+        (~failed & F.coalesce(F.col(measured) <= CUTOFF, F.lit(False))).alias(names["kept"]),
     )
 
 

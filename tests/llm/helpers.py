@@ -5,7 +5,7 @@ import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-CLASHES = ["n_words", "score", "kept", "id", "token_ids", "n_removed", "seed", "group", "prev", "Key", "bucket"]
+CLASHES = ["n_words", "score", "kept", "id", "token_ids", "n_removed", "seed", "group", "prev", "Key", "bucket", "scale", "m0", "c00", "_counted", "estimate", "tie"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
