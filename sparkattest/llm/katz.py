@@ -23,6 +23,7 @@ training rows every token has the probability of a word never seen, which is the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,10 +120,23 @@ def _counts_of_counts(table: DataFrame, count: str) -> dict[int, int]:
 
 
 class Model:
-    """Tables (prev, word, n, probability, known, base) of all pairs of the texts, and totals."""
+    """Priced pairs (prev, word, known, base, logp) of all texts of `fit`, words (word, own, known, base), weights of contexts, and totals."""
 
-    def __init__(self, pairs: DataFrame, train_tokens: int, types: int):
-        self.pairs, self.train_tokens, self.types = pairs, train_tokens, types
+    def __init__(self, pairs: DataFrame, words: DataFrame, contexts: DataFrame, unseen: float, train_tokens: int, types: int):
+        self.pairs, self.words, self.contexts, self.unseen = pairs, words, contexts, unseen
+        self.train_tokens, self.types = train_tokens, types
+
+    def priced(self, texts: DataFrame) -> DataFrame:
+        """The pairs of `fit` and those that only occur in `texts`: weight of the context times the word's own probability."""
+        met = texts.select("text", F.lit(False).alias("train")).mapInArrow(_counts, "prev long, word long, n long")
+        new = met.select("prev", "word").distinct().join(self.pairs, ["prev", "word"], "left_anti")
+        new = new.join(self.words, "word", "left").join(self.contexts.select("prev", "weight"), "prev", "left")
+        own = F.coalesce("own", F.lit(self.unseen))
+        never = math.log10(0.5 / (self.train_tokens + 0.5 * (self.types + 1)))
+        return self.pairs.select("prev", "word", "known", "base", "logp").unionByName(new.select(
+            "prev", "word", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("base", F.lit(never)).alias("base"),
+            F.log10(F.coalesce("weight", F.lit(1.0)) * own).alias("logp"),
+        ))
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
@@ -157,15 +171,16 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> Model:
         "prev", "word", "known", "base",
         F.log10(F.when(seen, _discounted(F.col("n"), d2) / F.col("total")).otherwise(F.coalesce("weight", F.lit(1.0)) * F.col("own"))).alias("logp"),
     )
-    model = Model(stored(priced), n, v)
+    model = Model(stored(priced), words, contexts, unseen, n, v)
     release(docs.sparkSession)
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", *, fitted: bool = False) -> DataFrame:
     """Add n_tokens, n_known, base_score and score (log10) to the rows; names that are taken get underscores.
 
-    The pairs of the scored texts must be among those of `fit`. A score depends on the text alone, so
+    Any texts can be scored: pairs and words that `fit` never met are priced first. `fitted` says that all texts were in the table
+    of `fit`, trained on or not, which spares that step. A score depends on the text alone, so
     sums go by a hash and the size of the text; copies of a text are told by its end marks.
     """
     names = [fresh(docs, c) for c in ("n_tokens", "n_known", "base_score", "score")]
@@ -175,7 +190,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         _tokens, "key long, size int, prev long, word long, times int"
     )
     times = F.col("times")
-    sums = tokens.join(model.pairs, ["prev", "word"]).groupBy("key", "size").agg(
+    pairs = model.pairs if fitted else model.priced(docs.select(body.alias("text")))
+    sums = tokens.join(pairs, ["prev", "word"]).groupBy("key", "size").agg(
         F.sum(F.when(F.col("word") == END, times)).alias("copies"), F.sum("times").alias("n"),
         F.sum(F.when(F.col("known"), times).otherwise(0)).alias("k"), F.sum(times * F.col("base")).alias("b"), F.sum(times * F.col("logp")).alias("s"),
     )

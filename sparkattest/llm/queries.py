@@ -91,7 +91,7 @@ def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     model = katz.fit(docs, ~held_out)
-    scored = katz.score(docs, model)
+    scored = katz.score(docs, model, fitted=True)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         "base_score", "score",

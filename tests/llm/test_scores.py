@@ -185,6 +185,20 @@ def test_katz_against_brute_force(spark):
         assert r["score"] == "x"
 
 
+def test_katz_scores_texts_it_never_met(spark):
+    rows = [(k, prose(k, 30 + k % 50, 120), k % 5 != 1) for k in range(60)] + [(90, "Words nobody wrote w1 w2", False), (91, None, False), (92, prose(5, 30, 120), False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    model = katz.fit(docs.filter("train"), F.lit(True))
+    _, expected = _katz([r[1] for r in rows], [r[2] for r in rows])
+    got = {r["doc_id"]: r for r in katz.score(docs, model).collect()}
+    assert len(got) == len(rows)
+    for (k, *_), (tokens, known, base, score) in zip(rows, expected, strict=True):
+        assert (got[k]["n_tokens"], got[k]["n_known"]) == (tokens, known)
+        assert math.isclose(got[k]["base_score"], base, rel_tol=1e-9) and math.isclose(got[k]["score"], score, rel_tol=1e-9)
+    one = katz.score(docs.filter("doc_id = 90"), model).collect()
+    assert len(one) == 1 and one[0]["score"] == got[90]["score"]
+
+
 def test_katz_odd_tables(spark):
     rows = katz.score(odd_docs(spark), katz.fit(odd_docs(spark), F.lit(False)))
     assert {r["score_"] for r in rows.collect()} == {0.0}  # nothing learned: every token is the unseen word
