@@ -63,6 +63,8 @@ class Tokenizers:
         self.b_bytes = [self._piece(i) for i in range(self.pieces.vocab_size())]
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        # an id with what follows it in the description of the groups: inside and at the end of a group
+        self.said = [f"{i}{mark}".encode() for n, marks in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for i in range(n) for mark in marks]
 
     def _piece(self, i: int) -> bytes:
         name = self.pieces.id_to_piece(i)
@@ -86,7 +88,7 @@ class Tokenizers:
                 continue
             a, b = self.a(" " + text), next(pieces)
             raw = (" " + text).encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+            same = self.fast.decode_bytes(a) == raw == b"".join(map(self.b_bytes.__getitem__, b))
             out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else None)
         return out
 
@@ -123,8 +125,8 @@ def terminals(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndar
         successor = doubled
 
 
-def linked_pairs(doc: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, pair, times): links of every group by distinct id pair of its text; pair is a << 32 | b.
+def linked_pairs(doc: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, place, times), and the distinct pairs a << 32 | b that places refer to: links of every group by text and pair.
 
     `doc` is the text of each group; groups are numbered from 0 in token order.
     """
@@ -146,20 +148,12 @@ def linked_pairs(doc: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, a: n
         pairs.append((x[:, None] << 32 | y[None, :]).reshape(-1))
         times.append((nx[:, None] * ny[None, :]).reshape(-1))
     docs, pairs, times = np.concatenate(docs), np.concatenate(pairs), np.concatenate(times)
-    order = np.lexsort((pairs, docs))
-    docs, pairs = docs[order], pairs[order]
-    head = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (pairs[1:] != pairs[:-1])]) if len(docs) else np.zeros(0, np.int64)
-    return docs[head], pairs[head], np.add.reduceat(times[order], head) if len(head) else times
-
-
-def _digest(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int]) -> str:
-    """SHA-256 of `a1,a2|b1;a3|b2,b3`."""
-    a_text, b_text = [str(x) for x in a], [str(x) for x in b]
-    parts, i, j = [], 0, 0
-    for p, q in zip(a_cuts, b_cuts, strict=True):
-        parts.append(",".join(a_text[i:p]) + "|" + ",".join(b_text[j:q]))
-        i, j = p, q
-    return hashlib.sha256(";".join(parts).encode()).hexdigest()
+    distinct, places = np.unique(pairs, return_inverse=True)
+    key = docs * max(len(distinct), 1) + places
+    order = np.argsort(key)
+    key = key[order]
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return docs[order[head]], places[order[head]], np.add.reduceat(times[order], head) if len(head) else times, distinct
 
 
 PACKED = "ids array<{}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digests array<string>, pairs binary, texts binary, sizes binary, places binary, times binary"
@@ -186,13 +180,16 @@ def _aligned(files: tuple, id_type: pa.DataType):
             np.add.at(links, doc, many_a * many_b)
             figures[:, own] = np.stack([n_a, n_b, groups, links])
             after_a, after_b = np.cumsum(many_a), np.cumsum(many_b)
-            group_end = np.cumsum(groups)
-            start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-            for i, k in enumerate(own):
-                at = slice(group_end[i] - groups[i], group_end[i])
-                digests[k] = _digest(both[k][0].tolist(), both[k][1].tolist(), (after_a[at] - start_a[i]).tolist(), (after_b[at] - start_b[i]).tolist())
-            docs, pair, times = linked_pairs(doc, group_a, group_b, a, b)
-            pairs, places = np.unique(pair, return_inverse=True)
+            # `a1,a2|b1;a3|b2,b3`: the tokens of A, then of B, group by group
+            said = np.empty(len(a) + len(b), np.int64)
+            at_a, at_b = np.arange(len(a)), np.arange(len(b))
+            said[at_a + (after_b - many_b)[group_a]] = 2 * a + (at_a + 1 == after_a[group_a])
+            said[at_b + after_a[group_b]] = 2 * (len(tokens.a_size) + b) + (at_b + 1 == after_b[group_b])
+            texts_end = np.cumsum(n_a + n_b)
+            for k, start, end in zip(own, (texts_end - n_a - n_b).tolist(), texts_end.tolist(), strict=True):
+                text = b"".join(map(tokens.said.__getitem__, said[start:end].tolist()))
+                digests[k] = hashlib.sha256(text[:-1]).hexdigest()
+            docs, places, times, pairs = linked_pairs(doc, group_a, group_b, a, b)
             per_pair = np.bincount(places, minlength=len(pairs))
             sizes = np.zeros(len(texts), np.int64)
             sizes[own] = np.bincount(docs, minlength=len(own))
