@@ -18,6 +18,7 @@ whatever their names, pass through; repeated rows and empty tables need no speci
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from ._tables import fresh
 
 SPACE = "▁"
 REMEMBERED = 600_000
+SHORT, NEVER = 48, float("inf")
 
 
 class Pieces:
@@ -43,6 +45,7 @@ class Pieces:
         self.special = {i for i in range(n) if self.library.is_control(i) or self.library.is_unknown(i)}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.names) if self.library.is_byte(i)}
         self.ids = {p: i for i, p in enumerate(self.names) if i not in self.special and not self.library.is_byte(i)}
+        self.costs = {p: -self.library.get_score(i) for p, i in self.ids.items()}
         self.scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary has no byte pieces")
@@ -57,10 +60,25 @@ class Pieces:
         self.known: dict[str, bytes] = {}
 
     def agenda(self, symbols: str) -> list[int]:
-        """Ids of one stretch of normalised text."""
-        scores = self.scores
+        """Ids of one stretch of normalised text. Few symbols keep their agenda in a list, many in a heap."""
         parts: list[str] = list(symbols)
         n = len(parts)
+        if n <= SHORT:
+            cost_of = self.costs.get
+            agenda = [cost_of(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            while agenda:
+                low = min(agenda)
+                if low == NEVER:
+                    break
+                i = agenda.index(low)
+                pair = parts[i] = parts[i] + parts.pop(i + 1)
+                del agenda[i]
+                if i < len(agenda):
+                    agenda[i] = cost_of(pair + parts[i + 1], NEVER)
+                if i:
+                    agenda[i - 1] = cost_of(parts[i - 1] + pair, NEVER)
+            return self._ids(parts)
+        scores = self.scores
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
@@ -85,25 +103,29 @@ class Pieces:
                 left = parts[h] + pair
                 if left in scores:
                     heapq.heappush(heap, (-scores[left], h, left))
-        ids: list[int] = []
-        for p in parts:
-            if p:
-                own = self.ids.get(p)
-                ids += [own] if own is not None else [self.bytes[b] for b in p.encode()]
-        return ids
+        return self._ids([p for p in parts if p])
+
+    def _ids(self, parts: list[str]) -> list[int]:
+        ids = list(map(self.ids.get, parts))
+        if None not in ids:
+            return ids
+        out: list[int] = []
+        for p, own in zip(parts, ids):
+            out += [own] if own is not None else [self.bytes[b] for b in p.encode()]
+        return out
 
     def _stretch(self, key: str) -> bytes:
         """int32 ids of a stretch; its line breaks stand alone."""
         pieces = key.split("\n")
         if len(pieces) == 1:
-            return np.array(self.agenda(key), "<i4").tobytes()
+            return array("i", self.agenda(key)).tobytes()
         line_break = np.array([self.ids["\n"]] if "\n" in self.ids else [self.bytes[10]], "<i4").tobytes()
         known = self.known
         out = []
         for p in pieces:
             got = known.get(p)
             if got is None:
-                got = known[p] = np.array(self.agenda(p), "<i4").tobytes()
+                got = known[p] = array("i", self.agenda(p)).tobytes()
             out.append(got)
         return line_break.join(out)
 
@@ -143,7 +165,7 @@ class Pieces:
             return
         plain = [w.replace(SPACE, " ") for w in words]
         for w, ids in zip(words, self.library.encode(plain, num_threads=1), strict=True):
-            if np.array(ids, "<i4").tobytes() != self.known[SPACE + w]:
+            if array("i", ids).tobytes() != self.known[SPACE + w]:
                 raise ValueError(f"the library encodes {w!r} differently")
 
     def decode(self, ids: np.ndarray) -> str:
