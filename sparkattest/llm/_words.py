@@ -69,8 +69,21 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
+#: what operators keep between the tasks of a Python worker; workers are reused by later stages
+WORKER_CACHES: list[dict] = []
+
+
+def forget() -> None:
+    """Give back the memory that other operators left in this worker."""
+    for cache in WORKER_CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets from 0) of row ranges of about `limit` bytes, at least one row each."""
+    if any(WORKER_CACHES):
+        forget()
     data, at = text_buffers(column)
     row = 0
     while row < len(at) - 1:

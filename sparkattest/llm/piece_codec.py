@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._tables import fresh
+from ._words import WORKER_CACHES
 
 SPACE = "▁"
 REMEMBERED = 600_000
@@ -58,6 +59,7 @@ class Pieces:
             out[i] = bytes([value])
         self.out = out
         self.known: dict[str, bytes] = {}
+        WORKER_CACHES.append(self.known)
 
     def agenda(self, symbols: str) -> list[int]:
         """Ids of one stretch of normalised text. Few symbols keep their agenda in a list, many in a heap."""

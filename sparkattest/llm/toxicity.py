@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ._tables import fresh
-from ._words import _BYTE_VALUES, Words, rolling, slices, text_buffers
+from ._words import _BYTE_VALUES, Words, forget, rolling, slices, text_buffers
 
 MAX_ROWS, MAX_BYTES = 2000, 64 << 20
 SCORED_BYTES = 1 << 18
@@ -283,6 +283,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        forget()
         for batch in batches:
             scores = [np.zeros(0)]
             for _, data, offsets in _lowered(batch.column(at)):
