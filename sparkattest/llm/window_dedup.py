@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._tables import fresh, ids_repeat, own_number, release, stored, tasks
-from ._words import Words, binary_column, from_planes, mix, planes, slices
+from ._words import Words, binary_column, forget, from_planes, mix, planes, slices
 
 SIZE = 20
 HASH_BYTES = 7
@@ -35,7 +35,7 @@ MARKED = -1
 COLUMNS = ("ids", "ties", "counts", "positions", "hashes")
 ENTRIES = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in COLUMNS]])
 ENTRIES_DDL = "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS)
-BATCH_WINDOWS = 4_000_000
+BATCH_WINDOWS = 3_000_000
 
 
 def _changes(*keys: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *map(binary_column, columns[1:])], schema=ENTRIES)
 
 
-def first_of_each(hashes: np.ndarray, ids: np.ndarray, ties: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_of_each(hashes: np.ndarray, ids: np.ndarray, positions: np.ndarray, ties: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Masks over the entries: earliest of its hash; and behind the earliest place of its hash.
 
     A second entry at the very same place, from a repeated row, is neither.
@@ -85,49 +85,74 @@ def first_of_each(hashes: np.ndarray, ids: np.ndarray, ties: np.ndarray, positio
     first[order[alone]] = True
     rest = order[~alone]
     if len(rest):
-        rest = rest[np.lexsort((positions[rest], ties[rest], ids[rest], hashes[rest]))]
+        documents = [ids] if ties is None else [ties, ids]
+        rest = rest[np.lexsort((positions[rest], *[d[rest] for d in documents], hashes[rest]))]
         head = _changes(hashes[rest])
         lead = rest[np.flatnonzero(head)][np.cumsum(head) - 1]
         first[rest[head]] = True
-        later[rest] = (ids[rest] != ids[lead]) | (ties[rest] != ties[lead]) | (positions[rest] != positions[lead])
+        later[rest] = positions[rest] != positions[lead]
+        for d in documents:
+            later[rest] |= d[rest] != d[lead]
     return first, later
 
 
+class _Held:
+    """Windows of several slices: 16 bytes each, documents being numbers."""
+
+    def __init__(self):
+        self.windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.documents: list[tuple[np.ndarray, np.ndarray]] = []
+        self.count = self.rows = 0
+
+    def add(self, hashes: np.ndarray, rows: np.ndarray, positions: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> None:
+        self.windows.append((hashes, (rows + self.rows).astype(np.int32), positions.astype(np.int32)))
+        self.documents.append((ids, ties))
+        self.count += len(hashes)
+        self.rows += len(ids)
+
+    def entries(self, buckets: int) -> pa.RecordBatch:
+        """Packed entries; documents are compared by their rank among those held."""
+        ids, ties = (np.concatenate(x) for x in zip(*self.documents, strict=True))
+        order = np.lexsort((ties, ids))
+        ids, ties = ids[order], ties[order]
+        new = _changes(ids, ties)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.cumsum(new) - 1
+        ids, ties = ids[new], ties[new]
+        hashes, rows, positions = (np.concatenate(x) for x in zip(*self.windows, strict=True))
+        self.windows.clear()
+        documents = rank[rows]
+        first, later = first_of_each(hashes, documents, positions)
+        out = []
+        if later.any():
+            out.append(_packed(MARKED, ids[documents[later]], ties[documents[later]], positions[later], None))
+        hashes, documents, positions = hashes[first], documents[first], positions[first]
+        bucket = (hashes % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edges)):
+            own = order[edges[b] : edges[b + 1]]
+            out.append(_packed(int(b), ids[documents[own]], ties[documents[own]], positions[own], hashes[own] // np.uint64(buckets)))
+        return _rows(out)
+
+
 def _window_entries(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        count = 0
-
-        def flush() -> pa.RecordBatch:
-            hashes, ids, ties, positions = (np.concatenate(x) for x in zip(*held, strict=True))
-            first, later = first_of_each(hashes, ids, ties, positions)
-            rows = []
-            if later.any():
-                rows.append(_packed(MARKED, ids[later], ties[later], positions[later], None))
-            hashes, ids, ties, positions = hashes[first], ids[first], ties[first], positions[first]
-            bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)):
-                own = order[edges[b] : edges[b + 1]]
-                rows.append(_packed(int(b), ids[own], ties[own], positions[own], hashes[own] // np.uint64(buckets)))
-            return _rows(rows)
-
+        forget()
+        held = _Held()
         for batch in batches:
             doc_ids, doc_ties = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for row, data, offsets in slices(batch.column(1)):
                 words = Words(data, offsets)
                 at, hashes = words.windows(words.hashes(), size)
                 if len(at):
-                    rows = words.rows[at]
-                    held.append((hashes, doc_ids[row + rows], doc_ties[row + rows], at - words.first[rows]))
-                    count += len(at)
-                if count > BATCH_WINDOWS:
-                    yield flush()
-                    held.clear()
-                    count = 0
-        if held:
-            yield flush()
+                    rows, own = words.rows[at], slice(row, row + len(offsets) - 1)
+                    held.add(hashes, rows, at - words.first[rows], doc_ids[own], doc_ties[own])
+                if held.count > BATCH_WINDOWS:
+                    yield held.entries(buckets)
+                    held = _Held()
+        if held.count:
+            yield held.entries(buckets)
 
     return run
 
@@ -154,7 +179,7 @@ def _marks(tasks_after: int):
                     held.setdefault(row["bucket"], []).append(entry)
         for parts in held.values():
             ids, ties, positions, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, later = first_of_each(hashes, ids, ties, positions)
+            _, later = first_of_each(hashes, ids, positions, ties)
             yield from dealt(ids[later], ties[later], positions[later])
 
     return run
