@@ -54,7 +54,7 @@ STAGES = [
     ("drop_benchmark_leaks", drop_benchmark_leaks),
     ("encode_pieces", encode_pieces),
 ]
-#: trained scores, transitive links and piece ids are not SQL; tests/llm compares every stage with brute force
+#: trained scores, transitive links and piece ids are not SQL; tests/llm covers the operators that the stages call
 ORACLE_SQL = None
 
 
