@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .evidence import Item, Provider
 from .leakage import check_split_leakage
 from .scoring import class_metrics, rank_models, ranking_metrics
 from .skew import hash_order
@@ -148,7 +149,12 @@ def calibrate(scored: DataFrame, method: str = "sigmoid") -> Callable[[DataFrame
 
 
 class ScorerRegistry:
-    """Named scorers that add risk columns; the fusion treats each as one evidence source."""
+    """Named scorers that add risk columns; the fusion treats each as one evidence source.
+
+    `apply` runs every scorer over the documents and keeps each verdict in a struct column of its
+    own; `providers` declares one evidence item per verdict for `with_masses`, `with_evidence_items`
+    and `verify_documents`. A missing verdict gives no item.
+    """
 
     def __init__(self) -> None:
         self._scorers: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -162,6 +168,39 @@ class ScorerRegistry:
     def names(self) -> list[str]:
         return sorted(self._scorers)
 
+    @staticmethod
+    def verdict_column(name: str) -> str:
+        return f"verdict_{name}"
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Add verdict_<name> (prediction, risk_score, confidence) of every scorer; no join."""
+        verdict = ("prediction", "risk_score", "confidence")
+        for name in self.names():
+            held = [c for c in verdict if c in df.columns]  # the documents' own verdict steps aside
+            own = df.withColumnsRenamed({c: f"_own_{c}" for c in held})
+            scored = self.get(name)(own).withColumn(self.verdict_column(name), F.struct(*verdict)).drop(*verdict)
+            df = scored.select(*own.columns, self.verdict_column(name)).withColumnsRenamed({f"_own_{c}": c for c in held})
+        return df
+
+    def provider(self, name: str) -> Provider:
+        """Evidence of one scorer, judged by the bands of the main model."""
+
+        def items(df: DataFrame) -> list[Item]:
+            v = F.col(self.verdict_column(name))
+            risk = v["risk_score"]
+            high = (v["prediction"] == "suspicious") | (risk >= C.HIGH_RISK)
+            raised = risk >= C.ELEVATED_RISK
+            return [
+                Item(name, "ML", "risk_score", risk.isNotNull(), F.when(high | raised, "WARNING").otherwise("PASS"),
+                     F.when(high, "high").when(raised, "medium").otherwise("low"), F.coalesce(v["confidence"], F.lit(0.5)),
+                     F.concat(F.lit("Risk score "), F.format_string("%.3f", risk)))
+            ]
+
+        return items
+
+    def providers(self) -> list[Provider]:
+        return [self.provider(name) for name in self.names()]
+
     def evidence(self, name: str, df: DataFrame, key: str = "document_id") -> DataFrame:
         """The scorer's verdict as one evidence row per document."""
         scored = self.get(name)(df)

@@ -263,21 +263,24 @@ _SIGNALS = """signal_v AS (SELECT o_orderkey AS document_id, o_orderkey % 17 = 0
   CAST(CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS INT) AS heavy_regions, o_orderkey % 29 = 0 AS mixed, o_orderkey % 31 = 0 AS spread, o_orderkey % 101 = 0 AS analysis_error FROM orders)"""
 
 
+def signal_columns(k, day):
+    """Decoder outputs of a document, derived from its number and day."""
+    return {
+        "encrypted": k % 17 == 0, "repaired": k % 23 == 0, "eof_markers": (k % 4).cast("int"), "creation_date": day,
+        "modification_date": F.when(k % 5 == 0, day - F.expr("INTERVAL 1 DAY")).otherwise(day),
+        "image_only": k % 7 == 0, "producer": F.when(k % 2 == 0, "Writer").otherwise(""), "font_count": (k % 12).cast("int"),
+        "overlay_ratio": (k % 10).cast("double") / 10, "text_blocks": (k % 6).cast("int"),
+        "region_ink_std": (k % 20).cast("double") / 100, "edge_alignment": (k % 11).cast("double") / 10,
+        "typography_clusters": (k % 10).cast("int"), "duplicated_regions": F.when(k % 13 == 0, 2).otherwise(0),
+        "heavy_regions": F.when(k % 19 == 0, 1).otherwise(0), "analysis_error": k % 101 == 0,
+        "image_compressions": F.when(k % 29 == 0, F.array(F.lit("jpeg"), F.lit("flate"))).otherwise(F.array(F.lit("jpeg"))),
+        "image_widths": F.when(k % 31 == 0, F.array(F.lit(100), F.lit(900))).otherwise(F.array(F.lit(100), F.lit(200))),
+    }
+
+
 def signals(spark, sf):
-    k = F.col("o_orderkey")
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    return orders.select(
-        k.alias("document_id"), (k % 17 == 0).alias("encrypted"), (k % 23 == 0).alias("repaired"), (k % 4).cast("int").alias("eof_markers"),
-        F.col("o_orderdate").alias("creation_date"),
-        F.when(k % 5 == 0, F.col("o_orderdate") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("o_orderdate")).alias("modification_date"),
-        (k % 7 == 0).alias("image_only"), F.when(k % 2 == 0, "Writer").otherwise("").alias("producer"), (k % 12).cast("int").alias("font_count"),
-        ((k % 10).cast("double") / 10).alias("overlay_ratio"), (k % 6).cast("int").alias("text_blocks"),
-        ((k % 20).cast("double") / 100).alias("region_ink_std"), ((k % 11).cast("double") / 10).alias("edge_alignment"),
-        (k % 10).cast("int").alias("typography_clusters"), F.when(k % 13 == 0, 2).otherwise(0).alias("duplicated_regions"),
-        F.when(k % 19 == 0, 1).otherwise(0).alias("heavy_regions"), (k % 101 == 0).alias("analysis_error"),
-        F.when(k % 29 == 0, F.array(F.lit("jpeg"), F.lit("flate"))).otherwise(F.array(F.lit("jpeg"))).alias("image_compressions"),
-        F.when(k % 31 == 0, F.array(F.lit(100), F.lit(900))).otherwise(F.array(F.lit(100), F.lit(200))).alias("image_widths"),
-    )
+    columns = signal_columns(F.col("o_orderkey"), F.col("o_orderdate"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), *[c.alias(name) for name, c in columns.items()])
 
 
 _FORENSIC = """CASE WHEN encrypted THEN 'pdf_encrypted' END, CASE WHEN repaired THEN 'pdf_repaired' END, CASE WHEN eof_markers > 1 THEN 'incremental_update' END,
@@ -288,11 +291,16 @@ _VISUAL = """CASE WHEN region_ink_std > 0.12 THEN 'layout_inconsistency' END, CA
   CASE WHEN typography_clusters >= 8 THEN 'typography_inconsistency' END, CASE WHEN duplicated_regions > 0 THEN 'duplicated_region' END, CASE WHEN heavy_regions > 0 THEN 'heavy_region' END"""
 
 
+_TAMPERING = """CASE WHEN analysis_error THEN 'unable_to_determine' WHEN duplicated_regions > 0 AND mixed THEN 'strong_indicators'
+       WHEN encrypted OR repaired OR creation_date > modification_date OR mixed OR edge_alignment < 0.65 OR duplicated_regions > 0 THEN 'possible' ELSE 'none_detected' END"""
+_SEVERITY = """2 * (CAST(encrypted AS INT) + CAST(repaired AS INT) + CAST(creation_date > modification_date AS INT) + CAST(overlay_ratio > 0.75 AND text_blocks >= 3 AS INT))
+   + CAST(eof_markers > 1 AS INT) + CAST(year(creation_date) > 2100 AS INT) + CAST(image_only AND producer <> '' AS INT) + CAST(font_count > 8 AS INT)"""
+
+
 @query(
     "physical_anomalies",
     f"""WITH {_SIGNALS} SELECT document_id, concat_ws(';', {_FORENSIC}) AS forensic_keys, concat_ws(';', {_VISUAL}) AS visual_keys,
-  2 * (CAST(encrypted AS INT) + CAST(repaired AS INT) + CAST(creation_date > modification_date AS INT) + CAST(overlay_ratio > 0.75 AND text_blocks >= 3 AS INT))
-   + CAST(eof_markers > 1 AS INT) + CAST(year(creation_date) > 2100 AS INT) + CAST(image_only AND producer <> '' AS INT) + CAST(font_count > 8 AS INT) AS forensic_severity FROM signal_v""",
+  {_SEVERITY} AS forensic_severity FROM signal_v""",
 )
 def physical_anomalies(spark, sf):
     rows = P.with_visual_anomalies(P.with_forensics(signals(spark, sf)))
@@ -305,8 +313,7 @@ def physical_anomalies(spark, sf):
 @query(
     "tampering_statuses",
     f"""WITH {_SIGNALS} SELECT document_id, concat_ws(';', {_FORENSIC}, CASE WHEN mixed THEN 'mixed_compression' END, CASE WHEN spread THEN 'resolution_inconsistency' END, {_VISUAL}) AS finding_kinds,
-  CASE WHEN analysis_error THEN 'unable_to_determine' WHEN duplicated_regions > 0 AND mixed THEN 'strong_indicators'
-       WHEN encrypted OR repaired OR creation_date > modification_date OR mixed OR edge_alignment < 0.65 OR duplicated_regions > 0 THEN 'possible' ELSE 'none_detected' END AS tampering_status FROM signal_v""",
+  {_TAMPERING} AS tampering_status FROM signal_v""",
 )
 def tampering_statuses(spark, sf):
     rows = P.with_tampering(P.with_visual_anomalies(P.with_forensics(signals(spark, sf))))
@@ -446,6 +453,83 @@ def verification_code_states(spark, sf):
     )
 
 
+# --- decisions with outside providers -------------------------------------------
+
+_PHYSICAL = _SIGNALS.replace("signal_v AS", "decoded_v AS") + f""",
+physical_v AS (SELECT document_id, len(list_filter([{_FORENSIC}], lambda x: x IS NOT NULL)) AS n_forensic, len(list_filter([{_VISUAL}], lambda x: x IS NOT NULL)) AS n_visual,
+  {_SEVERITY} AS forensic_severity, edge_alignment, duplicated_regions, {_TAMPERING} AS tampering_status FROM decoded_v)"""
+PROVIDER_SQL = Q.provider_sql(_PHYSICAL, _REG)
+
+
+def printed_domain(df):
+    """A provider of our own: does a printed domain belong to the issuer."""
+    state = F.col("domain_consistency")
+    return [
+        E.Item("printed_domain", "DOMAIN", "printed_domain", state != "no_qr", F.when(state == "consistent", "PASS").otherwise("FAIL"),
+               F.when(state == "consistent", "low").otherwise("medium"), 0.7, F.concat(F.lit("Printed domain: "), state))
+    ]
+
+
+def provider_decided(spark, sf, with_items=False):
+    k = F.col("document_id")
+    host = F.lower(F.replace(F.regexp_replace("issuer", "^.* ", ""), F.lit("_"), F.lit("-")))
+    domains = (
+        F.when(k % 4 == 0, F.array(F.concat(F.lit("verify."), host, F.lit(".example.edu"))))
+        .when(k % 4 == 1, F.array(F.lit("elsewhere.example.net"))).otherwise(F.array().cast("array<string>"))
+    )
+    docs = derived(spark, sf, "texts_v").select(*BASE, "issuer").withColumns(
+        {
+            "confidence": F.when(F.col("risk_score") >= 0.5, F.col("risk_score")).otherwise(F.round(1 - F.col("risk_score"), 4)),
+            "file_fingerprint": F.col("file_key"), "domains": domains,
+            "answer": F.when(k % 10 == 0, "VERIFIED_BY_ISSUER").when(k % 10 == 1, "NOT_VERIFIED"),
+            "qr_status": F.when(k % 12 == 0, "verified_externally").when(k % 12 == 1, "verification_page_found").when(k % 12 == 2, "invalid_qr").otherwise("no_qr"),
+            **signal_columns(k, F.col("created_at")),
+        }
+    ).drop("issuer")
+    examined = P.with_tampering(P.with_visual_anomalies(P.with_forensics(docs)))
+    return verify_documents(
+        examined, as_of=AS_OF, known_issuer=known(), registry=registry(spark, sf), with_items=with_items, domains="domains", response="answer",
+        external_enabled=True, providers=[printed_domain], limits=E.ALL_ITEMS,
+    )
+
+
+@query(
+    "provider_decisions",
+    PROVIDER_SQL + """ SELECT document_id, decision, positive_mass, negative_mass, fail_items, anomaly_score, anomaly_level, CAST(external AS INT) AS externally_verified, code_state, issuer_verification,
+  round(CASE decision WHEN 'VERIFIED' THEN least(0.95, 0.5 + (positive_mass - negative_mass) * 0.12) WHEN 'SUSPICIOUS' THEN least(0.95, 0.5 + (negative_mass - positive_mass) * 0.12)
+        ELSE greatest(0.4, least(0.85, 0.45 + (negative_mass + positive_mass) * 0.08)) END, 3) AS decision_confidence,
+  CASE decision WHEN 'VERIFIED' THEN 'Independent evidence agrees and supports the document.'
+       WHEN 'SUSPICIOUS' THEN 'Do not trust without human review: ' || concat_ws('; ', CASE WHEN tampering_status = 'strong_indicators' THEN 'strong modification indicators' END, CASE WHEN negative_mass >= 2 THEN 'several independent negative signals' END, CASE WHEN ml_high AND negative_mass >= 1.5 THEN 'high model risk with other negative evidence' END)
+       WHEN 'INSUFFICIENT_EVIDENCE' THEN 'Too little evidence for an assessment.'
+       ELSE 'Review needed: ' || coalesce(nullif(concat_ws('; ', CASE WHEN ml_high THEN 'model risk is elevated' END, CASE WHEN open_check THEN 'identifiers were not confirmed by the issuer' END, CASE WHEN external THEN 'external confirmation conflicts with other signals' END, CASE WHEN anomaly_level = 'high' THEN 'the document is statistically unusual' END), ''), 'mixed or incomplete evidence') END AS decision_summary FROM decided_v""",
+)
+def provider_decisions(spark, sf):
+    return provider_decided(spark, sf).select(
+        "document_id", "decision", "positive_mass", "negative_mass", "fail_items", "anomaly_score", "anomaly_level",
+        F.col("externally_verified").cast("int").alias("externally_verified"), "code_state", "issuer_verification", "decision_confidence", "decision_summary",
+    )
+
+
+@query(
+    "provider_evidence",
+    PROVIDER_SQL + """, item_v AS (
+  SELECT document_id, 'FORENSICS' AS category, CAST(n_forensic = 0 AS INT) AS n_pass, 0 AS n_fail, n_forensic AS n_warning, 0 AS n_unknown FROM decided_v
+  UNION ALL SELECT document_id, 'VISUAL', CAST(n_visual = 0 AS INT), 0, n_visual, 0 FROM decided_v
+  UNION ALL SELECT document_id, 'TAMPERING', CAST(tampering_status = 'none_detected' AS INT), CAST(tampering_status = 'strong_indicators' AS INT), CAST(tampering_status = 'possible' AS INT), CAST(tampering_status = 'unable_to_determine' AS INT) FROM decided_v
+  UNION ALL SELECT document_id, 'QR', CAST(qr_status = 'verified_externally' AS INT), 0, CAST(qr_status NOT IN ('verified_externally', 'no_qr') AS INT), CAST(qr_status = 'no_qr' AS INT) FROM decided_v
+  UNION ALL SELECT document_id, 'ISSUER', CAST(issuer_verification = 'VERIFIED_BY_ISSUER' AS INT), CAST(issuer_verification = 'NOT_VERIFIED' AS INT), CAST(issuer_verification = 'VERIFICATION_UNAVAILABLE' AS INT), CAST(issuer_verification = 'ISSUER_UNKNOWN' AS INT) FROM decided_v
+  UNION ALL SELECT document_id, 'VERIFICATION_CODE', CAST(n_codes > 0 AS INT), 0, CAST(code_state IN ('VERIFICATION_UNAVAILABLE', 'NOT_VERIFIED') AS INT), CAST(n_codes = 0 AS INT) FROM decided_v
+  UNION ALL SELECT document_id, 'ANOMALY', 0, 0, 1, 0 FROM decided_v WHERE anomaly_level <> 'low'
+  UNION ALL SELECT document_id, 'DOMAIN', CAST(domain_consistency = 'consistent' AS INT), CAST(domain_consistency = 'inconsistent' AS INT), 0, 0 FROM decided_v WHERE domain_consistency <> 'no_qr')
+SELECT document_id, category, CAST(n_pass AS BIGINT) AS n_pass, CAST(n_fail AS BIGINT) AS n_fail, CAST(n_warning AS BIGINT) AS n_warning, CAST(n_unknown AS BIGINT) AS n_unknown FROM item_v""",
+)
+def provider_evidence(spark, sf):
+    kinds = ["FORENSICS", "VISUAL", "TAMPERING", "QR", "ISSUER", "VERIFICATION_CODE", "ANOMALY", "DOMAIN"]
+    rows = E.evidence_table(provider_decided(spark, sf, with_items=True).select("document_id", "evidence")).filter(F.col("category").isin(kinds))
+    counts = [F.count_if(F.col("status") == s.upper()).alias(f"n_{s}") for s in ("pass", "fail", "warning", "unknown")]
+    return rows.groupBy("document_id", "category").agg(*counts)
+
+
 # --- audit and display --------------------------------------------------------
 
 

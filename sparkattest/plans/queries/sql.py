@@ -410,31 +410,33 @@ _PARTS = [
 _ROLES = any_of("low", [w for words in C.ROLE_PHRASES.values() for w in words])
 
 
-def _mass(status: str) -> str:
+# (applies and has the status, status, confidence, severity)
+_TERMS: list[tuple[str, str, float | str, str]] = [
+    ("prediction <> 'suspicious' AND risk_score < 0.3", "PASS", "confidence", "low"),
+    ("coalesce(risk_score, 0) < 0.3", "PASS", 0.6, "low"),  # feature analysis
+    ("TRUE", "PASS", 0.6, "low"),  # an empty visual report
+    ("NOT (ocr_failed OR extraction_method = 'none') AND text_present", "PASS", "extraction_confidence", "low"),
+    ("structure_completeness >= 0.6", "PASS", 0.7, "low"),
+    ("primary_type <> 'unknown'", "PASS", 0.6, "low"),
+    (_ROLES, "PASS", 0.7, "low"),
+    ("recipient_status = 'ok'", "PASS", 0.7, "low"),
+    ("issuer_status = 'ok'", "PASS", 0.7, "low"),
+    ("date_status = 'ok'", "PASS", 0.7, "low"),
+    ("date_status = 'warning'", "FAIL", 0.6, "high"),
+    ("course_status = 'ok'", "PASS", 0.7, "low"),
+    ("certificate_id_status = 'ok'", "PASS", 0.7, "low"),
+    ("certificate_id_status = 'warning'", "FAIL", 0.6, "high"),
+    ("marks_ok", "PASS", 0.7, "low"),
+    ("NOT marks_ok", "FAIL", 0.6, "high"),
+    ("structure_completeness >= 0.6", "PASS", 0.7, "low"),
+    ("n_codes > 0", "PASS", 0.6, "low"),
+    ("duplicate_type = 'cert_id'", "FAIL", 0.9, "high"),
+    ("duplicate_of IS NOT NULL AND duplicate_type <> 'cert_id'", "FAIL", 0.7, "medium"),
+]
+
+
+def _mass(status: str, terms: list[tuple[str, str, float | str, str]] = _TERMS) -> str:
     w = {"low": 1, "medium": 2, "high": 3}
-    terms: list[tuple[str, str, float | str, str]] = [
-        # (applies and has the status, status, confidence, severity)
-        ("prediction <> 'suspicious' AND risk_score < 0.3", "PASS", "confidence", "low"),
-        ("coalesce(risk_score, 0) < 0.3", "PASS", 0.6, "low"),  # feature analysis
-        ("TRUE", "PASS", 0.6, "low"),  # an empty visual report
-        ("NOT (ocr_failed OR extraction_method = 'none') AND text_present", "PASS", "extraction_confidence", "low"),
-        ("structure_completeness >= 0.6", "PASS", 0.7, "low"),
-        ("primary_type <> 'unknown'", "PASS", 0.6, "low"),
-        (_ROLES, "PASS", 0.7, "low"),
-        ("recipient_status = 'ok'", "PASS", 0.7, "low"),
-        ("issuer_status = 'ok'", "PASS", 0.7, "low"),
-        ("date_status = 'ok'", "PASS", 0.7, "low"),
-        ("date_status = 'warning'", "FAIL", 0.6, "high"),
-        ("course_status = 'ok'", "PASS", 0.7, "low"),
-        ("certificate_id_status = 'ok'", "PASS", 0.7, "low"),
-        ("certificate_id_status = 'warning'", "FAIL", 0.6, "high"),
-        ("marks_ok", "PASS", 0.7, "low"),
-        ("NOT marks_ok", "FAIL", 0.6, "high"),
-        ("structure_completeness >= 0.6", "PASS", 0.7, "low"),
-        ("n_codes > 0", "PASS", 0.6, "low"),
-        ("duplicate_type = 'cert_id'", "FAIL", 0.9, "high"),
-        ("duplicate_of IS NOT NULL AND duplicate_type <> 'cert_id'", "FAIL", 0.7, "medium"),
-    ]
     parts = [f"CASE WHEN {cond} THEN {w[sev]} * round(CAST({conf} AS DECIMAL(10, 4)), 3) ELSE 0 END" for cond, st, conf, sev in terms if st == status]
     return "round(CAST(" + " + ".join(parts) + " AS DOUBLE), 6)"
 
@@ -483,3 +485,91 @@ decided_v AS (
 
 def decision_sql() -> str:
     return review_sql() + ",\n" + DECISION
+
+
+# --- the decision with the results of outside providers ------------------------
+
+_UNCONFIRMED = "('VERIFICATION_UNAVAILABLE', 'NOT_VERIFIED')"
+_PROVIDER_PARTS = [
+    *_PARTS[:9], ("edge_alignment < 0.65", 0.6, 0.15), ("duplicated_regions > 0", 0.6, 0.2), ("forensic_severity > 0", "least(1.0, forensic_severity * 0.25)", 0.15),
+    *_PARTS[9:], ("tampering_status = 'strong_indicators'", 0.7, 0.2), ("tampering_status = 'possible'", 0.35, 0.15),
+]
+_PROVIDER_TERMS = [
+    *[t for t in _TERMS if t[0] != "TRUE"],
+    ("n_visual = 0", "PASS", 0.6, "low"),
+    ("n_forensic = 0", "PASS", 0.6, "low"),
+    ("tampering_status = 'none_detected'", "PASS", 0.5, "low"),
+    ("tampering_status = 'strong_indicators'", "FAIL", 0.75, "high"),
+    ("qr_status = 'verified_externally'", "PASS", 0.8, "medium"),
+    ("issuer_verification = 'VERIFIED_BY_ISSUER'", "PASS", 0.9, "medium"),
+    ("issuer_verification = 'NOT_VERIFIED'", "FAIL", 0.8, "medium"),
+    # an answered identifier counts 0.85 with medium severity in place of 0.6 with low
+    ("code_state = 'VERIFIED_BY_ISSUER'", "PASS", 0.85, "medium"),
+    ("domain_consistency = 'consistent'", "PASS", 0.7, "low"),
+    ("domain_consistency = 'inconsistent'", "FAIL", 0.7, "medium"),
+]
+_PROVIDER_TERMS = [("n_codes > 0 AND code_state <> 'VERIFIED_BY_ISSUER'", *t[1:]) if t[0] == "n_codes > 0" else t for t in _PROVIDER_TERMS]
+
+
+def _term(value: float | str, weight: float) -> str:
+    return f"({value})::DOUBLE * ({weight})::DOUBLE"
+
+
+def provider_sql(physical: str, registry: str) -> str:
+    """The decision over documents with physical signals, printed domains, QR states and issuer answers.
+
+    `physical` defines physical_v (counts, severity and tampering status by document), `registry` is a
+    table of registry keys `k` and domains `d`.
+    """
+    return review_sql() + ",\n" + physical + f""",
+outside_v AS (
+  SELECT r.*, x.n_forensic, x.n_visual, x.forensic_severity, x.edge_alignment, x.duplicated_regions, x.tampering_status, g.k IS NOT NULL AS registered, g.d AS registry_domain,
+         CASE r.document_id % 10 WHEN 0 THEN 'VERIFIED_BY_ISSUER' WHEN 1 THEN 'NOT_VERIFIED' END AS answer,
+         CASE r.document_id % 12 WHEN 0 THEN 'verified_externally' WHEN 1 THEN 'verification_page_found' WHEN 2 THEN 'invalid_qr' ELSE 'no_qr' END AS qr_status,
+         CASE r.document_id % 4 WHEN 0 THEN 'verify.' || lower(replace(regexp_replace(c.issuer, '^.* ', ''), '_', '-')) || '.example.edu' WHEN 1 THEN 'elsewhere.example.net' END AS printed_domain,
+         CASE WHEN r.risk_score >= 0.5 THEN r.risk_score ELSE round(1 - r.risk_score, 4) END AS confidence
+  FROM priority_v r JOIN physical_v x ON x.document_id = r.document_id JOIN certificates_v c ON c.document_id = r.document_id LEFT JOIN {registry} g ON g.k = lower(trim(r.organization))
+),
+answered_v AS (
+  SELECT *, CASE WHEN NOT {present('organization')} THEN 'ISSUER_UNKNOWN' WHEN answer IS NOT NULL THEN answer WHEN registered THEN 'VERIFICATION_UNAVAILABLE' ELSE 'ISSUER_UNKNOWN' END AS issuer_verification,
+         CASE WHEN NOT {present('organization')} OR printed_domain IS NULL THEN 'no_qr' WHEN printed_domain = registry_domain OR ends_with(printed_domain, '.' || registry_domain) THEN 'consistent' ELSE 'inconsistent' END AS domain_consistency
+  FROM outside_v
+),
+checked_v AS (
+  SELECT *, CASE WHEN NOT {present('organization')} THEN 'unknown' WHEN issuer_verification = 'VERIFIED_BY_ISSUER' THEN 'externally_verified' WHEN registered THEN 'known_unverified' ELSE 'extracted_but_unverified' END AS issuer_final,
+         CASE WHEN n_codes = 0 THEN 'NO_CODE' WHEN issuer_verification IN ('VERIFIED_BY_ISSUER', 'NOT_VERIFIED') THEN issuer_verification ELSE 'VERIFICATION_UNAVAILABLE' END AS code_state
+  FROM answered_v
+),
+anomaly_v AS (
+  SELECT *, coalesce(({' + '.join(f'CASE WHEN {c} THEN {_term(v, w)} ELSE 0::DOUBLE END' for c, v, w in _PROVIDER_PARTS)})
+                     / nullif(({' + '.join(f'CASE WHEN {c} THEN ({w})::DOUBLE ELSE 0::DOUBLE END' for c, _, w in _PROVIDER_PARTS)}), 0), 0.0) AS raw_score
+  FROM checked_v
+),
+mass_v AS (
+  SELECT *, round(raw_score, 4) AS anomaly_score, CASE WHEN raw_score >= 0.6 THEN 'high' WHEN raw_score >= 0.35 THEN 'moderate' ELSE 'low' END AS anomaly_level,
+         {_mass('PASS', _PROVIDER_TERMS)} AS positive_mass, {_mass('FAIL', _PROVIDER_TERMS)} AS negative_mass,
+         {' + '.join(flag(c) for c in ("date_status = 'warning'", "certificate_id_status = 'warning'", 'NOT marks_ok', 'duplicate_of IS NOT NULL', "tampering_status = 'strong_indicators'", "issuer_verification = 'NOT_VERIFIED'", "domain_consistency = 'inconsistent'"))} AS fail_items,
+         prediction = 'suspicious' OR risk_score >= 0.5 AS ml_high,
+         qr_status = 'verified_externally' OR issuer_verification = 'VERIFIED_BY_ISSUER' OR code_state = 'VERIFIED_BY_ISSUER' AS external,
+         code_state IN {_UNCONFIRMED} OR (issuer_verification IN {_UNCONFIRMED} AND code_state <> 'NO_CODE') AS open_check
+  FROM anomaly_v
+),
+rung_v AS (
+  SELECT *, CASE
+      WHEN ocr_failed OR (NOT text_present AND coalesce(candidate_name, '') = '' AND organization = '' AND coalesce(course, '') = '' AND coalesce(issue_date, '') = '') OR ood_status = 'insufficient_information' THEN 'thin'
+      WHEN tampering_status = 'strong_indicators' THEN 'tampering'
+      WHEN duplicate_type = 'cert_id' THEN 'same_identifier'
+      WHEN external AND (ml_high OR negative_mass >= 1) THEN 'conflict'
+      WHEN negative_mass >= 2 AND negative_mass >= positive_mass THEN 'negative'
+      WHEN ml_high AND negative_mass >= 1.5 THEN 'model_and_negative'
+      WHEN ml_high THEN 'model'
+      WHEN open_check AND (positive_mass >= 1.5 OR negative_mass >= 1) THEN 'open_check'
+      WHEN positive_mass >= 2 AND negative_mass < 1 AND fail_items = 0 AND anomaly_level <> 'high' THEN 'agreement'
+      ELSE 'mixed' END AS rung
+  FROM mass_v
+),
+decided_v AS (
+  SELECT *, CASE WHEN rung = 'thin' THEN 'INSUFFICIENT_EVIDENCE' WHEN rung IN ('tampering', 'same_identifier', 'negative', 'model_and_negative') THEN 'SUSPICIOUS'
+                 WHEN rung = 'agreement' THEN 'VERIFIED' ELSE 'REQUIRES_VERIFICATION' END AS decision
+  FROM rung_v
+)"""

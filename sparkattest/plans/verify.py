@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from .. import constants as C
 from ..functions.text import cert_id_fingerprint, identity_fingerprint
 from ..operators.anomaly import with_anomaly
 from ..operators.duplicates import prior_duplicates
-from ..operators.evidence import degraded_defaults, fuse, with_evidence_items, with_masses
+from ..operators.evidence import ITEM_LIMITS, Provider, degraded_defaults, fuse, with_evidence_items, with_masses
 from ..operators.extraction import extract_fields, with_extraction_quality
 from ..operators.features import build_features
 from ..operators.intelligence import intelligence, with_review
@@ -51,13 +52,14 @@ def verify_documents(
     docs: DataFrame, *, as_of: dt.date, seq: str = "document_id", owner: str = "owner",
     known_issuer: Column | None = None, registry: DataFrame | None = None, extracted: bool = False,
     with_items: bool = False, max_year: int = C.MAX_ISSUE_YEAR, domains: str | None = None, response: str | None = None,
-    external_enabled: bool = False,
+    external_enabled: bool = False, providers: Sequence[Provider] = (), limits: dict[str, int] = ITEM_LIMITS,
 ) -> DataFrame:
     """Scored documents (text, prediction, risk_score, confidence) to decisions.
 
     Provider results are columns of the documents: qr_status, tampering_status, forensic_anomalies,
     visual_anomalies; `domains` names the printed domains and `response` the classified issuer answer.
-    A provider without a column counts as one that found nothing.
+    A provider without a column counts as one that found nothing. `providers` declare further
+    evidence items over the checked columns; these enter the array and the masses like the others.
 
     Extraction and rules run once over the texts and are written without them; only
     the duplicate lookup and an oversized registry shuffle. `with_items` also keeps
@@ -88,8 +90,8 @@ def verify_documents(
     checked = with_anomaly(
         with_issuer_checks(reviewed, registry, domains=domains, response=response, external_enabled=external_enabled)
     )
-    evidence = with_evidence_items(checked) if with_items else checked
-    return degraded_defaults(fuse(with_masses(evidence)))
+    evidence = with_evidence_items(checked, providers=providers, limits=limits) if with_items else checked
+    return degraded_defaults(fuse(with_masses(evidence, providers=providers, limits=limits)))
 
 
 def decision_report(decided: DataFrame, by: list[str]) -> DataFrame:

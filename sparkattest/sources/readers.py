@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -56,11 +58,116 @@ MANIFEST_RECORD = ST.StructType(
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: ST.StructType = RAW_RECORD_SCHEMA) -> DataFrame:
-    """CSV with a declared schema: no inference pass over the data."""
+def read_csv(spark: SparkSession, path: str, schema: ST.StructType = RAW_RECORD_SCHEMA, *, whole_files: bool = True) -> DataFrame:
+    """CSV with a declared schema: no inference pass over the data.
+
+    With `whole_files` one task reads a file, because a quoted field may hold line breaks; otherwise
+    `read_csv_ranges` cuts the files into byte ranges.
+    """
+    if not whole_files:
+        return read_csv_ranges(spark, path, schema)
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+#: most byte ranges that start inside quotes whose list is broadcast; more are joined by shuffle
+MAX_BROADCAST_RANGES = 100_000
+_PIECE = "file string, start long, part int, piece string"
+
+
+def read_csv_ranges(spark: SparkSession, path: str, schema: ST.StructType = RAW_RECORD_SCHEMA) -> DataFrame:
+    """CSV with a header, quoted line breaks included, read by byte range.
+
+    A line break ends a record only where an even number of quotes precedes it. Quotes are counted per
+    range; the running parity over the ranges of a file (a row per range) tells which ranges
+    start inside a quoted field. Each range then cuts its own records; the ends that two ranges share
+    are put together by a shuffle that carries only those.
+
+    The files follow RFC 4180: quotes occur around fields and doubled inside them. A file with an odd
+    number of quotes is an error when it is read. Blank lines give no row, an empty field is NULL, a file with a header alone is
+    empty, and every file has a header.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
+    )
+    quotes = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).cast("long")
+    counted = lines.groupBy("file", "start").agg(F.sum(quotes).alias("quotes"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    inside = counted.select("file", "start", F.coalesce(F.sum("quotes").over(before), F.lit(0)).alias("seen")).filter("seen % 2 = 1")
+    inside = inside.select("file", "start", F.lit(True).alias("inside"))
+    if inside.limit(MAX_BROADCAST_RANGES + 1).count() <= MAX_BROADCAST_RANGES:
+        flagged = lines.join(F.broadcast(inside), ["file", "start"], "left").select("file", "start", "inside", "value")
+    else:  # lines keep their order inside a range by number
+        numbered = lines.withColumn("at", F.monotonically_increasing_id())
+        by_range = numbered.join(inside, ["file", "start"], "left").repartition("file", "start").sortWithinPartitions("file", "start", "at")
+        flagged = by_range.select("file", "start", "inside", "value")
+    pieces = flagged.mapInArrow(_cut_records, _PIECE)
+    # parts: 0 whole records, 1 the end of a record begun earlier, 2 a range inside one record, 3 the begin of a record
+    shared = pieces.filter("part > 0")
+    order = Window.partitionBy("file").orderBy("start", "part")
+    owned = shared.withColumn("record", F.sum((F.col("part") == 3).cast("int")).over(order))
+    joined = owned.groupBy("file", "record").agg(
+        F.array_sort(F.collect_list(F.struct("start", "part", "piece"))).alias("pieces"), F.max((F.col("part") == 1).cast("int")).alias("closed")
+    )
+    text = F.array_join(F.transform("pieces", lambda p: p["piece"]), "\n")
+    message = F.concat(F.lit("odd number of quotes in "), F.col("file"))
+    whole = joined.select(F.when(F.col("closed") == 1, text).otherwise(F.raise_error(message)).alias("piece"))
+    records = pieces.filter("part = 0").select("piece").unionByName(whole)
+    row = F.from_csv(F.col("piece"), schema.simpleString(), {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    return records.select(row.alias("row")).select("row.*")
+
+
+def _cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of the ranges of a partition; ends shared with other ranges are marked by part.
+
+    A range with one record that neither begins nor ends in it is part 2. The first record of a file is
+    its header and left out.
+    """
+    at: tuple[str, int] | None = None
+    held: list[str] = []
+    odd = False  # inside a quoted field
+    borrowed = False  # the open record began in an earlier range
+    header = False
+    out: list[tuple[str, int, int, str]] = []
+
+    def close(part: int) -> None:
+        nonlocal header, borrowed
+        text = "\n".join(held)
+        held.clear()
+        if header and part == 0:
+            header = False
+        elif part or text.strip("\r"):
+            out.append((*at, part, text.removesuffix("\r") if part in (0, 1) else text))
+        borrowed = False
+
+    def finish() -> None:
+        if held:
+            close(2 if borrowed else 3)
+
+    for batch in batches:
+        for file, start, inside, value in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (file, start) != at:
+                finish()
+                at, odd, borrowed, header = (file, start), bool(inside), bool(inside), start == 0
+            held.append(value)
+            odd ^= value.count('"') % 2 == 1
+            if not odd:
+                close(1 if borrowed else 0)
+        if out:
+            yield _piece_batch(out)
+            out.clear()
+    finish()
+    if out:
+        yield _piece_batch(out)
+
+
+def _piece_batch(rows: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
+    file, start, part, piece = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(file, pa.string()), pa.array(start, pa.int64()), pa.array(part, pa.int32()), pa.array(piece, pa.string())],
+        names=["file", "start", "part", "piece"],
+    )
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df

@@ -4,6 +4,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from sparkattest.operators.history import distributions
 from sparkattest.operators.leakage import external_hashes
@@ -181,3 +182,44 @@ def test_write_back_survives_a_failed_write(spark, tmp_path, monkeypatch):
         W.write_version(feedback, f"{base}/feedback", "v1")
     with pytest.raises(FileNotFoundError):
         W.read_version(spark, f"{base}/none")
+
+
+CSV_SCHEMA = ST.StructType([ST.StructField("a", ST.StringType()), ST.StructField("b", ST.IntegerType()), ST.StructField("c", ST.StringType())])
+ODD_FIELDS = ["plain", "", 'say "hi"', "two\nlines", "with, comma", "end\r\nof line", '"', "\n\n", "\u00e9\u4e16" * 40, "x\n" * 120]
+
+
+def csv_text(rows, end="\n"):
+    def field(v):
+        return '"' + v.replace('"', '""') + '"' if any(ch in v for ch in ',"\r\n') else v
+
+    return "a,b,c" + end + end.join(f"{field(a)},{b},{field(c)}" for a, b, c in rows) + end
+
+
+@pytest.mark.parametrize("range_bytes", [48, 200, 1000, 1 << 20])
+def test_csv_by_ranges_equals_whole_files(spark, tmp_path, range_bytes, monkeypatch):
+    rows = [(ODD_FIELDS[i % 10], i, ODD_FIELDS[(i * 7 + 3) % 10]) for i in range(60)]
+    put(str(tmp_path / "in" / "one.csv"), csv_text(rows).encode())
+    put(str(tmp_path / "in" / "two.csv"), csv_text([("k", 1, "l"), ("long\n" * 300, 2, "m")]).encode())
+    put(str(tmp_path / "in" / "header.csv"), b"a,b,c\n")
+    put(str(tmp_path / "in" / "empty.csv"), b"")
+    put(str(tmp_path / "in" / "returns.csv"), csv_text([("p", 5, "q\nr"), ("s", 6, "t")], "\r\n").encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = sorted(map(tuple, R.read_csv(spark, str(tmp_path / "in"), CSV_SCHEMA).collect()), key=str)
+    assert len(whole) == 64
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(range_bytes))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = sorted(map(tuple, R.read_csv(spark, str(tmp_path / "in"), CSV_SCHEMA, whole_files=False).collect()), key=str)
+        assert got == whole
+        if range_bytes == 200:  # the same without the broadcast list of ranges
+            monkeypatch.setattr(R, "MAX_BROADCAST_RANGES", 0)
+            assert sorted(map(tuple, R.read_csv_ranges(spark, str(tmp_path / "in"), CSV_SCHEMA).collect()), key=str) == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_csv_with_an_odd_quote_is_an_error(spark, tmp_path):
+    put(str(tmp_path / "bad.csv"), b'a,b,c\nx,1,y\n"open,2,z\n')
+    with pytest.raises(Exception, match="odd number of quotes"):
+        R.read_csv(spark, str(tmp_path), CSV_SCHEMA, whole_files=False).collect()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkattest import constants as C
+from sparkattest.operators import evidence as E
 from sparkattest.operators.evidence import fuse, masses_from_array
 from sparkattest.operators.features import build_features
 from sparkattest.operators.findings import FINDING_TYPE
@@ -96,6 +97,39 @@ def test_masses_are_not_negative_and_match(spark):
     assert (row["positive_mass"], row["negative_mass"], row["uncertain_items"], row["fail_items"]) == (0.5, 1.8, 2, 1)
 
 
+ANOMALY = "array<struct<key:string,label:string,status:string,severity:string,detail:string>>"
+SMALL = "prediction string, risk_score double, confidence double, ocr_failed boolean, extraction_method string, text_present boolean, extraction_confidence double, structure_completeness double, primary_type string, credential_statement boolean, candidate_name string, organization string, course string, issue_date string, forensic_anomalies " + ANOMALY
+SMALL_ROW = ("genuine", 0.2, 0.3, False, "pdf_text", True, 0.6, 0.5, "unknown", False, "A", "B", "C", "D", [(f"k{i}", "l", "w", "low", "d") for i in range(7)])
+
+
+def test_declared_provider_changes_the_decision(spark):
+    from sparkattest.operators.models import ScorerRegistry
+
+    row = spark.createDataFrame([SMALL_ROW], SMALL)
+    assert fuse(E.with_masses(row)).first()["decision"] == "REQUIRES_VERIFICATION"
+    registry = ScorerRegistry()
+    registry.register("second", lambda d: d.withColumns({"prediction": F.lit("genuine"), "risk_score": F.lit(0.05), "confidence": F.lit(0.95)}))
+    scored = registry.apply(row)
+    got = fuse(E.with_masses(scored, providers=registry.providers())).first()
+    assert (got["decision"], got["risk_score"], got["confidence"]) == ("VERIFIED", 0.2, 0.3)  # the main verdict is untouched
+
+    def against(df):
+        return [E.Item("watch", "EXTERNAL", "watch_list", F.col("organization") == "B", "FAIL", "high", 0.9, "Listed.")]
+
+    got = fuse(E.with_masses(scored, providers=[*registry.providers(), against])).first()
+    assert got["decision"] == "SUSPICIOUS" and got["fail_items"] == 1
+
+
+@pytest.mark.parametrize("limits,kept", [(E.ITEM_LIMITS, 5), (E.ALL_ITEMS, 7), ({"forensic_anomalies": 2}, 2)])
+def test_item_limits_can_be_lifted(spark, limits, kept):
+    row = spark.createDataFrame([SMALL_ROW], SMALL)
+    both = E.with_masses(E.with_evidence_items(row, limits=limits), limits=limits)
+    sums = ["positive_mass", "negative_mass", "uncertain_items", "fail_items"]
+    assert both.select(*sums).first() == masses_from_array(both.select("evidence")).select(*sums).first()
+    table = E.evidence_table(both.withColumn("document_id", F.lit(1)))
+    assert [r["signal"] for r in table.filter("category = 'FORENSICS'").orderBy("position").collect()] == [f"k{i}" for i in range(kept)]
+
+
 RAW = "cert_id string, issuer string, organization string, issue_date string, candidate_name string, course string, marks_total double, marks_obtained double, grade string, has_signature boolean, has_seal boolean, has_qr boolean, has_url boolean, text_snippet string, title string, certificate_type string, blank_ratio double, sharpness double, noise_level double, color_anomaly int, label int"
 
 
