@@ -71,13 +71,15 @@ def _frequency_ranks(texts: DataFrame, size: int) -> np.ndarray:
             parts = [shingle_sets(data, offsets, size, None)[1] for _, data, offsets in slices(batch.column(0))]
             if not parts:
                 continue
-            tokens = np.sort(np.concatenate(parts))
+            tokens = np.concatenate(parts)
+            del parts
+            tokens.sort()
             # a shingle that a batch holds once says little; leaving it out keeps the cells free of noise
-            head = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
-            times = np.diff(np.r_[head, len(tokens)])
-            again = times > 1
-            cells = (tokens[head[again]] % np.uint64(CELLS)).astype(np.int64)
-            total += np.bincount(cells, weights=times[again], minlength=CELLS).astype(np.int64)
+            same = np.r_[False, tokens[1:] == tokens[:-1], False]
+            first = np.flatnonzero(~same[:-1] & same[1:])
+            times = np.flatnonzero(same[:-1] & ~same[1:]) - first + 1
+            cells = (tokens[first] % np.uint64(CELLS)).astype(np.int64)
+            total += np.bincount(cells, weights=times, minlength=CELLS).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
