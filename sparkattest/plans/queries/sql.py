@@ -518,7 +518,8 @@ def _term(value: float | str, weight: float) -> str:
 def provider_sql(physical: str, registry: str) -> str:
     """The decision over documents with physical signals, printed domains, QR states and issuer answers.
 
-    `physical` defines physical_v (counts, severity and tampering status by document), `registry` is a
+    The anomaly score is rounded from its decimal digits: rounding the double multiplies first and lifts
+    0.41874999999999996 to 0.4188. `physical` defines physical_v (counts, severity and tampering status by document), `registry` is a
     table of registry keys `k` and domains `d`.
     """
     return review_sql() + ",\n" + physical + f""",
@@ -546,7 +547,7 @@ anomaly_v AS (
   FROM checked_v
 ),
 mass_v AS (
-  SELECT *, round(raw_score, 4) AS anomaly_score, CASE WHEN raw_score >= 0.6 THEN 'high' WHEN raw_score >= 0.35 THEN 'moderate' ELSE 'low' END AS anomaly_level,
+  SELECT *, CAST(round(CAST(CAST(raw_score AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE) AS anomaly_score, CASE WHEN raw_score >= 0.6 THEN 'high' WHEN raw_score >= 0.35 THEN 'moderate' ELSE 'low' END AS anomaly_level,
          {_mass('PASS', _PROVIDER_TERMS)} AS positive_mass, {_mass('FAIL', _PROVIDER_TERMS)} AS negative_mass,
          {' + '.join(flag(c) for c in ("date_status = 'warning'", "certificate_id_status = 'warning'", 'NOT marks_ok', 'duplicate_of IS NOT NULL', "tampering_status = 'strong_indicators'", "issuer_verification = 'NOT_VERIFIED'", "domain_consistency = 'inconsistent'"))} AS fail_items,
          prediction = 'suspicious' OR risk_score >= 0.5 AS ml_high,
