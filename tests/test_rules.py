@@ -181,3 +181,24 @@ def test_verification_ignores_partitioning(spark):
     first, second = run(1), run(7)
     assert first == second
     assert first[0][1] == "INSUFFICIENT_EVIDENCE" and first[2][3] == 1 and first[2][4] == "file"
+
+
+def test_decisions_write_plain_columns_and_count_without_items(spark):
+    import glob
+
+    from sparkattest.plans.queries.rules import decided, printed_domain, provider_decided
+    from sparkattest.session import shared_folder
+
+    sf, folder = "/root/testdata/sf0.001", shared_folder(spark)
+    for rows, providers, limits in (
+        (decided(spark, sf, with_items=True), [], E.ITEM_LIMITS), (provider_decided(spark, sf, with_items=True), [printed_domain], E.ALL_ITEMS),
+    ):
+        items = E.evidence_table(rows).select("document_id", "category", "status", "confidence").cache()
+        narrow = E.item_rows(rows, fields=["category", "status", "confidence"], providers=providers, limits=limits)
+        assert items.exceptAll(narrow).isEmpty() and narrow.exceptAll(items).isEmpty()
+        kinds = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("PASS", "FAIL", "WARNING", "UNKNOWN")]
+        counted = E.category_counts(rows, providers=providers, limits=limits)
+        assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, items.groupBy("document_id", "category").agg(*kinds).collect()))
+    written = [spark.read.parquet(p).columns for p in glob.glob(f"{folder}/table-*")]
+    built_later = {"findings", "checks", "trust_signals", "risk_signals", "tampering_findings"}
+    assert not any({"candidate_name", "file_fingerprint"} <= set(c) and built_later & set(c) for c in written)
