@@ -301,8 +301,9 @@ def course_longest_line(lines: Column, name: Column, organization: Column) -> Co
         )
 
     texts = F.transform(F.filter(stripped, keep), lambda s: s["text"])
-    longest = F.array_max(F.transform(texts, lambda x: F.length(x)))
-    return F.left(F.try_element_at(F.filter(texts, lambda x: F.length(x) == longest), F.lit(1)), F.lit(100))
+    # One pass that keeps the first longest: an expression named inside a lambda would be worked out again for every line.
+    longest = F.aggregate(texts, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)), x).otherwise(a))
+    return F.left(longest, F.lit(100))
 
 
 def verification_codes(text: Column) -> Column:
@@ -338,8 +339,10 @@ def verification_codes(text: Column) -> Column:
     found = F.array_sort(F.transform(pairs, described))
 
     def first_per_code(items: Column) -> Column:
-        codes = F.transform(items, lambda s: s["code"])
-        kept = F.filter(items, lambda s, i: F.array_position(codes, s["code"]) == i + 1)
+        kept = let(
+            F.transform(items, lambda s: s["code"]),
+            lambda codes: F.filter(items, lambda s, i: F.array_position(codes, s["code"]) == i + 1),
+        )
         return F.transform(kept, lambda s: F.struct(s["label"].alias("label"), s["code"].alias("code"), s["kind"].alias("kind")))
 
     return let(found, first_per_code)

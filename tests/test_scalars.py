@@ -143,3 +143,15 @@ def test_constants_are_whole():
 ])
 def test_masking_leaves_nothing_below_a_sensitive_key(one, raw, shown):
     assert one(T.mask_json_values(F.col("x")), "x string", raw) == shown
+
+
+def test_longest_line_looks_at_each_line_once(spark):
+    from sparkattest.functions.fields import course_longest_line
+
+    lines = F.array(F.lit("Short"), F.lit("Alpha beta one"), F.lit("Gamma delta 12"), F.lit("Grade: excellent work"))
+    df = spark.range(1).select(F.when(F.col("id") >= 0, lines).alias("lines")).select(
+        course_longest_line(F.col("lines"), F.lit("x"), F.lit("")).alias("v"), course_longest_line(F.slice("lines", 1, 0), F.lit("x"), F.lit("")).alias("none")
+    )
+    assert tuple(df.first()) == ("Alpha beta one", None)  # the first of two equally long ones
+    plan = spark.range(1).select(course_longest_line(F.array(F.col("id").cast("string")), F.lit("x"), F.lit("")).alias("v"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("roll[ \\t]+no") == 1
