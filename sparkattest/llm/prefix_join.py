@@ -8,7 +8,8 @@
    expanded to class pairs and verified on whole sets. First every shingle pairs each of its
    groups with the smallest id of its size class: a linear number of pairs, mostly the same
    few heads, which joins up a large family of near copies. Then all remaining pairs between different
-   components are verified, so no link is lost.
+   components are verified, so no link is lost. Sketches of the sets, a bit or two a shingle, come first: they
+   bound what two sets can share, and only pairs that may still link send whole sets.
 4. Components come from star rounds on the verified links and the class members.
 
 Shingles are told apart by 58-bit hashes, in a pair by 40 bits. A document with fewer words than a shingle is one shingle; without
@@ -89,6 +90,33 @@ def _frequency_ranks(texts: DataFrame, size: int) -> np.ndarray:
     return np.minimum(np.log2(frequency), 63).astype(np.uint64)
 
 
+def sketches(rows: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """One bit string per row: bit h mod width is flipped by every hash h; the width is a power of two, at least n and 64."""
+    width = np.where(n > 0, np.maximum(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 64), 0)
+    at = np.r_[0, np.cumsum(width)]
+    place = at[rows] + (hashes & (width[rows] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=at[-1]) & 1).astype(np.uint8), bitorder="little")
+    return [packed[s:e].tobytes() for s, e in zip(at[:-1] // 8, at[1:] // 8, strict=True)]
+
+
+def _folded(sketch: int, bits: int, to: int) -> int:
+    """The sketch that the same set has at a smaller width."""
+    while bits > to:
+        bits >>= 1
+        sketch = (sketch >> bits) ^ (sketch & ((1 << bits) - 1))
+    return sketch
+
+
+def may_link(n1: int, sketch1: bytes, n2: int, sketch2: bytes, percent: int) -> bool:
+    """False only for sets that cannot reach the threshold: every bit that differs stands for a shingle that only one of them has."""
+    bits1, bits2 = 8 * len(sketch1), 8 * len(sketch2)
+    bits = min(bits1, bits2)
+    one, other = int.from_bytes(sketch1, "little"), int.from_bytes(sketch2, "little")
+    differ = (_folded(one, bits1, bits) ^ _folded(other, bits2, bits)).bit_count()
+    common = min(n1, n2, (n1 + n2 - differ) // 2)
+    return (100 + percent) * common >= percent * (n1 + n2)
+
+
 def _signatures(size: int, percent: int, rank):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,8 +137,11 @@ def _signatures(size: int, percent: int, rank):
                     sums[n == 0] = 0
                 blobs = [tokens[s : s + k].tobytes() for s, k in zip(first[:-1], length, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(row, n_rows), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (a, b, p)), binary_column(blobs)],
-                    names=["doc_id", "n", "sig_a", "sig_b", "prefix_sig", "prefix"],
+                    [
+                        ids.slice(row, n_rows), pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in (a, b, p)),
+                        binary_column(blobs), binary_column(sketches(rows, spread, n)),
+                    ],
+                    names=["doc_id", "n", "sig_a", "sig_b", "prefix_sig", "prefix", "sketch"],
                 )
 
     return run
@@ -141,20 +172,49 @@ def _passes(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Col
 TOKEN_BYTES = 5
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rank) -> DataFrame:
-    """The pairs (u, v) whose whole sets reach the threshold.
+def _ways(pairs: DataFrame) -> DataFrame:
+    """(id, u, part, side): where the documents of pairs meet, in front as u, behind as v.
 
-    A text that occurs in a pair goes once through its shingles and sends its set, 40 bits a token, to
-    its pairs: in front as u, behind as v. A u with many partners is repeated for every
-    `MEMBERS_PER_TASK` of them.
+    A u with many partners is repeated for every `MEMBERS_PER_TASK` of them.
     """
     counted = pairs.groupBy("u").agg(F.floor(F.count(F.lit(1)) / MEMBERS_PER_TASK).cast("int").alias("k"))
     heads = counted.select(F.col("u").alias("id"), "u", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("part"), F.lit(0).alias("side"))
     tails = pairs.join(counted, "u").select(
         F.col("v").alias("id"), "u", F.pmod(F.xxhash64("v"), F.col("k") + 1).cast("int").alias("part"), F.lit(1).alias("side")
     )
-    ways = heads.union(tails).groupBy("id").agg(F.collect_list(F.struct("u", "part", "side")).alias("ways"))
-    bodies = texts.join(ways, texts["doc_id"] == ways["id"]).select("id", "text", "ways")
+    return heads.union(tails)
+
+
+def _plausible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sketches leave it open whether they link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own = None, (0, b"")
+        for batch in batches:
+            us, vs = [], []
+            for u, side, v, n, sketch in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                if side == 0:
+                    head, own = u, (n, sketch)
+                elif head == u and may_link(*own, n, sketch, percent):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    ways = _ways(pairs)
+    sent = signed.join(ways, signed["doc_id"] == ways["id"]).select("u", "part", "side", F.col("id").alias("v"), "n", "sketch")
+    together = sent.repartition(tasks(pairs.sparkSession), "u", "part").sortWithinPartitions("u", "part", "side")
+    return together.mapInArrow(run, "u long, v long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rank) -> DataFrame:
+    """The pairs (u, v) whose whole sets reach the threshold.
+
+    A text that occurs in a pair goes once through its shingles and sends its set, 40 bits a token, to
+    its pairs. Texts are always dealt by id: while the ids are few Spark would broadcast them, and
+    the disk of a small run would say nothing about that of a large one.
+    """
+    ways = _ways(pairs).groupBy("id").agg(F.collect_list(F.struct("u", "part", "side")).alias("ways"))
+    bodies = texts.join(ways.hint("merge"), texts["doc_id"] == ways["id"]).select("id", "text", "ways")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +260,7 @@ def _linked(texts: DataFrame, size: int, percent: int) -> DataFrame:
     spark = texts.sparkSession
     rank = spark.sparkContext.broadcast(_frequency_ranks(texts.select("text"), size))
     signed = stored(texts.mapInArrow(
-        _signatures(size, percent, rank), "doc_id long, n long, sig_a long, sig_b long, prefix_sig long, prefix binary"
+        _signatures(size, percent, rank), "doc_id long, n long, sig_a long, sig_b long, prefix_sig long, prefix binary, sketch binary"
     ))
     same_set = ["n", "sig_a", "sig_b"]
     classes = stored(signed.filter("n > 0").groupBy(*same_set, "prefix_sig").agg(F.min("doc_id").alias("id")))
@@ -229,7 +289,7 @@ def _linked(texts: DataFrame, size: int, percent: int) -> DataFrame:
     pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
     first_pairs = stored(linear.select(*pair(F.col("g"), F.col("o.g"))).union(in_group.select(*pair(F.col("o"), F.col("id")))).distinct())
 
-    links = stored(_verified(first_pairs, texts, size, percent, rank))
+    links = stored(_verified(stored(_plausible(first_pairs, signed, percent)), texts, size, percent, rank))
     roots = stored(components(links))
 
     # every remaining pair between different components
@@ -250,7 +310,7 @@ def _linked(texts: DataFrame, size: int, percent: int) -> DataFrame:
     other = placed.select(F.col("g").alias("b"), F.col("id").alias("j"), F.col("root").alias("rj"))
     expanded = group_pairs.union(split_groups).join(one, "a").join(other, "b").filter("ri <> rj and not (a = b and i > j)")
     rest = stored(expanded.select(*pair(F.col("i"), F.col("j"))).distinct().join(first_pairs, ["u", "v"], "left_anti"))
-    more = _verified(rest, texts, size, percent, rank)
+    more = _verified(stored(_plausible(rest, signed, percent)), texts, size, percent, rank)
     roots = stored(components(links.union(more)))
 
     labels = classes.join(roots, "id", "left").select(*same_set, F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))

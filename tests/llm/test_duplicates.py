@@ -245,3 +245,40 @@ def test_no_three_substitutions_hide_from_the_masks():
         assert any(
             all(start + step not in missing for step in mask) for mask in spaced_seeds.MASKS for start in range(size - mask[-1])
         )
+
+
+def test_sketches_rule_out_only_pairs_that_cannot_link():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 3, 40, 64, 65, 500, 600, 1500):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for changed in (0, n // 20, n // 9, n // 4, n // 2, n):
+            sets.append(np.unique(np.r_[base[changed:], rng.integers(0, 2**63, changed, dtype=np.uint64)]))
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    n = np.array([len(s) for s in sets])
+    found = prefix_join.sketches(rows, np.concatenate(sets), n)
+    assert max(len(s) * 8 / max(k, 64) for s, k in zip(found, n, strict=True)) <= 2
+    assert prefix_join.sketches(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(2, np.int64)) == [b"", b""]
+    open_far, far = 0, 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            common = len(np.intersect1d(a, b))
+            may = prefix_join.may_link(int(n[i]), found[i], int(n[j]), found[j], 80)
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                assert may
+            elif common * 2 <= min(len(a), len(b)):
+                far, open_far = far + 1, open_far + may
+    assert far > 1000 and open_far * 50 < far
+
+
+def test_whole_sets_only_for_pairs_that_may_link(spark, monkeypatch):
+    """Texts that share a passage but are not near copies send no sets to each other."""
+    shared = prose(90, 30, 5000)
+    rows = [(i, prose(100 + i, 150, 5000) + " " + shared) for i in range(40)]
+    rows += [(100, rows[0][1].replace(shared.split()[3], "other", 1))]
+    asked = []
+    verified = prefix_join._verified
+    monkeypatch.setattr(prefix_join, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    found = {r["doc_id"]: r["component_id"] for r in prefix_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {**{i: i for i in range(40)}, 100: 0}
+    assert sum(asked) <= 3
