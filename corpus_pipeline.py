@@ -13,6 +13,9 @@ from sparkattest.llm import piece_codec, prefix_join, spaced_seeds, toxicity, wi
 from sparkattest.llm._tables import fresh, stored
 from sparkattest.llm.queries import TOXIC_AT, table, toxicity_model, vocabulary
 
+#: stretches a worker remembers in the last stage, where the decoding workers run beside the encoding ones
+REMEMBERED = 150_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of the toxicity query."""
@@ -43,7 +46,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds piece ids and the text decoded from them."""
     model = vocabulary("piece_bpe_32k.model")
-    coded = piece_codec.encode(docs, model)
+    coded = piece_codec.encode(docs, model, remembered=REMEMBERED)
     return piece_codec.decode(coded, model, ids=coded.columns[-1])
 
 

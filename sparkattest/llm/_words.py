@@ -8,12 +8,13 @@ never occur inside a longer character.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -69,15 +70,23 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 #: what operators keep between the tasks of a Python worker; workers are reused by later stages
 WORKER_CACHES: list[dict] = []
 
 
+def trim() -> None:
+    """Give back what freed arrays still hold of this worker's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def forget() -> None:
     """Give back the memory that other operators left in this worker."""
     for cache in WORKER_CACHES:
         cache.clear()
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._tables import fresh
-from ._words import WORKER_CACHES
+from ._words import WORKER_CACHES, trim
 
 SPACE = "▁"
 REMEMBERED = 600_000
@@ -131,9 +131,9 @@ class Pieces:
             out.append(got)
         return line_break.join(out)
 
-    def encode_batch(self, texts: list[str | None], check: bool = True) -> list[bytes]:
+    def encode_batch(self, texts: list[str | None], check: bool = True, remembered: int = REMEMBERED) -> list[bytes]:
         """Little-endian int32 ids of each text."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > remembered:
             self.known.clear()
         known, new, out = self.known, [], []
         for text in texts:
@@ -155,7 +155,7 @@ class Pieces:
                         new.append(w)
                 ids.append(got)
             out.append(b"".join(ids))
-            if len(known) > REMEMBERED:
+            if len(known) > remembered:
                 self._check(new)
                 new = []
                 known.clear()
@@ -208,17 +208,21 @@ def _appended(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBa
 STEP = 512
 
 
-def encode(df: DataFrame, model: str, text: str = "text", out: str = "token_ids", *, check: bool = True) -> DataFrame:
-    """Add the piece ids of a text column as an array of ints; `out` gets underscores if taken."""
+def encode(df: DataFrame, model: str, text: str = "text", out: str = "token_ids", *, check: bool = True, remembered: int = REMEMBERED) -> DataFrame:
+    """Add the piece ids of a text column as an array of ints; `out` gets underscores if taken.
+
+    A worker remembers the ids of about `remembered` stretches, some 250 bytes each; fewer cost time, not results.
+    """
     out = fresh(df, out)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         vocabulary = pieces(model)
         for whole in batches:
             for start in range(0, whole.num_rows, STEP):
                 batch = whole.slice(start, STEP)
-                blobs = vocabulary.encode_batch(batch.column(at).to_pylist(), check)
+                blobs = vocabulary.encode_batch(batch.column(at).to_pylist(), check, remembered)
                 offsets = np.zeros(len(blobs) + 1, np.int32)
                 np.cumsum([len(b) // 4 for b in blobs], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(blobs), "<i4"))
@@ -234,6 +238,7 @@ def decode(df: DataFrame, model: str, ids: str = "token_ids", out: str = "decode
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         vocabulary = pieces(model)
         for whole in batches:
             for start in range(0, whole.num_rows, STEP):

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 
 from ._graph import components
 from ._tables import NO_ID, discard, document_key, fresh, own_number, stored, tasks
-from ._words import Words, binary_column, mix, rolling, slices
+from ._words import Words, binary_column, forget, mix, rolling, slices
 
 SHINGLE, PERCENT = 5, 80
 CELLS = 1 << 18
@@ -67,13 +67,17 @@ def _frequency_ranks(texts: DataFrame, size: int) -> np.ndarray:
     """log2 of the document frequency of each sketch cell; `CELLS` numbers, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             parts = [shingle_sets(data, offsets, size, None)[1] for _, data, offsets in slices(batch.column(0))]
             if not parts:
                 continue
-            tokens = np.concatenate(parts)
-            del parts
+            tokens, end = np.empty(sum(map(len, parts)), np.uint64), 0
+            while parts:  # each part is freed when it is copied
+                part = parts.pop()
+                tokens[end : end + len(part)] = part
+                end += len(part)
             tokens.sort()
             # a shingle that a batch holds once says little; leaving it out keeps the cells free of noise
             same = np.r_[False, tokens[1:] == tokens[:-1], False]
@@ -119,6 +123,7 @@ def may_link(n1: int, sketch1: bytes, n2: int, sketch2: bytes, percent: int) ->
 
 def _signatures(size: int, percent: int, rank):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids = batch.column(0)
             for row, data, offsets in slices(batch.column(1)):

@@ -35,7 +35,7 @@ MARKED = -1
 COLUMNS = ("ids", "ties", "counts", "positions", "hashes")
 ENTRIES = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in COLUMNS]])
 ENTRIES_DDL = "bucket int, " + ", ".join(f"{c} binary" for c in COLUMNS)
-BATCH_WINDOWS = 3_000_000
+BATCH_WINDOWS = 1_000_000
 
 
 def _changes(*keys: np.ndarray) -> np.ndarray:
@@ -58,14 +58,21 @@ def _packed(bucket: int, ids: np.ndarray, ties: np.ndarray, positions: np.ndarra
     )
 
 
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    """(ids, ties, counts) of the runs; positions and hashes of the windows."""
     n_ids, n = len(row["ids"]) // 8, len(row["positions"]) // 4
     ids = from_planes(np.frombuffer(row["ids"], np.uint8), n_ids, 8).view(np.int64)
     ties = from_planes(np.frombuffer(row["ties"], np.uint8), n_ids, 8).view(np.int64) if row["ties"] else np.zeros(n_ids, np.int64)
     counts = from_planes(np.frombuffer(row["counts"], np.uint8), n_ids, 4).astype(np.int64)
     positions = from_planes(np.frombuffer(row["positions"], np.uint8), n, 4).astype(np.int64)
     hashes = from_planes(np.frombuffer(row["hashes"], np.uint8), n if row["hashes"] else 0, HASH_BYTES)
-    return np.repeat(ids, counts), np.repeat(ties, counts), positions, hashes
+    return ids, ties, counts, positions, hashes
+
+
+def _spread(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, tie, position) of every window."""
+    ids, ties, counts, positions, _ = _unpacked(row)
+    return np.repeat(ids, counts), np.repeat(ties, counts), positions
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -97,31 +104,41 @@ def first_of_each(hashes: np.ndarray, ids: np.ndarray, positions: np.ndarray, ti
 
 
 class _Held:
-    """Windows of several slices: 16 bytes each, documents being numbers."""
+    """Windows of several slices or rows: 16 bytes each, documents being numbers."""
 
     def __init__(self):
-        self.windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.hashes: list[np.ndarray] = []
+        self.runs: list[np.ndarray] = []
+        self.positions: list[np.ndarray] = []
         self.documents: list[tuple[np.ndarray, np.ndarray]] = []
         self.count = self.rows = 0
 
     def add(self, hashes: np.ndarray, rows: np.ndarray, positions: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> None:
-        self.windows.append((hashes, (rows + self.rows).astype(np.int32), positions.astype(np.int32)))
+        self.hashes.append(hashes)
+        self.runs.append((rows + self.rows).astype(np.int32))
+        self.positions.append(positions.astype(np.int32))
         self.documents.append((ids, ties))
         self.count += len(hashes)
         self.rows += len(ids)
 
-    def entries(self, buckets: int) -> pa.RecordBatch:
-        """Packed entries; documents are compared by their rank among those held."""
+    def joined(self) -> tuple[np.ndarray, ...]:
+        """(ids, ties) of the documents in order; hashes, documents by their place there, and positions of the windows. Empties this."""
         ids, ties = (np.concatenate(x) for x in zip(*self.documents, strict=True))
         order = np.lexsort((ties, ids))
         ids, ties = ids[order], ties[order]
         new = _changes(ids, ties)
         rank = np.empty(len(order), np.int32)
         rank[order] = np.cumsum(new) - 1
-        ids, ties = ids[new], ties[new]
-        hashes, rows, positions = (np.concatenate(x) for x in zip(*self.windows, strict=True))
-        self.windows.clear()
-        documents = rank[rows]
+        whole = []
+        for parts in (self.hashes, self.runs, self.positions):
+            whole.append(np.concatenate(parts))
+            parts.clear()
+        hashes, runs, positions = whole
+        return ids[new], ties[new], hashes, rank[runs], positions
+
+    def entries(self, buckets: int) -> pa.RecordBatch:
+        """Packed entries; documents are compared by their rank among those held."""
+        ids, ties, hashes, documents, positions = self.joined()
         first, later = first_of_each(hashes, documents, positions)
         out = []
         if later.any():
@@ -169,25 +186,27 @@ def _marks(tasks_after: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows that start earlier elsewhere, from all entries of a task."""
-        held: dict[int, list] = {}
+        forget()
+        held: dict[int, _Held] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                entry = _unpacked(row)
                 if row["bucket"] == MARKED:
-                    yield from dealt(*entry[:3])
+                    yield from dealt(*_spread(row))
                 else:
-                    held.setdefault(row["bucket"], []).append(entry)
-        for parts in held.values():
-            ids, ties, positions, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, later = first_of_each(hashes, ids, positions, ties)
-            yield from dealt(ids[later], ties[later], positions[later])
+                    ids, ties, counts, positions, hashes = _unpacked(row)
+                    held.setdefault(row["bucket"], _Held()).add(hashes, np.repeat(np.arange(len(ids)), counts), positions, ids, ties)
+        while held:
+            ids, ties, hashes, documents, positions = held.popitem()[1].joined()
+            _, later = first_of_each(hashes, documents, positions)
+            del hashes
+            yield from dealt(ids[documents[later]], ties[documents[later]], positions[later])
 
     return run
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, tie, starts): one row per document that has marks."""
-    held = [_unpacked(row)[:3] for batch in batches for row in batch.to_pylist()]
+    held = [_spread(row) for batch in batches for row in batch.to_pylist()]
     if held:
         ids, ties, positions = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((positions, ties, ids))

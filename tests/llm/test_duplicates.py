@@ -1,9 +1,11 @@
 """Prefix join, window and suffix-array deduplication, benchmark leaks: equal to brute force."""
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import LOWER, no_docs, odd_docs, odd_rows, prose, words
 
@@ -282,3 +284,26 @@ def test_whole_sets_only_for_pairs_that_may_link(spark, monkeypatch):
     found = {r["doc_id"]: r["component_id"] for r in prefix_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {**{i: i for i in range(40)}, 100: 0}
     assert sum(asked) <= 3
+
+
+def test_windows_of_a_task_are_held_in_little_memory():
+    """Neither task may hold more than about 70 bytes a window, nor all windows of a partition at once."""
+    texts = [" ".join(f"{k}x{j}" for j in range(20_000)) for k in range(100)]
+    ids, zeros = np.arange(100), np.zeros(100, np.int64)
+    given = [pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array(zeros)], names=["doc_id", "text", "tie"])]
+    size, n = window_dedup.SIZE, sum(len(t.split()) for t in texts)
+    list(window_dedup._window_entries(size, 1)(iter(given)))  # tables of powers are made once
+    tracemalloc.start()
+    try:
+        entries = [None]
+        for entries[0] in window_dedup._window_entries(size, 1)(iter(given)):
+            pass
+        mapped = tracemalloc.get_traced_memory()[1]
+        entries = list(window_dedup._window_entries(size, 1)(iter(given)))
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        assert not list(window_dedup._marks(1)(iter(entries)))
+        reduced = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert mapped < 50 * n and reduced < 70 * n, (mapped / n, reduced / n)
