@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from helpers import LOWER, no_docs, odd_docs, odd_rows, prose, words
 from pyspark.sql import functions as F
 
 from sparkattest.llm import katz, robust_outliers, toxicity
+from sparkattest.session import shared_folder
 
 
 def _statistics(text):
@@ -199,6 +201,16 @@ def test_katz_scores_texts_it_never_met(spark):
     assert len(one) == 1 and one[0]["score"] == got[90]["score"]
 
 
+def test_katz_keeps_a_few_bytes_a_token(spark):
+    docs = spark.createDataFrame([(k, prose(k, 400, 5000), k % 5 != 1) for k in range(500)], "doc_id long, text string, train boolean").repartition(2)
+    kept = lambda: sum(f.stat().st_size for f in Path(shared_folder(spark).removeprefix("file://")).rglob("*.parquet"))
+    before = kept()
+    rows = katz.score(docs, katz.fit(docs, F.col("train")), fitted=True).collect()
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert len(rows) == 500 and 500 * 400 < tokens
+    assert kept() - before < 16 * tokens, (kept() - before) / tokens
+
+
 def test_katz_odd_tables(spark):
     rows = katz.score(odd_docs(spark), katz.fit(odd_docs(spark), F.lit(False)))
     assert {r["score_"] for r in rows.collect()} == {0.0}  # nothing learned: every token is the unseen word
