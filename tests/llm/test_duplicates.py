@@ -10,6 +10,7 @@ import pytest
 from helpers import LOWER, no_docs, odd_docs, odd_rows, prose, words
 
 from sparkattest.llm import prefix_join, spaced_seeds, suffix_dedup, window_dedup
+from sparkattest.llm._words import ranges
 
 
 def _sha(data):
@@ -207,6 +208,20 @@ def test_rows_that_share_an_id_are_documents_of_their_own(spark):
     )
 
 
+def test_workers_of_the_suffix_arrays_take_few_bytes_at_a_time(monkeypatch):
+    """A batch of many texts is cut up by bytes; before, the segments of a whole batch were held at once."""
+    import pyarrow as pa
+
+    texts = ["a" * 100_000, None, "", "b" * 300_000, "é" * 100_000, *["c" * 1_000] * 600]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["text", "n"])
+    parts = list(ranges(batch, 0, suffix_dedup.TEXT_BYTES))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    sizes = [[len((t or "").encode()) for t in p.column(0).to_pylist()] for p in parts]
+    assert all(sum(x) <= suffix_dedup.TEXT_BYTES or len(x) == 1 for x in sizes) and len(parts) > 3
+    assert list(ranges(batch.slice(0, 0), 0)) == []
+    assert [p.num_rows for p in ranges(batch.slice(3, 3), 0, 250_000)] == [1, 2]
+
+
 def test_leaks(spark):
     item, short = prose(31, 40), "alpha beta gamma delta epsilon zeta eta theta"
     w = words(item)
