@@ -254,6 +254,20 @@ def test_leaks_of_a_large_benchmark_shuffle(spark, monkeypatch):
     assert [r["doc_id"] for r in spaced_seeds.remove_leaks(docs, benchmark).collect()] == [2]
 
 
+def test_tokens_of_a_text_do_not_travel_to_a_large_benchmark(spark, monkeypatch):
+    """Beyond the broadcast limit hits meet the items as narrow rows, one per alignment and frame; both paths find the same."""
+    item = prose(43, 90)
+    benchmark = spark.createDataFrame([(1, item), (2, item), (3, prose(44, 25))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b " + item), (2, prose(45, 30)), (None, prose(46, 40) + " " + prose(44, 25))], "doc_id long, text string")
+    expected = sorted(map(str, spaced_seeds.leaks(docs, benchmark).collect()))
+    monkeypatch.setattr(spaced_seeds, "BROADCAST_SEEDS", 0)
+    found = spaced_seeds.leaks(docs, benchmark)
+    assert sorted(map(str, found.collect())) == expected and len(expected) == 3
+    blocks = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n\n")
+    by_item = [b for b in blocks if ") Exchange" in b and "hashpartitioning(coalesce(item_id" in b]
+    assert by_item and not any("tokens" in b for b in by_item)
+
+
 def test_no_three_substitutions_hide_from_the_masks():
     from itertools import combinations
 
