@@ -202,3 +202,31 @@ def test_decisions_write_plain_columns_and_count_without_items(spark):
     written = [spark.read.parquet(p).columns for p in glob.glob(f"{folder}/table-*")]
     built_later = {"findings", "checks", "trust_signals", "risk_signals", "tampering_findings"}
     assert not any({"candidate_name", "file_fingerprint"} <= set(c) and built_later & set(c) for c in written)
+
+
+def test_audit_details_are_built_only_where_selected(spark):
+    from sparkattest.operators.audit import document_events
+
+    schema = (
+        "document_id long, extracted_text_length int, extraction_method string, extraction_confidence double, prediction string, risk_score double, "
+        "confidence double, review_status string, structure_completeness double, trust_signals array<string>, risk_signals array<string>, "
+        "findings array<string>, high_findings int, assessment string, decision string, decision_confidence double, evidence_degraded boolean, "
+        "verification_codes array<string>, code_state string"
+    )
+    rest = (12, "pdf_text", 0.9, "genuine", 0.12345, 0.87655, "low_risk", 0.8, ["a"], [], ["f"], 1, "LIKELY_GENUINE", "VERIFIED", 0.7)
+    docs = spark.createDataFrame([(1, *rest, False, ["c"], "NOT_VERIFIED"), (2, *rest, True, [], None), (3, None, *rest[1:], None, None, "NO_CODE")], schema)
+    events = document_events(docs)
+    rows = {(r["verification_id"], r["seq"]): r for r in events.collect()}
+    kinds = ["DOCUMENT_RECEIVED", "TEXT_EXTRACTION", "FEATURE_EXTRACTION", "ML_ANALYSIS", "INTELLIGENCE_ANALYSIS", "CONSISTENCY_ANALYSIS", "VERIFICATION_CODE_ANALYSIS"]
+    last = ["EVIDENCE_FUSION", "FINAL_DECISION"]
+    for doc, names in ((1, [*kinds, *last]), (2, [*kinds, "PIPELINE_FAILED", *last]), (3, [*kinds, *last])):
+        assert [rows[doc, k]["event_type"] for k in range(len(names))] == names and (doc, len(names)) not in rows
+    failed, codes, fusion = rows[2, 7], rows[1, 6], rows[2, 8]
+    assert (failed["status"], failed["severity"], failed["details"], failed["title"]) == ("failed", "warning", '{"degraded":true}', "Evidence degraded")
+    assert (codes["severity"], codes["description"], codes["details"]) == ("error", "Code state: NOT_VERIFIED", '{"state":"NOT_VERIFIED","code_count":1}')
+    assert (fusion["severity"], fusion["stage"], fusion["description"]) == ("success", "fusion", "Assessment: LIKELY_GENUINE")
+    assert rows[1, 5]["severity"] == "error" and rows[3, 0]["details"] == "{}" and rows[1, 3]["details"].startswith('{"prediction":"genuine","risk_score":0.1235')
+    narrow = events.select("verification_id", "seq", "event_type", "status", "severity")
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan.lower() and "structstojson" not in plan.lower() and "findings" not in plan.replace("high_findings", "").split("LogicalRDD")[0]
+    assert {tuple(r) for r in narrow.collect()} == {tuple(r[c] for c in narrow.columns) for r in rows.values()}
