@@ -230,3 +230,19 @@ def test_audit_details_are_built_only_where_selected(spark):
     plan = narrow._jdf.queryExecution().optimizedPlan().toString()
     assert "to_json" not in plan.lower() and "structstojson" not in plan.lower() and "findings" not in plan.replace("high_findings", "").split("LogicalRDD")[0]
     assert {tuple(r) for r in narrow.collect()} == {tuple(r[c] for c in narrow.columns) for r in rows.values()}
+
+
+def test_rules_run_in_methods_that_are_compiled(spark):
+    from sparkattest.session import COMPILED_BYTES
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    docs = spark.createDataFrame([(1, "o", "Certificate", "genuine", 0.1, 0.9)], "document_id long, owner string, text string, prediction string, risk_score double, confidence double")
+    spark.conf.unset(key)
+    try:
+        verify_documents(docs, as_of=AS_OF)
+        assert spark.conf.get(key) == str(COMPILED_BYTES)
+        spark.conf.set(key, "20000")
+        verify_documents(docs, as_of=AS_OF)
+        assert spark.conf.get(key) == "20000"
+    finally:
+        spark.conf.unset(key)

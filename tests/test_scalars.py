@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkattest import constants as C
 from sparkattest.functions import domains as D
+from sparkattest.functions import fields as X
 from sparkattest.functions import scores as S
 from sparkattest.functions import text as T
 from sparkattest.operators.extraction import extract_fields
@@ -155,3 +156,28 @@ def test_longest_line_looks_at_each_line_once(spark):
     assert tuple(df.first()) == ("Alpha beta one", None)  # the first of two equally long ones
     plan = spark.range(1).select(course_longest_line(F.array(F.col("id").cast("string")), F.lit("x"), F.lit("")).alias("v"))
     assert plan._jdf.queryExecution().analyzed().toString().count("roll[ \\t]+no") == 1
+
+
+def test_words_that_hold_another_one_are_not_searched(spark):
+    from sparkattest.functions.text import contains_any
+
+    words = ["awarded", "award", "is awarded", "seal", "award"]
+    docs = spark.createDataFrame([("is awarded",), ("reward", ), ("awar",), ("seals",), ("",), (None,)], "low string")
+    found = docs.select("low", contains_any(F.col("low"), words).alias("hit"))
+    assert [r["hit"] for r in found.collect()] == [any(w in (r["low"] or "") for w in words) for r in docs.collect()]
+    assert found._jdf.queryExecution().analyzed().toString().lower().count("contains(") == 2
+
+
+def test_kinds_of_codes_follow_their_labels(spark):
+    import re
+
+    docs = spark.createDataFrame([(label.title() + ": ab-" + str(n),) for n, label in enumerate(C.CODE_LABELS)], "text string")
+    for label, row in zip(C.CODE_LABELS, docs.select(X.verification_codes(F.col("text")).alias("codes")).collect(), strict=True):
+        kind = (
+            "certificate_id" if re.search("certificate|certification|credential", label)
+            else "reference_number" if re.search("reference|serial", label) else "issuer_verification_code"
+        )
+        assert [(c["label"], c["kind"]) for c in row["codes"]] == [(label, kind)]
+    twice = spark.createDataFrame([("Serial No: abcd\nReference No: abcd\nCredential ID: efgh\nSerial No: abcd",)], "text string")
+    codes = twice.select(X.verification_codes(F.col("text")).alias("codes")).first()["codes"]
+    assert [(c["label"], c["code"]) for c in codes] == [("credential id", "efgh"), ("reference no", "abcd")]
